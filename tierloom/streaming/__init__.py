@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming source, watermark, window or state; every
+layer is a full-refresh batch job (see ``tierloom.plans``). Nothing is
+added here that the reference does not do.
+"""
