@@ -1,0 +1,53 @@
+"""Full-refresh sinks and the schema check that stands in for Delta's."""
+
+import pytest
+
+from tierloom import Layers, SchemaMismatchError, read_layer, run_medallion, write_layer, write_table
+from tierloom.session import scratch_database, scratch_path, work_dir
+from tierloom.sources.layers import table_format
+
+
+def test_layer_overwrite_replaces_contents(spark):
+    path = scratch_path(spark, "layer")
+    write_layer(spark.range(10).withColumnRenamed("id", "x"), path)
+    write_layer(spark.range(3).withColumnRenamed("id", "x"), path)
+    assert sorted(r.x for r in read_layer(spark, path).collect()) == [0, 1, 2]
+
+
+def test_layer_overwrite_with_new_schema_is_refused(spark):
+    path = scratch_path(spark, "layer")
+    write_layer(spark.range(3).withColumnRenamed("id", "x"), path)
+    with pytest.raises(SchemaMismatchError):
+        write_layer(spark.range(3).selectExpr("CAST(id AS STRING) AS x"), path)
+    assert read_layer(spark, path).schema.simpleString() == "struct<x:bigint>"
+    write_layer(spark.range(3).selectExpr("CAST(id AS STRING) AS x"), path, overwrite_schema=True)
+    assert read_layer(spark, path).schema.simpleString() == "struct<x:string>"
+
+
+def test_table_overwrite_with_new_schema_is_refused(spark):
+    name = f"{scratch_database(spark)}.t"
+    write_table(spark.range(5).withColumnRenamed("id", "x"), name)
+    write_table(spark.range(2).withColumnRenamed("id", "x"), name)
+    assert spark.table(name).count() == 2
+    with pytest.raises(SchemaMismatchError):
+        write_table(spark.range(2).selectExpr("id AS y"), name)
+    write_table(spark.range(2).selectExpr("id AS y"), name, overwrite_schema=True)
+    assert spark.table(name).columns == ["y"]
+
+
+def test_default_format_is_a_session_setting(spark):
+    assert table_format(spark) == "parquet"
+    assert table_format(spark, "delta") == "delta"
+
+
+def test_layers_must_be_distinct(spark):
+    with pytest.raises(ValueError):
+        run_medallion(spark, Layers(raw="a", bronze="b", silver="c", gold="c"))
+
+
+def test_work_dir_comes_from_the_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        assert work_dir(spark) == configured.rstrip("/")
+    assert scratch_path(spark, "x").startswith(work_dir(spark))
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
