@@ -51,3 +51,14 @@ def test_work_dir_comes_from_the_session(spark):
         assert work_dir(spark) == configured.rstrip("/")
     assert scratch_path(spark, "x").startswith(work_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_cluster_conf_scales_with_bronze():
+    from tierloom.session import cluster_conf
+
+    small = cluster_conf(1 << 30)
+    big = cluster_conf(30 * (1 << 40))
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
+    assert 80_000 < int(big["spark.sql.shuffle.partitions"]) < 100_000
+    assert big["spark.sql.adaptive.enabled"] == "true"
+    assert big["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"

@@ -13,39 +13,45 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the jobs are designed around. On a cluster they belong in the
-# cluster's defaults; ``local_session`` applies them for tests and bench.
-#  - AQE re-plans at every shuffle: it coalesces the small post-aggregation
-#    partitions, splits skewed join partitions and turns a join into a
-#    broadcast only after measuring the built side.
-#  - ``initialPartitionNum`` is the upper bound AQE coalesces down from; at
-#    100 TB a dedup shuffle of the full table needs tens of thousands of
-#    partitions, so it is sized by the caller (see ``scale_conf``).
-#  - 256 MiB input splits keep the task count of a 100 TB scan near 400k
-#    rather than 800k without making any one task hold much in memory:
-#    CSV and Parquet scans stream.
+# Settings the jobs are designed around, for every session (tests, bench,
+# cluster). AQE re-plans at every shuffle: it coalesces the small partitions
+# left after an aggregation, splits skewed join partitions, and can turn a
+# join into a broadcast once it has measured the smaller side's real size.
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    "spark.sql.files.maxPartitionBytes": "256m",
 }
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Shuffle sizing for a job whose widest shuffle moves ``input_bytes``.
-
-    The dedup in silver shuffles every bronze row once, so its shuffle is
-    about as large as bronze itself. Starting from one partition per
-    ``target_partition_bytes`` keeps each reducer's hash map small enough
-    not to spill; AQE then merges the partitions that turn out small
-    (the gold aggregation, which shuffles only partial sums).
+def cluster_conf(bronze_bytes: int) -> dict[str, str]:
+    """Sizing for running the layer jobs over ``bronze_bytes`` of bronze.
+
+    The widest shuffle is silver's dedup: every column of every row moves,
+    so it is about as large as bronze itself (Parquet decodes to ~3x,
+    shuffle compression takes back ~2x: count 1.5x). Its cost grows with
+    map tasks x reduce partitions (shuffle blocks), so both are kept
+    large rather than many:
+
+    - 1 GiB input splits. Parquet and CSV scans stream, so a big split
+      costs no executor memory; 30 TB of bronze is 30k map tasks.
+    - One reduce partition per 512 MiB of shuffle data: each reducer's
+      dedup hash map stays well inside executor memory (and falls back to
+      sort-based aggregation, spilling, if a partition is larger); 30 TB
+      gives ~90k partitions. AQE coalesces down from there.
+    - ``parallelismFirst=false`` so AQE coalesces to the advisory size, not
+      to the core count: silver comes out as ~256 MiB files instead of a
+      very large number of small ones.
     """
-    partitions = max(8, -(-input_bytes // target_partition_bytes))
+    shuffle_bytes = bronze_bytes * 3 // 2
+    partitions = max(200, -(-shuffle_bytes // (512 << 20)))
     return {
+        **BASE_CONF,
+        "spark.sql.files.maxPartitionBytes": str(1 << 30),
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
 
 
