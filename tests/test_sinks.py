@@ -62,3 +62,29 @@ def test_cluster_conf_scales_with_bronze():
     assert 80_000 < int(big["spark.sql.shuffle.partitions"]) < 100_000
     assert big["spark.sql.adaptive.enabled"] == "true"
     assert big["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"
+
+
+def test_work_dir_is_created_only_when_unset(tmp_path):
+    from tierloom.session import work_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        checkpoint = None
+
+        def getCheckpointDir(self):
+            return self.checkpoint
+
+        def setCheckpointDir(self, path):
+            self.checkpoint = path
+
+    class Session:
+        conf = Conf()
+        sparkContext = Context()
+
+    session = Session()
+    first = work_dir(session)
+    assert session.sparkContext.checkpoint == first
+    assert work_dir(session) == first  # reused, not created again

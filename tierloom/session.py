@@ -81,11 +81,16 @@ def work_dir(spark: SparkSession) -> str:
     is a fresh local folder created and registered as the checkpoint dir.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    try:
+        context = spark.sparkContext
+    except NotImplementedError as err:  # Spark Connect: no way to tell the folder is shared
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster") from err
+    base = context.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="tierloom-work-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 

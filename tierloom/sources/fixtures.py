@@ -38,8 +38,12 @@ def spread(df: DataFrame) -> DataFrame:
     has far more splits than cores and is returned as it is, so this adds
     no shuffle at scale. Round-robin cannot be skewed by a hot key.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except NotImplementedError:  # no RDD API (Spark Connect): keep the plan as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
