@@ -31,7 +31,7 @@ def to_float(text):
         return None
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=25, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows)
 def test_clean_then_total_matches_model(spark, data):
     df = spark.createDataFrame(data, SALES_RAW)

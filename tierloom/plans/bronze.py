@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tierloom.sources.landing import read_raw
 from tierloom.sources.layers import read_table, write_table
 
+log = logging.getLogger(__name__)
+
 
 def ingest(
     spark: SparkSession,
@@ -26,4 +30,5 @@ def ingest(
     Returns the bronze table; count it with ``row_count`` (O7).
     """
     write_table(read_raw(spark, raw_path, infer=infer, schema=schema), table, fmt=fmt)
+    log.info("wrote bronze table %s from %s", table, raw_path)
     return read_table(spark, table)

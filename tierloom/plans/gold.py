@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tierloom.operators.aggregate import grouped_sum
 from tierloom.sources.layers import read_layer, write_layer
 
+log = logging.getLogger(__name__)
+
 
 def customer_sales(silver: DataFrame) -> DataFrame:
     """``customer_id, SUM(amount) AS total_sales``.
@@ -20,4 +24,6 @@ def customer_sales(silver: DataFrame) -> DataFrame:
 
 def run_gold(spark: SparkSession, silver_path: str, gold_path: str, fmt: str | None = None) -> str:
     """Replace the gold mart with the totals over the silver layer."""
-    return write_layer(customer_sales(read_layer(spark, silver_path, fmt=fmt)), gold_path, fmt=fmt)
+    write_layer(customer_sales(read_layer(spark, silver_path, fmt=fmt)), gold_path, fmt=fmt)
+    log.info("wrote gold layer %s from %s", gold_path, silver_path)
+    return gold_path

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tierloom.functions.cleaning import amount_as_double, order_date_as_date
 from tierloom.operators.dedup import dedup_rows
 from tierloom.sources.layers import read_table, write_layer
 
+log = logging.getLogger(__name__)
+
 
 def clean(bronze: DataFrame, strict: bool = False) -> DataFrame:
     """Full-row dedup on the raw values, then ``amount`` to double and
@@ -34,4 +38,6 @@ def run_silver(
     strict: bool = False,
 ) -> str:
     """Replace the silver layer with the cleaned bronze table."""
-    return write_layer(clean(read_table(spark, bronze_table), strict=strict), silver_path, fmt=fmt)
+    write_layer(clean(read_table(spark, bronze_table), strict=strict), silver_path, fmt=fmt)
+    log.info("wrote silver layer %s from %s", silver_path, bronze_table)
+    return silver_path
