@@ -172,8 +172,8 @@ sales AS (
   SELECT l_orderkey AS order_id,
          o_custkey AS customer_id,
          p_name AS product,
-         CASE WHEN l_discount <> 0 THEN CAST({_PRICE_TEXT} AS DOUBLE) END AS amount,
-         CASE WHEN l_tax <> 0 THEN CAST(o_orderdate AS DATE) END AS order_date
+         CASE WHEN l_discount = 0 THEN NULL ELSE CAST({_PRICE_TEXT} AS DOUBLE) END AS amount,
+         CASE WHEN l_tax = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS order_date
   FROM copies
 )"""
 

@@ -105,6 +105,6 @@ def sales_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("p_name").alias("product"),
-        F.when(F.col("l_discount") != 0, _price_text().cast("double")).alias("amount"),
-        F.when(F.col("l_tax") != 0, F.col("o_orderdate").cast("date")).alias("order_date"),
+        F.when(F.col("l_discount") == 0, F.lit(None)).otherwise(_price_text().cast("double")).alias("amount"),
+        F.when(F.col("l_tax") == 0, F.lit(None)).otherwise(F.col("o_orderdate").cast("date")).alias("order_date"),
     )
