@@ -1,0 +1,91 @@
+"""Run J4 under memory pressure and check the result stays exact.
+
+    python tools/rehearse_spill.py [sf_dir] [copies] [driver_memory]
+
+Lands ``copies`` copies of the ``sales`` rows (default 10 × sf0.1, about
+8M rows), with copy k's order ids suffixed ``-k`` so copies never
+deduplicate against each other. Then it runs raw → bronze → silver → gold
+in a local[8] session with a small driver (default 2g) and 8 shuffle
+partitions, so each dedup reducer holds more rows than its share of
+execution memory: the aggregate has to spill and fall back to sort-based
+aggregation. Gold must equal ``copies`` × the single-copy gold computed
+by DuckDB from the original tables. Prints one JSON line.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import duckdb  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from tierloom.plans.medallion import Layers, run_medallion  # noqa: E402
+from tierloom.registry import ORACLE_SQL  # noqa: E402
+from tierloom.session import BASE_CONF, scratch_database, scratch_path  # noqa: E402
+from tierloom.sources.fixtures import sales_raw  # noqa: E402
+from tierloom.sources.landing import land_csv  # noqa: E402
+
+
+def main() -> None:
+    sf_dir = (sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1").rstrip("/")
+    copies = int(sys.argv[2]) if len(sys.argv) > 2 else 10
+    memory = sys.argv[3] if len(sys.argv) > 3 else "2g"
+    builder = (
+        SparkSession.builder.master("local[8]")
+        .appName("tierloom-spill")
+        .config("spark.driver.memory", memory)
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+    )
+    for key, value in BASE_CONF.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("WARN")
+
+    copy = F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("k")
+    amplified = (
+        sales_raw(spark, sf_dir)
+        .select("*", copy)
+        .withColumn("order_id", F.concat_ws("-", "order_id", F.col("k").cast("string")))
+        .drop("k")
+    )
+    raw = land_csv(amplified, scratch_path(spark, "landing"))
+    layers = Layers.under(scratch_path(spark, "lake"), raw=raw, bronze_table=f"{scratch_database(spark)}.raw_sales")
+
+    spark.sparkContext.setLogLevel("INFO")  # spills are logged at INFO ("spilling ... to disk")
+    start = time.perf_counter()
+    gold = {r.customer_id: r.total_sales for r in run_medallion(spark, layers).collect()}
+    seconds = time.perf_counter() - start
+    spark.sparkContext.setLogLevel("WARN")
+    bronze_rows = spark.table(layers.bronze).count()
+    spark.stop()
+
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    single = dict(con.execute(ORACLE_SQL["gold_customer_sales"]).fetchall())
+    worst = max(abs(gold[c] - copies * v) for c, v in single.items() if v is not None)
+    ok = gold.keys() == single.keys() and worst < 0.01 * copies
+    print(
+        json.dumps(
+            {
+                "copies": copies,
+                "bronze_rows": bronze_rows,
+                "driver_memory": memory,
+                "seconds": round(seconds, 2),
+                "customers": len(gold),
+                "max_abs_diff": worst,
+                "ok": ok,
+            }
+        )
+    )
+
+
+if __name__ == "__main__":
+    main()
