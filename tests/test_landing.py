@@ -55,3 +55,9 @@ def test_fixture_counts_match_fixtures_md(spark, sf_dir, counts):
     )
     assert got == counts
     assert sales_typed(spark, sf_dir).count() == counts[0]
+
+
+def test_single_file_path(spark):
+    folder = land_sample(spark)
+    (csv_file,) = [f for f in spark.read.text(folder).inputFiles() if f.endswith(".txt")]
+    assert read_raw(spark, csv_file).count() == 4
