@@ -88,3 +88,29 @@ def test_work_dir_is_created_only_when_unset(tmp_path):
     first = work_dir(session)
     assert session.sparkContext.checkpoint == first
     assert work_dir(session) == first  # reused, not created again
+
+
+def test_overwriting_a_layer_from_itself_is_refused(spark):
+    from tierloom import SelfOverwriteError
+
+    path = scratch_path(spark, "layer")
+    write_layer(spark.range(4).withColumnRenamed("id", "x"), path)
+    with pytest.raises(SelfOverwriteError):
+        write_layer(read_layer(spark, path).filter("x > 1"), path)
+    with pytest.raises(SelfOverwriteError):  # the same folder named with a scheme
+        write_layer(read_layer(spark, "file://" + path).filter("x > 1"), path)
+    assert read_layer(spark, path).count() == 4
+    # A sibling whose name extends the target's is not the target.
+    write_layer(spark.range(2).withColumnRenamed("id", "x"), path + "_copy")
+    write_layer(read_layer(spark, path + "_copy"), path)
+    assert read_layer(spark, path).count() == 2
+
+
+def test_overwriting_a_table_from_itself_is_refused_by_spark(spark):
+    from pyspark.errors import AnalysisException
+
+    name = f"{scratch_database(spark)}.t"
+    write_table(spark.range(4).withColumnRenamed("id", "x"), name)
+    with pytest.raises(AnalysisException, match="UNSUPPORTED_OVERWRITE"):
+        write_table(spark.table(name).filter("x > 1"), name)
+    assert spark.table(name).count() == 4

@@ -9,6 +9,7 @@ from tierloom.operators import count_rows, dedup_rows, grouped_sum, row_count
 from tierloom.plans import Layers, clean, customer_sales, ingest, run_gold, run_medallion, run_silver
 from tierloom.sources import (
     SchemaMismatchError,
+    SelfOverwriteError,
     land_csv,
     read_layer,
     read_raw,
@@ -20,6 +21,7 @@ from tierloom.sources import (
 __all__ = [
     "Layers",
     "SchemaMismatchError",
+    "SelfOverwriteError",
     "amount_as_double",
     "clean",
     "count_rows",

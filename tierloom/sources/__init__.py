@@ -3,6 +3,7 @@
 from tierloom.sources.landing import land_csv, read_raw
 from tierloom.sources.layers import (
     SchemaMismatchError,
+    SelfOverwriteError,
     read_layer,
     read_table,
     table_format,
@@ -12,6 +13,7 @@ from tierloom.sources.layers import (
 
 __all__ = [
     "SchemaMismatchError",
+    "SelfOverwriteError",
     "land_csv",
     "read_layer",
     "read_raw",

@@ -11,6 +11,9 @@ same check themselves from the target's metadata (no data is read).
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -23,6 +26,10 @@ class SchemaMismatchError(ValueError):
     """An overwrite would change the schema of an existing table or layer."""
 
 
+class SelfOverwriteError(ValueError):
+    """An overwrite of a layer path would read from that same path."""
+
+
 def table_format(spark: SparkSession, fmt: str | None = None) -> str:
     return fmt or spark.conf.get(FORMAT_CONF, None) or DEFAULT_FORMAT
 
@@ -50,6 +57,20 @@ def _existing_layer_schema(spark: SparkSession, path: str, fmt: str) -> StructTy
         raise
 
 
+def _without_scheme(path: str) -> str:
+    return "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", path).strip("/")
+
+
+def _reads_from(df: DataFrame, path: str) -> bool:
+    """Whether any input file of ``df`` lies under ``path``.
+
+    Compared without scheme or authority, so ``/x``, ``file:///x`` and
+    ``hdfs://nn/x`` are one folder; a false match only refuses a write.
+    """
+    target = _without_scheme(path) + "/"
+    return any(target in _without_scheme(f) for f in df.inputFiles())
+
+
 def read_layer(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Load a layer by path (O5); schema comes from the files.
 
@@ -59,6 +80,17 @@ def read_layer(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     return spark.read.format(table_format(spark, fmt)).load(path)
 
 
+def _overwriter(df: DataFrame, fmt: str, overwrite_schema: bool, existing: Callable[[], StructType | None], target: str):
+    """A full-refresh writer; refuses a schema change unless asked (Delta
+    does this itself, so the check runs only for other formats)."""
+    writer = df.write.format(fmt).mode("overwrite")
+    if fmt == "delta":
+        return writer.option("overwriteSchema", "true") if overwrite_schema else writer
+    if not overwrite_schema:
+        _check_schema(existing(), df.schema, target)
+    return writer
+
+
 def write_layer(
     df: DataFrame,
     path: str,
@@ -67,18 +99,19 @@ def write_layer(
 ) -> str:
     """Replace the layer at ``path`` with ``df``.
 
-    ``path`` must not be a source of ``df``: a Parquet overwrite deletes
-    the target before the job reads it.
+    ``path`` must not be a source of ``df``: a file-format overwrite
+    deletes the target before the job reads it, and Spark does not refuse
+    such a plan for paths (it does for tables), so the layer would be lost.
+    When the target exists, its files are looked for among ``df``'s input
+    files (listing metadata only) and the write is refused before anything
+    is deleted. Delta reads a snapshot and needs no such check.
     """
     spark = df.sparkSession
     fmt = table_format(spark, fmt)
-    writer = df.write.format(fmt).mode("overwrite")
-    if fmt == "delta":
-        if overwrite_schema:
-            writer = writer.option("overwriteSchema", "true")
-    elif not overwrite_schema:
-        _check_schema(_existing_layer_schema(spark, path, fmt), df.schema, path)
-    writer.save(path)
+    existing_schema = _existing_layer_schema(spark, path, fmt) if fmt != "delta" else None
+    if existing_schema is not None and _reads_from(df, path):
+        raise SelfOverwriteError(f"{path} is both read and overwritten by this job; write to another path")
+    _overwriter(df, fmt, overwrite_schema, lambda: existing_schema, path).save(path)
     return path
 
 
@@ -91,13 +124,8 @@ def write_table(
     """Replace the contents of managed table ``name`` with ``df``."""
     spark = df.sparkSession
     fmt = table_format(spark, fmt)
-    writer = df.write.format(fmt).mode("overwrite")
-    if fmt == "delta":
-        if overwrite_schema:
-            writer = writer.option("overwriteSchema", "true")
-    elif not overwrite_schema and spark.catalog.tableExists(name):
-        _check_schema(spark.table(name).schema, df.schema, name)
-    writer.saveAsTable(name)
+    existing = lambda: spark.table(name).schema if spark.catalog.tableExists(name) else None
+    _overwriter(df, fmt, overwrite_schema, existing, name).saveAsTable(name)
     return name
 
 
