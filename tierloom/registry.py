@@ -21,9 +21,9 @@ from tierloom.functions.cleaning import amount_as_double, order_date_as_date
 from tierloom.operators.aggregate import grouped_sum, row_count
 from tierloom.operators.dedup import dedup_rows
 from tierloom.plans.bronze import ingest
-from tierloom.plans.gold import customer_sales
+from tierloom.plans.gold import customer_sales, run_gold
 from tierloom.plans.medallion import Layers, run_medallion
-from tierloom.plans.silver import clean
+from tierloom.plans.silver import clean, run_silver
 from tierloom.session import scratch_database, scratch_path
 from tierloom.sources.fixtures import (
     AMOUNT_PLACEHOLDER,
@@ -59,6 +59,11 @@ def q_bronze_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(spark, _landed(spark, sf_dir), f"{scratch_database(spark)}.raw_sales")
 
 
+def q_bronze_ingest_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"{scratch_database(spark)}.bronze_sales"
+    return ingest(spark, _landed(spark, sf_dir, dirty=False), name, infer=True)
+
+
 def q_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = write_table(sales_raw(spark, sf_dir), f"{scratch_database(spark)}.sales")
     return read_table(spark, name)
@@ -91,6 +96,17 @@ def q_silver_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(sales_raw(spark, sf_dir))
 
 
+def q_silver_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bronze = f"{scratch_database(spark)}.raw_sales"
+    ingest(spark, _landed(spark, sf_dir), bronze)
+    return read_layer(spark, run_silver(spark, bronze, scratch_path(spark, "silver/sales")))
+
+
+def q_gold_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    silver = write_layer(clean(sales_raw(spark, sf_dir)), scratch_path(spark, "silver/sales"))
+    return _cents(read_layer(spark, run_gold(spark, silver, scratch_path(spark, "gold/customer_sales"))))
+
+
 def q_customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cents(grouped_sum(sales_typed(spark, sf_dir), "customer_id", "amount", "total_sales"))
 
@@ -112,6 +128,7 @@ QUERIES: dict[str, QueryFn] = {
     "ingest_csv_strings": q_ingest_csv_strings,
     "ingest_csv_inferred": q_ingest_csv_inferred,
     "bronze_ingest": q_bronze_ingest,
+    "bronze_ingest_inferred": q_bronze_ingest_inferred,
     "table_roundtrip": q_table_roundtrip,
     "layer_roundtrip": q_layer_roundtrip,
     "row_count": q_row_count,
@@ -119,8 +136,10 @@ QUERIES: dict[str, QueryFn] = {
     "cast_amount": q_cast_amount,
     "parse_order_date": q_parse_order_date,
     "silver_clean": q_silver_clean,
+    "silver_job": q_silver_job,
     "customer_totals": q_customer_totals,
     "gold_customer_sales": q_gold_customer_sales,
+    "gold_job": q_gold_job,
     "medallion_run": q_medallion_run,
 }
 
@@ -190,17 +209,24 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
 
-ORACLE_SQL: dict[str, str] = {
-    "ingest_csv_strings": _with(_LINES, _SALES_RAW) + "\nSELECT * FROM sales",
-    "ingest_csv_inferred": _with(_LINES, _SALES_PLAIN)
-    + """
+_INFERRED = _with(_LINES, _SALES_PLAIN) + """
 SELECT CAST(order_id AS INTEGER) AS order_id,
        CAST(customer_id AS INTEGER) AS customer_id,
        product,
        CAST(amount AS DOUBLE) AS amount,
        CAST(order_date AS DATE) AS order_date
-FROM sales""",
+FROM sales"""
+
+_GOLD = _with(_LINES, _SALES_RAW, _SILVER) + """
+SELECT customer_id, ROUND(SUM(amount), 2) AS total_sales
+FROM silver GROUP BY customer_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "ingest_csv_strings": _with(_LINES, _SALES_RAW) + "\nSELECT * FROM sales",
+    "ingest_csv_inferred": _INFERRED,
     "bronze_ingest": _with(_LINES, _SALES_RAW) + "\nSELECT * FROM sales",
+    "bronze_ingest_inferred": _INFERRED,
     "table_roundtrip": _with(_LINES, _SALES_RAW) + "\nSELECT * FROM sales",
     "layer_roundtrip": _with(_LINES, _SALES_RAW) + "\nSELECT * FROM sales",
     "row_count": _with(_LINES, _SALES_PLAIN) + '\nSELECT COUNT(*) AS "rows" FROM sales',
@@ -214,16 +240,12 @@ FROM sales""",
 SELECT order_id, customer_id, product, amount, TRY_CAST(order_date AS DATE) AS order_date
 FROM sales""",
     "silver_clean": _with(_LINES, _SALES_RAW, _SILVER) + "\nSELECT * FROM silver",
+    "silver_job": _with(_LINES, _SALES_RAW, _SILVER) + "\nSELECT * FROM silver",
     "customer_totals": _with(_LINES, _SALES_TYPED)
     + """
 SELECT customer_id, ROUND(SUM(amount), 2) AS total_sales
 FROM sales GROUP BY customer_id""",
-    "gold_customer_sales": _with(_LINES, _SALES_RAW, _SILVER)
-    + """
-SELECT customer_id, ROUND(SUM(amount), 2) AS total_sales
-FROM silver GROUP BY customer_id""",
-    "medallion_run": _with(_LINES, _SALES_RAW, _SILVER)
-    + """
-SELECT customer_id, ROUND(SUM(amount), 2) AS total_sales
-FROM silver GROUP BY customer_id""",
+    "gold_customer_sales": _GOLD,
+    "gold_job": _GOLD,
+    "medallion_run": _GOLD,
 }
