@@ -61,3 +61,14 @@ def test_single_file_path(spark):
     folder = land_sample(spark)
     (csv_file,) = [f for f in spark.read.text(folder).inputFiles() if f.endswith(".txt")]
     assert read_raw(spark, csv_file).count() == 4
+
+
+def test_declared_schema_checks_each_header(spark):
+    from tierloom.schema import SALES_RAW, SALES_TYPED
+
+    assert read_raw(spark, land_sample(spark), schema=SALES_RAW).count() == 4
+    typed = read_raw(spark, land_sample(spark), schema=SALES_TYPED)
+    assert sorted(r.order_id for r in typed.collect()) == [1001, 1002, 1003, 1004]
+    swapped = "customer_id,order_id,product,amount,order_date\nC1,1,p,1,2024-01-01\n"
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw(spark, land_sample(spark, swapped), schema=SALES_RAW).collect()

@@ -21,6 +21,11 @@ def read_raw(
     input before anything is written; at scale pass ``schema=`` (for
     example ``SALES_TYPED``) instead and no pass is made.
 
+    With a declared ``schema`` each file's header is still checked against
+    the schema's column names as the file is read (``enforceSchema=false``),
+    so a landing file with reordered or renamed columns fails instead of
+    being mapped by position; no extra job is run for it.
+
     Defaults otherwise are Spark's: comma separator, ``"`` quote,
     PERMISSIVE mode. A missing path raises ``AnalysisException``
     ``[PATH_NOT_FOUND]`` here, while the plan is built, so a job fails
@@ -28,7 +33,7 @@ def read_raw(
     """
     reader = spark.read.format("csv").option("header", "true")
     if schema is not None:
-        reader = reader.schema(schema)
+        reader = reader.schema(schema).option("enforceSchema", "false")
     elif infer:
         reader = reader.option("inferSchema", "true")
     if csv_options:
