@@ -130,3 +130,13 @@ def test_rerun_gives_same_tables(spark):
     second = sorted(tuple(r) for r in run_medallion(spark, layers).collect())
     assert first == second
     assert spark.table(layers.bronze).count() == 4
+
+
+def test_count_rows_matches_sql_count(spark):
+    from tierloom import count_rows, row_count
+
+    table = f"{scratch_database(spark)}.raw_sales"
+    bronze = ingest(spark, land_sample(spark), table)
+    got = count_rows(bronze)
+    assert got.schema.simpleString() == "struct<rows:bigint>"
+    assert got.collect() == row_count(spark, table).collect()
