@@ -74,3 +74,15 @@ def test_registered_queries_stay_jvm_side(spark):
         assert "isFinalPlan=true" in plan, name
         assert not any(node in plan for node in PYTHON_NODES), name
         assert re.search(r"\*\(\d+\) (HashAggregate|Project)", plan), name
+
+
+def test_spread_only_touches_under_split_inputs(spark):
+    from tierloom.sources.fixtures import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, 1, cores * 2)
+    assert spread(wide) is wide
+    narrow = spread(spark.range(0, 1000, 1, 1))
+    assert narrow.rdd.getNumPartitions() == cores
+    assert "RoundRobinPartitioning" in physical_plan(narrow)
+    assert sorted(r.id for r in narrow.collect()) == list(range(1000))
