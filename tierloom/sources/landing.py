@@ -19,7 +19,9 @@ def read_raw(
     before the first action is reading the header line. ``infer=True``
     (O2) lets Spark infer types, which is one extra full pass over the
     input before anything is written; at scale pass ``schema=`` (for
-    example ``SALES_TYPED``) instead and no pass is made.
+    example ``SALES_TYPED``) instead and no pass is made. The CSV option
+    ``samplingRatio`` infers from a sample, but then a later value that
+    does not fit the sampled type becomes NULL (PERMISSIVE mode).
 
     With a declared ``schema`` each file's header is still checked against
     the schema's column names as the file is read (``enforceSchema=false``),
