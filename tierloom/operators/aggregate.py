@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierloom.schema import ROW_COUNT, TOTAL_SALES
+
 
 def grouped_sum(
     df: DataFrame,
     key: str = "customer_id",
     value: str = "amount",
-    alias: str = "total_sales",
+    alias: str = TOTAL_SALES,
 ) -> DataFrame:
     """``SUM(value)`` per ``key``.
 
@@ -33,9 +35,9 @@ def row_count(spark: SparkSession, table: str) -> DataFrame:
     Each task counts its split and one row per task crosses to a single
     final count; on Parquet no column is decoded.
     """
-    return spark.sql(f"SELECT COUNT(*) AS rows FROM {_quote(table)}")
+    return spark.sql(f"SELECT COUNT(*) AS {ROW_COUNT} FROM {_quote(table)}")
 
 
 def count_rows(df: DataFrame) -> DataFrame:
     """The same count for a DataFrame that is not a table."""
-    return df.agg(F.count(F.lit(1)).alias("rows"))
+    return df.agg(F.count(F.lit(1)).alias(ROW_COUNT))

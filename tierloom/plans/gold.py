@@ -7,6 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from tierloom.operators.aggregate import grouped_sum
+from tierloom.schema import TOTAL_SALES
 from tierloom.sources.layers import read_layer, write_layer
 
 log = logging.getLogger(__name__)
@@ -19,7 +20,7 @@ def customer_sales(silver: DataFrame) -> DataFrame:
     shuffle moves one row per customer per task, however skewed the
     customers are.
     """
-    return grouped_sum(silver, key="customer_id", value="amount", alias="total_sales")
+    return grouped_sum(silver, key="customer_id", value="amount", alias=TOTAL_SALES)
 
 
 def run_gold(spark: SparkSession, silver_path: str, gold_path: str, fmt: str | None = None) -> str:

@@ -17,7 +17,11 @@ from pyspark.sql.types import (
     StructType,
 )
 
+# The names the reference gives the sales columns (in file
+# order), the gold total and the post-load count. Results must carry them.
 SALES_COLUMNS = ("order_id", "customer_id", "product", "amount", "order_date")
+TOTAL_SALES = "total_sales"
+ROW_COUNT = "rows"
 
 # Bronze, all-string mode: what a headered CSV read without inference gives.
 SALES_RAW = StructType([StructField(name, StringType(), True) for name in SALES_COLUMNS])
@@ -49,6 +53,6 @@ SALES_CLEAN = StructType(
 CUSTOMER_SALES = StructType(
     [
         StructField("customer_id", StringType(), True),
-        StructField("total_sales", DoubleType(), True),
+        StructField(TOTAL_SALES, DoubleType(), True),
     ]
 )
