@@ -72,3 +72,18 @@ def test_declared_schema_checks_each_header(spark):
     swapped = "customer_id,order_id,product,amount,order_date\nC1,1,p,1,2024-01-01\n"
     with pytest.raises(Exception, match="(?i)header"):
         read_raw(spark, land_sample(spark, swapped), schema=SALES_RAW).collect()
+
+
+def test_one_file_read_in_many_splits(spark):
+    header = "order_id,customer_id,product,amount,order_date\n"
+    body = "".join(f"{i},C{i % 7},p,{i}.5,2024-01-01\n" for i in range(2000))
+    folder = land_sample(spark, header + body)
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_raw(spark, folder)
+        assert df.rdd.getNumPartitions() > 5
+        assert df.count() == 2000
+        assert df.filter("order_id = 'order_id'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
