@@ -30,8 +30,8 @@ def cluster_conf(bronze_bytes: int) -> dict[str, str]:
     The widest shuffle is silver's dedup: every column of every row moves,
     so it is about as large as bronze itself (Parquet decodes to ~3x,
     shuffle compression takes back ~2x: count 1.5x). Its cost grows with
-    map tasks x reduce partitions (shuffle blocks), so both are kept
-    large rather than many:
+    map tasks x reduce partitions (the number of shuffle blocks), so both
+    are kept few and large:
 
     - 1 GiB input splits. Parquet and CSV scans stream, so a big split
       costs no executor memory; 30 TB of bronze is 30k map tasks.
