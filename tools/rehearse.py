@@ -13,7 +13,12 @@ must spill and fall back to sort-based aggregation.
 adds copies of one of its rows making up another third of the input: the
 two cases the plans are built to absorb by map-side combining.
 
-Prints one JSON line: rows, seconds, spill count and whether gold matches.
+``--compare-plans`` also times silver+gold as one plan over the written
+bronze two ways (median of 3, no sink): the chosen plan, which shuffles on
+all columns and then on partial sums, and the rejected single shuffle on
+``customer_id``, which a hot customer turns into one long task.
+
+Prints one JSON line: rows, seconds, whether gold matches, plan timings.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -30,7 +36,9 @@ import duckdb  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from tierloom.plans.gold import customer_sales  # noqa: E402
 from tierloom.plans.medallion import Layers, run_medallion  # noqa: E402
+from tierloom.plans.silver import clean  # noqa: E402
 from tierloom.session import BASE_CONF, scratch_database, scratch_path  # noqa: E402
 from tierloom.sources.fixtures import sales_raw  # noqa: E402
 from tierloom.sources.landing import land_csv  # noqa: E402
@@ -56,6 +64,21 @@ def landing_rows(spark, sf_dir, copies, skew):
     return hot.unionByName(repeated)
 
 
+def compare_plans(bronze) -> dict:
+    def median_seconds(df):
+        times = []
+        for _ in range(4):
+            start = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        return round(statistics.median(times[1:]), 2)
+
+    return {
+        "all_columns_then_partial_sums": median_seconds(customer_sales(clean(bronze))),
+        "single_shuffle_on_customer": median_seconds(customer_sales(clean(bronze.repartition("customer_id")))),
+    }
+
+
 def duckdb_gold(raw: str) -> dict:
     con = duckdb.connect()
     con.execute("SET threads=8")
@@ -74,6 +97,7 @@ def main() -> None:
     parser.add_argument("--copies", type=int, default=10)
     parser.add_argument("--memory", default="2g")
     parser.add_argument("--skew", action="store_true")
+    parser.add_argument("--compare-plans", action="store_true")
     args = parser.parse_args()
 
     builder = (
@@ -97,6 +121,7 @@ def main() -> None:
     seconds = time.perf_counter() - start
     spark.sparkContext.setLogLevel("WARN")
     bronze_rows = spark.table(layers.bronze).count()
+    plans = compare_plans(spark.table(layers.bronze)) if args.compare_plans else None
     spark.stop()
 
     expected = duckdb_gold(raw)
@@ -117,6 +142,7 @@ def main() -> None:
                 "hot_total": gold.get("HOT"),
                 "max_abs_diff": worst,
                 "ok": gold.keys() == expected.keys() and nulls_agree and worst < 1e-6 * max(1.0, max(abs(v) for v in expected.values() if v is not None)),
+                "plans_sec": plans,
             }
         )
     )
