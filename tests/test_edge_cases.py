@@ -140,3 +140,15 @@ def test_count_rows_matches_sql_count(spark):
     got = count_rows(bronze)
     assert got.schema.simpleString() == "struct<rows:bigint>"
     assert got.collect() == row_count(spark, table).collect()
+
+
+def test_strict_run_fails_on_malformed_amount(spark):
+    bad = "order_id,customer_id,product,amount,order_date\n1,C1,p,x,2024-01-01\n"
+    layers = Layers.under(
+        scratch_path(spark, "lake"),
+        raw=land_sample(spark, bad),
+        bronze_table=f"{scratch_database(spark)}.raw_sales",
+    )
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        run_medallion(spark, layers, strict=True)
+    assert run_medallion(spark, layers).collect()[0].total_sales is None

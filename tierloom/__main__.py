@@ -31,6 +31,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     mode = parser.add_mutually_exclusive_group()
     mode.add_argument("--infer", action="store_true", help="infer bronze types (one extra pass)")
     mode.add_argument("--typed", action="store_true", help="read bronze with the declared typed schema")
+    parser.add_argument("--strict", action="store_true", help="plain casts: fail on malformed values under ANSI")
     parser.add_argument("--bronze-bytes", type=int, default=None, help="size hint for shuffle sizing")
     return parser.parse_args(argv)
 
@@ -44,7 +45,12 @@ def main(argv: list[str] | None = None) -> int:
             spark.conf.set(key, value)
     layers = Layers(raw=args.raw, bronze=args.bronze, silver=args.silver, gold=args.gold)
     gold = run_medallion(
-        spark, layers, infer=args.infer, schema=SALES_TYPED if args.typed else None, fmt=args.fmt
+        spark,
+        layers,
+        infer=args.infer,
+        schema=SALES_TYPED if args.typed else None,
+        fmt=args.fmt,
+        strict=args.strict,
     )
     bronze_rows = row_count(spark, layers.bronze).first()["rows"]
     gold_rows = gold.count()

@@ -39,9 +39,13 @@ def run_medallion(
     infer: bool = False,
     schema: StructType | str | None = None,
     fmt: str | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Run bronze, silver and gold in order and return the gold mart.
 
+    ``strict=True`` makes silver use the plain casts, which under ANSI mode
+    fail the run on the first malformed amount or date.
+
     Each layer is written before the next one reads it, so every job
     starts from files: lineage is cut at each layer, a lost executor
     costs a recompute from the last written layer only, and gold's scan
@@ -50,6 +54,6 @@ def run_medallion(
     if len({layers.raw, layers.bronze, layers.silver, layers.gold}) != 4:
         raise ValueError(f"layers must be distinct: {layers}")
     ingest(spark, layers.raw, layers.bronze, infer=infer, schema=schema, fmt=fmt)
-    run_silver(spark, layers.bronze, layers.silver, fmt=fmt)
+    run_silver(spark, layers.bronze, layers.silver, fmt=fmt, strict=strict)
     run_gold(spark, layers.silver, layers.gold, fmt=fmt)
     return read_layer(spark, layers.gold, fmt=fmt)
