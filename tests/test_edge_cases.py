@@ -152,3 +152,15 @@ def test_strict_run_fails_on_malformed_amount(spark):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         run_medallion(spark, layers, strict=True)
     assert run_medallion(spark, layers).collect()[0].total_sales is None
+
+
+def test_header_only_drop_gives_empty_layers(spark):
+    empty = "order_id,customer_id,product,amount,order_date\n"
+    layers = Layers.under(
+        scratch_path(spark, "lake"),
+        raw=land_sample(spark, empty),
+        bronze_table=f"{scratch_database(spark)}.raw_sales",
+    )
+    gold = run_medallion(spark, layers)
+    assert gold.count() == 0
+    assert spark.table(layers.bronze).columns == ["order_id", "customer_id", "product", "amount", "order_date"]
