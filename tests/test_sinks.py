@@ -43,6 +43,9 @@ def test_default_format_is_a_session_setting(spark):
 def test_layers_must_be_distinct(spark):
     with pytest.raises(ValueError):
         run_medallion(spark, Layers(raw="a", bronze="b", silver="c", gold="c"))
+    with pytest.raises(ValueError, match="inside"):
+        run_medallion(spark, Layers(raw="/l/raw", bronze="b", silver="/l/silver", gold="/l/silver/gold/"))
+    Layers(raw="/l/raw", bronze="b", silver="/l/silver", gold="/l/silver_gold").check()
 
 
 def test_work_dir_comes_from_the_session(spark):

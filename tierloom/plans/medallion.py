@@ -27,6 +27,18 @@ class Layers:
     silver: str
     gold: str
 
+    def check(self) -> None:
+        """Refuse equal locations, and paths nested in one another: a nested
+        layer would be deleted by the outer one's overwrite, or read as
+        part of it."""
+        if len({self.raw, self.bronze, self.silver, self.gold}) != 4:
+            raise ValueError(f"layers must be distinct: {self}")
+        paths = [p.rstrip("/") + "/" for p in (self.raw, self.silver, self.gold)]
+        for outer in paths:
+            for inner in paths:
+                if outer != inner and inner.startswith(outer):
+                    raise ValueError(f"layer {inner} lies inside layer {outer}")
+
     @classmethod
     def under(cls, base: str, raw: str, bronze_table: str) -> Layers:
         base = base.rstrip("/")
@@ -51,8 +63,7 @@ def run_medallion(
     costs a recompute from the last written layer only, and gold's scan
     reads just the two columns it needs.
     """
-    if len({layers.raw, layers.bronze, layers.silver, layers.gold}) != 4:
-        raise ValueError(f"layers must be distinct: {layers}")
+    layers.check()
     ingest(spark, layers.raw, layers.bronze, infer=infer, schema=schema, fmt=fmt)
     run_silver(spark, layers.bronze, layers.silver, fmt=fmt, strict=strict)
     run_gold(spark, layers.silver, layers.gold, fmt=fmt)
