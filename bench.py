@@ -100,6 +100,7 @@ def main() -> None:
                 "queries": medians,
                 "sf": os.path.basename(sf_dir).removeprefix("sf"),
                 "rows": rows,
+                "medallion_rows_per_sec": round(rows / medians["medallion_run"]),
                 "cpus": cpus,
             }
         )
