@@ -53,6 +53,12 @@ def main() -> None:
     }
     for title, df in jobs.items():
         print(f"### {title}\n\n```\n{final_plan(df)}\n```\n")
+    # At 100 TB orders and part fail the broadcast size check; this shows
+    # the plan Spark then makes.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    title = "flagship with broadcast off (the join shape at 100 TB)"
+    print(f"### {title}\n\n```\n{final_plan(QUERIES['gold_customer_sales'](spark, sf_dir))}\n```\n")
     spark.stop()
 
 
