@@ -86,3 +86,27 @@ def test_spread_only_touches_under_split_inputs(spark):
     assert narrow.rdd.getNumPartitions() == cores
     assert "RoundRobinPartitioning" in physical_plan(narrow)
     assert sorted(r.id for r in narrow.collect()) == list(range(1000))
+
+
+def test_cluster_conf_runs_and_coalesces(spark):
+    from tierloom.session import cluster_conf
+
+    settings = cluster_conf(1 << 40)  # 1 TiB of bronze: ~3k initial partitions
+    assert int(settings["spark.sql.shuffle.partitions"]) > 3000
+    previous = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = QUERIES["gold_customer_sales"](spark, SF001)
+        rows = df.collect()
+        assert len(rows) == 150
+        plan = physical_plan(df)
+        assert "AQEShuffleRead coalesced" in plan
+        # Tiny shuffles are merged into one partition, not thousands.
+        assert df.rdd.getNumPartitions() == 1
+    finally:
+        for key, value in previous.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
