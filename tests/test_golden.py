@@ -77,11 +77,26 @@ def test_medallion_run_inferred_gold(spark):
 
 def test_application_entry_point(spark):
     from tierloom.__main__ import main
+    from tierloom.session import cluster_conf
+    from tierloom.sources.layers import table_bytes
 
+    keys = list(cluster_conf(1))
+    previous = {key: spark.conf.get(key, None) for key in keys}
     base = scratch_path(spark, "app")
     bronze = f"{scratch_database(spark)}.raw_sales"
     argv = ["--raw", land_sample(spark), "--bronze", bronze, "--silver", f"{base}/silver", "--gold", f"{base}/gold"]
-    assert main(argv + ["--typed"]) == 0
-    gold = read_layer(spark, f"{base}/gold")
-    assert {r.customer_id: r.total_sales for r in gold.collect()} == GOLD
-    assert spark.table(bronze).schema["order_id"].dataType.simpleString() == "bigint"
+    try:
+        assert main(argv + ["--typed"]) == 0
+        gold = read_layer(spark, f"{base}/gold")
+        assert {r.customer_id: r.total_sales for r in gold.collect()} == GOLD
+        assert spark.table(bronze).schema["order_id"].dataType.simpleString() == "bigint"
+        # The shuffles were sized from bronze's measured size.
+        measured = table_bytes(spark, bronze)
+        assert 0 < measured < 1 << 20
+        assert spark.conf.get("spark.sql.shuffle.partitions") == cluster_conf(measured)["spark.sql.shuffle.partitions"]
+    finally:
+        for key, value in previous.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

@@ -4,8 +4,10 @@
         --raw s3a://lake/landing/sales/ --bronze bronze.raw_sales \\
         --silver s3a://lake/silver/sales --gold s3a://lake/gold/customer_sales
 
-The session comes from the cluster's configuration. ``--bronze-bytes``
-applies ``cluster_conf`` sizing for that much bronze data.
+The session comes from the cluster's configuration. Once bronze is
+written, its size is read from catalog statistics (no data is read) and
+``cluster_conf`` sizes the silver and gold shuffles for it;
+``--bronze-bytes`` overrides the measured size.
 """
 
 from __future__ import annotations
@@ -16,9 +18,13 @@ import logging
 from pyspark.sql import SparkSession
 
 from tierloom.operators.aggregate import row_count
-from tierloom.plans.medallion import Layers, run_medallion
+from tierloom.plans.bronze import ingest
+from tierloom.plans.gold import run_gold
+from tierloom.plans.medallion import Layers
+from tierloom.plans.silver import run_silver
 from tierloom.schema import SALES_TYPED
 from tierloom.session import cluster_conf
+from tierloom.sources.layers import read_layer, table_bytes
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
@@ -39,22 +45,24 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> int:
     args = parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
+    log = logging.getLogger("tierloom")
     spark = SparkSession.builder.appName("tierloom").getOrCreate()
-    if args.bronze_bytes:
-        for key, value in cluster_conf(args.bronze_bytes).items():
-            spark.conf.set(key, value)
     layers = Layers(raw=args.raw, bronze=args.bronze, silver=args.silver, gold=args.gold)
-    gold = run_medallion(
-        spark,
-        layers,
-        infer=args.infer,
-        schema=SALES_TYPED if args.typed else None,
-        fmt=args.fmt,
-        strict=args.strict,
-    )
+    layers.check()
+
+    schema = SALES_TYPED if args.typed else None
+    ingest(spark, layers.raw, layers.bronze, infer=args.infer, schema=schema, fmt=args.fmt)
+    bronze_bytes = args.bronze_bytes or table_bytes(spark, layers.bronze)
+    settings = cluster_conf(bronze_bytes)
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    log.info("bronze %d bytes: %s shuffle partitions", bronze_bytes, settings["spark.sql.shuffle.partitions"])
+
+    run_silver(spark, layers.bronze, layers.silver, fmt=args.fmt, strict=args.strict)
+    run_gold(spark, layers.silver, layers.gold, fmt=args.fmt)
     bronze_rows = row_count(spark, layers.bronze).first()["rows"]
-    gold_rows = gold.count()
-    logging.getLogger("tierloom").info("bronze rows %d, gold customers %d", bronze_rows, gold_rows)
+    gold_rows = read_layer(spark, layers.gold, fmt=args.fmt).count()
+    log.info("bronze rows %d, gold customers %d", bronze_rows, gold_rows)
     return 0
 
 

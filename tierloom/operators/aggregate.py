@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierloom.schema import ROW_COUNT, TOTAL_SALES
+from tierloom.sources.layers import quote_name
 
 
 def grouped_sum(
@@ -25,17 +26,13 @@ def grouped_sum(
     return df.groupBy(key).agg(F.sum(value).alias(alias))
 
 
-def _quote(name: str) -> str:
-    return ".".join(f"`{part.strip('`')}`" for part in name.split("."))
-
-
 def row_count(spark: SparkSession, table: str) -> DataFrame:
     """``SELECT COUNT(*) AS rows FROM <table>`` (O7): one ``bigint`` column.
 
     Each task counts its split and one row per task crosses to a single
     final count; on Parquet no column is decoded.
     """
-    return spark.sql(f"SELECT COUNT(*) AS {ROW_COUNT} FROM {_quote(table)}")
+    return spark.sql(f"SELECT COUNT(*) AS {ROW_COUNT} FROM {quote_name(table)}")
 
 
 def count_rows(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from tierloom.sources.layers import (
     SelfOverwriteError,
     read_layer,
     read_table,
+    table_bytes,
     table_format,
     write_layer,
     write_table,
@@ -18,6 +19,7 @@ __all__ = [
     "read_layer",
     "read_raw",
     "read_table",
+    "table_bytes",
     "table_format",
     "write_layer",
     "write_table",

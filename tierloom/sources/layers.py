@@ -132,3 +132,27 @@ def write_table(
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """Load a managed table by name."""
     return spark.table(name)
+
+
+def quote_name(name: str) -> str:
+    """Quote each part of ``db.table`` with backticks, for SQL text."""
+    return ".".join(f"`{part.strip('`')}`" for part in name.split("."))
+
+
+def table_bytes(spark: SparkSession, name: str) -> int:
+    """Size of table ``name`` on storage, from catalog metadata only.
+
+    ``ANALYZE … NOSCAN`` sums the sizes of the table's files without
+    reading them (no Spark job) and records the figure in the catalog,
+    where Catalyst's size estimates also pick it up. Delta reports its
+    size in ``DESCRIBE DETAIL``.
+    """
+    quoted = quote_name(name)
+
+    def details() -> dict[str, str]:  # a few dozen rows of table metadata
+        return {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {quoted}").collect()}
+
+    if details().get("Provider", "").lower() == "delta":
+        return int(spark.sql(f"DESCRIBE DETAIL {quoted}").first()["sizeInBytes"])
+    spark.sql(f"ANALYZE TABLE {quoted} COMPUTE STATISTICS NOSCAN")
+    return int(details()["Statistics"].split(" bytes")[0])
