@@ -94,6 +94,14 @@ def test_application_entry_point(spark):
         measured = table_bytes(spark, bronze)
         assert 0 < measured < 1 << 20
         assert spark.conf.get("spark.sql.shuffle.partitions") == cluster_conf(measured)["spark.sql.shuffle.partitions"]
+        # Resume at gold: bronze and silver are read as they are.
+        spark.sql(f"INSERT INTO {bronze} VALUES (9999, 'C009', 'p', 1.0, DATE'2024-02-01')")
+        assert main(argv + ["--start", "gold"]) == 0
+        assert {r.customer_id: r.total_sales for r in read_layer(spark, f"{base}/gold").collect()} == GOLD
+        # Resume at silver: the row added to bronze now reaches gold.
+        assert main(argv + ["--start", "silver"]) == 0
+        gold = {r.customer_id: r.total_sales for r in read_layer(spark, f"{base}/gold").collect()}
+        assert gold == {**GOLD, "C009": 1.0}
     finally:
         for key, value in previous.items():
             if value is None:

@@ -27,6 +27,9 @@ from tierloom.session import cluster_conf
 from tierloom.sources.layers import read_layer, table_bytes
 
 
+STEPS = ("bronze", "silver", "gold")
+
+
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="tierloom", description=__doc__.splitlines()[0])
     parser.add_argument("--raw", required=True, help="landing folder of headered CSV files")
@@ -38,6 +41,12 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     mode.add_argument("--infer", action="store_true", help="infer bronze types (one extra pass)")
     mode.add_argument("--typed", action="store_true", help="read bronze with the declared typed schema")
     parser.add_argument("--strict", action="store_true", help="plain casts: fail on malformed values under ANSI")
+    parser.add_argument(
+        "--start",
+        choices=STEPS,
+        default="bronze",
+        help="first layer to rebuild; the layers before it are read as they are",
+    )
     parser.add_argument("--bronze-bytes", type=int, default=None, help="size hint for shuffle sizing")
     return parser.parse_args(argv)
 
@@ -50,15 +59,20 @@ def main(argv: list[str] | None = None) -> int:
     layers = Layers(raw=args.raw, bronze=args.bronze, silver=args.silver, gold=args.gold)
     layers.check()
 
-    schema = SALES_TYPED if args.typed else None
-    ingest(spark, layers.raw, layers.bronze, infer=args.infer, schema=schema, fmt=args.fmt)
+    # Each step fully replaces its own layer from the one before, so a run
+    # that died part-way is repaired by starting again at the failed step.
+    steps = STEPS[STEPS.index(args.start):]
+    if "bronze" in steps:
+        schema = SALES_TYPED if args.typed else None
+        ingest(spark, layers.raw, layers.bronze, infer=args.infer, schema=schema, fmt=args.fmt)
     bronze_bytes = args.bronze_bytes or table_bytes(spark, layers.bronze)
     settings = cluster_conf(bronze_bytes)
     for key, value in settings.items():
         spark.conf.set(key, value)
     log.info("bronze %d bytes: %s shuffle partitions", bronze_bytes, settings["spark.sql.shuffle.partitions"])
 
-    run_silver(spark, layers.bronze, layers.silver, fmt=args.fmt, strict=args.strict)
+    if "silver" in steps:
+        run_silver(spark, layers.bronze, layers.silver, fmt=args.fmt, strict=args.strict)
     run_gold(spark, layers.silver, layers.gold, fmt=args.fmt)
     bronze_rows = row_count(spark, layers.bronze).first()["rows"]
     gold_rows = read_layer(spark, layers.gold, fmt=args.fmt).count()
