@@ -10,6 +10,7 @@ from tierloom.functions import amount_as_double, order_date_as_date
 from tierloom.plans.gold import customer_sales
 from tierloom.plans.silver import clean
 from tierloom.schema import SALES_RAW
+from tierloom.sources.landing import EmptyLandingError
 from tierloom.session import scratch_database, scratch_path
 
 from test_golden import land_sample
@@ -164,3 +165,19 @@ def test_header_only_drop_gives_empty_layers(spark):
     gold = run_medallion(spark, layers)
     assert gold.count() == 0
     assert spark.table(layers.bronze).columns == ["order_id", "customer_id", "product", "amount", "order_date"]
+
+
+def test_empty_landing_folder_fails_before_write(spark):
+    table = f"{scratch_database(spark)}.raw_sales"
+    ingest(spark, land_sample(spark), table)
+    empty = scratch_path(spark, "empty")
+    spark.createDataFrame([], "value string").write.text(empty)  # folder with only _SUCCESS
+    with pytest.raises(EmptyLandingError):
+        ingest(spark, empty, table)
+    assert spark.table(table).count() == 4
+    first = f"{scratch_database(spark)}.raw_sales"
+    with pytest.raises(EmptyLandingError):
+        ingest(spark, empty, first, infer=True)
+    assert not spark.catalog.tableExists(first)
+    # A declared schema makes an empty drop a valid, empty bronze.
+    assert ingest(spark, empty, first, schema=SALES_RAW).count() == 0

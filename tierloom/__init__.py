@@ -8,6 +8,7 @@ from tierloom.functions import amount_as_double, order_date_as_date
 from tierloom.operators import count_rows, dedup_rows, grouped_sum, row_count
 from tierloom.plans import Layers, clean, customer_sales, ingest, run_gold, run_medallion, run_silver
 from tierloom.sources import (
+    EmptyLandingError,
     SchemaMismatchError,
     SelfOverwriteError,
     land_csv,
@@ -19,6 +20,7 @@ from tierloom.sources import (
 )
 
 __all__ = [
+    "EmptyLandingError",
     "Layers",
     "SchemaMismatchError",
     "SelfOverwriteError",

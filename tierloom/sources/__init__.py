@@ -1,6 +1,6 @@
 """Sources and sinks: landing CSV, layer tables and paths, test fixtures."""
 
-from tierloom.sources.landing import land_csv, read_raw
+from tierloom.sources.landing import EmptyLandingError, land_csv, read_raw
 from tierloom.sources.layers import (
     SchemaMismatchError,
     SelfOverwriteError,
@@ -13,6 +13,7 @@ from tierloom.sources.layers import (
 )
 
 __all__ = [
+    "EmptyLandingError",
     "SchemaMismatchError",
     "SelfOverwriteError",
     "land_csv",

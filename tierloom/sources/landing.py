@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+class EmptyLandingError(FileNotFoundError):
+    """The landing path exists but holds no file to take columns from."""
+
+
 def read_raw(
     spark: SparkSession,
     path: str,
@@ -31,7 +35,10 @@ def read_raw(
     Defaults otherwise are Spark's: comma separator, ``"`` quote,
     PERMISSIVE mode. A missing path raises ``AnalysisException``
     ``[PATH_NOT_FOUND]`` here, while the plan is built, so a job fails
-    before it writes anything (O3).
+    before it writes anything (O3). A path with no data files gives Spark
+    no header and an empty schema rather than an error, so that raises
+    ``EmptyLandingError`` here too (with a declared schema an empty drop
+    is simply zero rows).
     """
     reader = spark.read.format("csv").option("header", "true")
     if schema is not None:
@@ -40,7 +47,10 @@ def read_raw(
         reader = reader.option("inferSchema", "true")
     if csv_options:
         reader = reader.options(**csv_options)
-    return reader.load(path)
+    df = reader.load(path)
+    if not df.schema.fields:
+        raise EmptyLandingError(f"no CSV files with a header under {path}")
+    return df
 
 
 def land_csv(df: DataFrame, path: str) -> str:
