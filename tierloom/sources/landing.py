@@ -27,10 +27,11 @@ def read_raw(
     ``samplingRatio`` infers from a sample, but then a later value that
     does not fit the sampled type becomes NULL (PERMISSIVE mode).
 
-    With a declared ``schema`` each file's header is still checked against
-    the schema's column names as the file is read (``enforceSchema=false``),
-    so a landing file with reordered or renamed columns fails instead of
-    being mapped by position; no extra job is run for it.
+    In every mode each file's header is checked against the column names
+    as the file is read (``enforceSchema=false``): Spark's default takes the
+    names from one file and maps every other file by position, so a drop
+    with one reordered file would be ingested silently wrong. The check
+    runs inside the scan, so it adds no job.
 
     Defaults otherwise are Spark's: comma separator, ``"`` quote,
     PERMISSIVE mode. A missing path raises ``AnalysisException``
@@ -40,9 +41,9 @@ def read_raw(
     ``EmptyLandingError`` here too (with a declared schema an empty drop
     is simply zero rows).
     """
-    reader = spark.read.format("csv").option("header", "true")
+    reader = spark.read.format("csv").option("header", "true").option("enforceSchema", "false")
     if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", "false")
+        reader = reader.schema(schema)
     elif infer:
         reader = reader.option("inferSchema", "true")
     if csv_options:
