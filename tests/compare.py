@@ -21,8 +21,8 @@ def duckdb_views(sf_dir):
 def _norm(value):
     if value is None:
         return None
-    if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6)
+    if isinstance(value, float):  # compared exactly: both sides must give the same double
+        return None if math.isnan(value) else value
     if isinstance(value, datetime.datetime):
         return value.isoformat()
     if isinstance(value, datetime.date):
