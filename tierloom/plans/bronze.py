@@ -25,7 +25,8 @@ def ingest(
 
     All-string by default (O1 → O4); ``infer=True`` for inferred types
     (O2 → O4), or an explicit ``schema`` to skip the inference pass. A
-    missing ``raw_path`` fails before the table is touched (O3). The copy
+    missing ``raw_path``, or one without files, fails before the table is
+    touched (O3). The copy
     is a narrow scan-to-write: no shuffle, one output file per input split.
     Returns the bronze table; count it with ``row_count`` (O7).
     """
