@@ -28,8 +28,7 @@ from tierloom.plans.silver import run_silver  # noqa: E402
 from tierloom.registry import QUERIES  # noqa: E402
 from tierloom.schema import SALES_TYPED  # noqa: E402
 from tierloom.session import local_session, scratch_database, scratch_path  # noqa: E402
-from tierloom.sources.fixtures import sales_raw  # noqa: E402
-from tierloom.sources.landing import land_csv  # noqa: E402
+from tierloom.sources.fixtures import land_csv, sales_raw  # noqa: E402
 
 
 def main() -> None:

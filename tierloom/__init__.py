@@ -11,7 +11,6 @@ from tierloom.sources import (
     EmptyLandingError,
     SchemaMismatchError,
     SelfOverwriteError,
-    land_csv,
     read_layer,
     read_raw,
     read_table,
@@ -31,7 +30,6 @@ __all__ = [
     "dedup_rows",
     "grouped_sum",
     "ingest",
-    "land_csv",
     "order_date_as_date",
     "read_layer",
     "read_raw",

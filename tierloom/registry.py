@@ -29,10 +29,11 @@ from tierloom.sources.fixtures import (
     AMOUNT_PLACEHOLDER,
     DATE_PLACEHOLDER,
     REDELIVERED_FLAG,
+    land_csv,
     sales_raw,
     sales_typed,
 )
-from tierloom.sources.landing import land_csv, read_raw
+from tierloom.sources.landing import read_raw
 from tierloom.sources.layers import read_layer, read_table, write_layer, write_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

@@ -1,6 +1,6 @@
 """Sources and sinks: landing CSV, layer tables and paths, test fixtures."""
 
-from tierloom.sources.landing import EmptyLandingError, land_csv, read_raw
+from tierloom.sources.landing import EmptyLandingError, read_raw
 from tierloom.sources.layers import (
     SchemaMismatchError,
     SelfOverwriteError,
@@ -16,7 +16,6 @@ __all__ = [
     "EmptyLandingError",
     "SchemaMismatchError",
     "SelfOverwriteError",
-    "land_csv",
     "read_layer",
     "read_raw",
     "read_table",

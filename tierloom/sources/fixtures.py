@@ -108,3 +108,12 @@ def sales_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_discount") == 0, F.lit(None)).otherwise(_price_text().cast("double")).alias("amount"),
         F.when(F.col("l_tax") == 0, F.lit(None)).otherwise(F.col("o_orderdate").cast("date")).alias("order_date"),
     )
+
+
+def land_csv(df: DataFrame, path: str) -> str:
+    """Stage ``df`` as headered CSV files at ``path``: a landing drop for
+    the ingest to read. One file per task, no shuffle. Test input only; the
+    reference has no CSV sink.
+    """
+    df.write.mode("overwrite").option("header", "true").csv(path)
+    return path

@@ -52,12 +52,3 @@ def read_raw(
     if not df.schema.fields:
         raise EmptyLandingError(f"no CSV files with a header under {path}")
     return df
-
-
-def land_csv(df: DataFrame, path: str) -> str:
-    """Write ``df`` as headered CSV files at ``path`` (a landing drop).
-
-    Used to stage landing files for ingest; one file per task, no shuffle.
-    """
-    df.write.mode("overwrite").option("header", "true").csv(path)
-    return path

@@ -40,8 +40,7 @@ from tierloom.plans.gold import customer_sales  # noqa: E402
 from tierloom.plans.medallion import Layers, run_medallion  # noqa: E402
 from tierloom.plans.silver import clean  # noqa: E402
 from tierloom.session import BASE_CONF, scratch_database, scratch_path  # noqa: E402
-from tierloom.sources.fixtures import sales_raw  # noqa: E402
-from tierloom.sources.landing import land_csv  # noqa: E402
+from tierloom.sources.fixtures import land_csv, sales_raw  # noqa: E402
 
 
 def landing_rows(spark, sf_dir, copies, skew):

@@ -21,8 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tierloom import clean, customer_sales, ingest, read_layer, read_raw, read_table, row_count, write_layer  # noqa: E402
 from tierloom.registry import QUERIES  # noqa: E402
 from tierloom.session import local_session, scratch_database, scratch_path  # noqa: E402
-from tierloom.sources.fixtures import sales_raw  # noqa: E402
-from tierloom.sources.landing import land_csv  # noqa: E402
+from tierloom.sources.fixtures import land_csv, sales_raw  # noqa: E402
 
 
 def final_plan(df) -> str:
