@@ -117,3 +117,23 @@ def test_overwriting_a_table_from_itself_is_refused_by_spark(spark):
     with pytest.raises(AnalysisException, match="UNSUPPORTED_OVERWRITE"):
         write_table(spark.table(name).filter("x > 1"), name)
     assert spark.table(name).count() == 4
+
+
+@pytest.mark.parametrize(
+    "path, expected",
+    [
+        ("/lake/silver", "/lake/silver"),
+        ("/lake/silver/", "/lake/silver"),
+        ("file:/lake/silver", "/lake/silver"),
+        ("file:///lake/silver", "/lake/silver"),
+        ("hdfs://nn:8020/lake/silver", "/nn:8020/lake/silver"),
+        ("s3a://bucket/lake/silver", "/bucket/lake/silver"),
+    ],
+)
+def test_path_normalisation(path, expected):
+    from tierloom.sources.layers import _without_scheme
+
+    assert _without_scheme(path) == expected
+    # The guard looks for the target as a whole folder inside each input path.
+    assert "/lake/silver/" in _without_scheme(path + "/part-0.parquet")
+    assert "/lake/silver/" not in _without_scheme(path + "_old/part-0.parquet")
