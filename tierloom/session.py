@@ -34,7 +34,11 @@ def cluster_conf(bronze_bytes: int) -> dict[str, str]:
     are kept few and large:
 
     - 1 GiB input splits. Parquet and CSV scans stream, so a big split
-      costs no executor memory; 30 TB of bronze is 30k map tasks.
+      costs no executor memory; 30 TB of bronze is 30k map tasks. The
+      map-side partial dedup of such a split may outgrow task memory on
+      mostly-distinct data and spill; that is accepted, because 4x more map
+      tasks would also mean 4x more map-output statuses on the driver, each
+      sized by the reduce-partition count.
     - One reduce partition per 512 MiB of shuffle data: each reducer's
       dedup hash map stays well inside executor memory (and falls back to
       sort-based aggregation, spilling, if a partition is larger); 30 TB
