@@ -110,3 +110,16 @@ def test_cluster_conf_runs_and_coalesces(spark):
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def test_large_split_setting_keeps_small_inputs_parallel(spark):
+    from tierloom.session import SCAN_CONF
+
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", SCAN_CONF["spark.sql.files.maxPartitionBytes"])
+        landed = _landed(spark, SF001)
+        # A few hundred KB of CSV still splits across the cores.
+        assert read_raw(spark, landed).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism // 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)

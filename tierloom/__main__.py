@@ -4,8 +4,9 @@
         --raw s3a://lake/landing/sales/ --bronze bronze.raw_sales \\
         --silver s3a://lake/silver/sales --gold s3a://lake/gold/customer_sales
 
-The session comes from the cluster's configuration. Once bronze is
-written, its size is read from catalog statistics (no data is read) and
+The session comes from the cluster's configuration. AQE and 1 GiB input
+splits are set first (they suit any size); once bronze is written, its
+size is read from catalog statistics (no data is read) and
 ``cluster_conf`` sizes the silver and gold shuffles for it;
 ``--bronze-bytes`` overrides the measured size.
 """
@@ -23,7 +24,7 @@ from tierloom.plans.gold import run_gold
 from tierloom.plans.medallion import Layers
 from tierloom.plans.silver import run_silver
 from tierloom.schema import SALES_TYPED
-from tierloom.session import cluster_conf
+from tierloom.session import BASE_CONF, SCAN_CONF, cluster_conf
 from tierloom.sources.layers import read_layer, table_bytes
 
 
@@ -62,6 +63,8 @@ def main(argv: list[str] | None = None) -> int:
     # Each step fully replaces its own layer from the one before, so a run
     # that died part-way is repaired by starting again at the failed step.
     steps = STEPS[STEPS.index(args.start):]
+    for key, value in {**BASE_CONF, **SCAN_CONF}.items():  # size-independent: set before the ingest
+        spark.conf.set(key, value)
     if "bronze" in steps:
         schema = SALES_TYPED if args.typed else None
         ingest(spark, layers.raw, layers.bronze, infer=args.infer, schema=schema, fmt=args.fmt)
