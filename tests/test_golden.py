@@ -108,3 +108,26 @@ def test_application_entry_point(spark):
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def test_application_infer_and_strict(spark):
+    from tierloom.__main__ import main
+    from tierloom.session import cluster_conf
+
+    keys = list(cluster_conf(1))
+    previous = {key: spark.conf.get(key, None) for key in keys}
+    base = scratch_path(spark, "app")
+    bronze = f"{scratch_database(spark)}.bronze_sales"
+    argv = ["--raw", land_sample(spark), "--bronze", bronze, "--silver", f"{base}/silver", "--gold", f"{base}/gold"]
+    try:
+        assert main(argv + ["--infer", "--strict", "--bronze-bytes", str(1 << 30)]) == 0
+        assert spark.table(bronze).schema["amount"].dataType.simpleString() == "int"
+        gold = read_layer(spark, f"{base}/gold")
+        assert {r.customer_id: r.total_sales for r in gold.collect()} == GOLD
+        assert spark.conf.get("spark.sql.shuffle.partitions") == cluster_conf(1 << 30)["spark.sql.shuffle.partitions"]
+    finally:
+        for key, value in previous.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
