@@ -64,8 +64,9 @@ def _without_scheme(path: str) -> str:
 def _reads_from(df: DataFrame, path: str) -> bool:
     """Whether any input file of ``df`` lies under ``path``.
 
-    Compared without scheme or authority, so ``/x``, ``file:///x`` and
-    ``hdfs://nn/x`` are one folder; a false match only refuses a write.
+    Schemes are dropped and the target folder is looked for anywhere in
+    each input path, so ``/x``, ``file:///x`` and ``hdfs://nn/x`` count as
+    one folder. A false match can only refuse a write, never allow one.
     """
     target = _without_scheme(path) + "/"
     return any(target in _without_scheme(f) for f in df.inputFiles())
