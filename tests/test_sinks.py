@@ -138,3 +138,17 @@ def test_path_normalisation(path, expected):
     folder = path.rstrip("/")
     assert "/lake/silver/" in _without_scheme(folder + "/part-0.parquet")
     assert "/lake/silver/" not in _without_scheme(folder + "_old/part-0.parquet")
+
+
+def test_missing_delta_fails_before_touching_targets(spark):
+    from pyspark.errors import AnalysisException
+
+    name = f"{scratch_database(spark)}.t"
+    write_table(spark.range(3).withColumnRenamed("id", "x"), name)
+    path = write_layer(spark.range(3).withColumnRenamed("id", "x"), scratch_path(spark, "layer"))
+    with pytest.raises((AnalysisException, Exception), match="(?i)delta"):
+        write_table(spark.range(1).withColumnRenamed("id", "x"), name, fmt="delta")
+    with pytest.raises((AnalysisException, Exception), match="(?i)delta"):
+        write_layer(spark.range(1).withColumnRenamed("id", "x"), path, fmt="delta")
+    assert spark.table(name).count() == 3
+    assert read_layer(spark, path).count() == 3
