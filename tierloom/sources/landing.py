@@ -37,9 +37,10 @@ def read_raw(
     PERMISSIVE mode. A missing path raises ``AnalysisException``
     ``[PATH_NOT_FOUND]`` here, while the plan is built, so a job fails
     before it writes anything (O3). A path with no data files gives Spark
-    no header and an empty schema rather than an error, so that raises
-    ``EmptyLandingError`` here too (with a declared schema an empty drop
-    is simply zero rows).
+    no header and an empty schema rather than an error (and overwriting a
+    table with that drops the table, then fails), so that raises
+    ``EmptyLandingError`` here too; with a declared schema an empty drop
+    is simply zero rows.
     """
     reader = spark.read.format("csv").option("header", "true").option("enforceSchema", "false")
     if schema is not None:
