@@ -2,8 +2,9 @@
 
 Started by ``test_retries.py`` in its own process, because only a fresh
 session can allow retries in local mode (``local[4,3]``: 3 attempts).
-A test-only UDF fails the first attempt of one task before the dedup
-shuffle and of one task in the final stage that writes the layer.
+A test-only UDF fails the first attempt of one task before each job's
+shuffle (silver's dedup, gold's partial sums) and of one task in the
+final stage that writes each layer.
 """
 
 import json
@@ -16,7 +17,7 @@ from pyspark import TaskContext  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tierloom import clean, read_layer, write_layer  # noqa: E402
+from tierloom import clean, customer_sales, read_layer, write_layer  # noqa: E402
 from tierloom.session import scratch_path  # noqa: E402
 from tierloom.sources.fixtures import sales_raw  # noqa: E402
 
@@ -54,7 +55,27 @@ def main() -> None:
     stages = {s for j in tracker.getJobIdsForGroup("flaky") for s in tracker.getJobInfo(j).stageIds}
     failed = sum(tracker.getStageInfo(s).numFailedTasks for s in stages if tracker.getStageInfo(s))
     got = rows(read_layer(spark, path))
-    print(json.dumps({"failed_attempts": failed, "rows": len(got), "same": got == expected}))
+
+    expected_gold = rows(customer_sales(read_layer(spark, path)))
+    spark.sparkContext.setJobGroup("flaky_gold", "gold with injected failures")
+    flaky_silver = read_layer(spark, path).filter(fail_first_attempt(0)(F.col("customer_id")))
+    gold = customer_sales(flaky_silver).filter(fail_first_attempt(0)(F.col("customer_id")))
+    gold_path = write_layer(gold, scratch_path(spark, "gold"))
+    gold_stages = {s for j in tracker.getJobIdsForGroup("flaky_gold") for s in tracker.getJobInfo(j).stageIds}
+    gold_failed = sum(tracker.getStageInfo(s).numFailedTasks for s in gold_stages if tracker.getStageInfo(s))
+    got_gold = rows(read_layer(spark, gold_path))
+    print(
+        json.dumps(
+            {
+                "failed_attempts": failed,
+                "rows": len(got),
+                "same": got == expected,
+                "gold_failed_attempts": gold_failed,
+                "gold_rows": len(got_gold),
+                "gold_same": got_gold == expected_gold,
+            }
+        )
+    )
     spark.stop()
 
 

@@ -1,5 +1,5 @@
-"""Task failures before the shuffle and inside the write stage are retried
-without losing or duplicating a row (see ``retry_job.py``)."""
+"""Task failures before each shuffle and inside each write stage are
+retried without losing or duplicating a row (see ``retry_job.py``)."""
 
 import json
 import os
@@ -11,7 +11,7 @@ from conftest import SF001
 HERE = os.path.dirname(os.path.abspath(__file__))
 
 
-def test_silver_survives_task_failures():
+def test_silver_and_gold_survive_task_failures():
     out = subprocess.run(
         [sys.executable, os.path.join(HERE, "retry_job.py"), SF001],
         capture_output=True,
@@ -22,3 +22,5 @@ def test_silver_survives_task_failures():
     result = json.loads(out.stdout.strip().splitlines()[-1])
     assert result["failed_attempts"] >= 2
     assert result["same"] and result["rows"] == 6000
+    assert result["gold_failed_attempts"] >= 2
+    assert result["gold_same"] and result["gold_rows"] == 150
