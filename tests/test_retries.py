@@ -24,3 +24,4 @@ def test_silver_and_gold_survive_task_failures():
     assert result["same"] and result["rows"] == 6000
     assert result["gold_failed_attempts"] >= 2
     assert result["gold_same"] and result["gold_rows"] == 150
+    assert result["bronze_failed_attempts"] >= 1 and result["bronze_same"]
