@@ -28,7 +28,8 @@ def test_fused_plan_shuffles_twice_with_partial_aggregates(spark):
     dedup_keys, gold_keys = sorted(keys, key=len, reverse=True)
     assert all(c in dedup_keys for c in ("order_id", "customer_id", "product", "amount", "order_date"))
     assert gold_keys.startswith("customer_id")
-    # Map-side combine under both shuffles.
+    # The dedup aggregates on both sides of its shuffle (map-side first),
+    # and gold sums partially before its own.
     assert plan.count("functions=[]") == 2
     assert "partial_sum" in plan
     assert not any(node in plan for node in PYTHON_NODES)
