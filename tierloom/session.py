@@ -24,9 +24,9 @@ BASE_CONF = {
 }
 
 
-# Input splits of 1 GiB, safe at any size: Spark never makes a split
-# larger than the input divided by the cluster's cores, so small inputs
-# still use every core, and large ones get a quarter of the default task
+# Input splits of 1 GiB, safe at any size: Spark caps a split at the input
+# divided by the cluster's cores (4 MiB at least), so small inputs still
+# spread over the cores, and large ones get an eighth of the default task
 # count (100 TB of landing CSV: 100k ingest tasks instead of 800k).
 SCAN_CONF = {"spark.sql.files.maxPartitionBytes": str(1 << 30)}
 
