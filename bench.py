@@ -1,7 +1,7 @@
 """Times the medallion jobs at one scale factor; prints one JSON line.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1),
-``BENCH_CPUS`` (default 8), ``BENCH_REPEAT`` (default 3).
+``BENCH_CPUS`` (default 8), ``BENCH_REPEAT`` (default 5).
 
 Untimed setup lands the ``sales`` rows as CSV (the input of bronze) and
 builds one bronze table and one silver layer, so each job can also be
@@ -34,7 +34,7 @@ from tierloom.sources.fixtures import land_csv, sales_raw  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
     spark = local_session(cores=cpus, shuffle_partitions=cpus, app="tierloom-bench")
 
     raw_csv = land_csv(sales_raw(spark, sf_dir), scratch_path(spark, "landing/raw"))
