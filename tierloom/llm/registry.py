@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from tierloom.llm.chat_format import OP3_SQL, op3_chat_format
+from tierloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tierloom.llm.mixing import OP8_SQL, op8_mixing
+from tierloom.llm.near_dedup import op4_near_dedup
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_near_dedup": op4_near_dedup,
     "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": OP1_SQL,
     "op3_chat_format": OP3_SQL,
     "op8_mixing": OP8_SQL,
 }
