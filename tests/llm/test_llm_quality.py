@@ -1,0 +1,180 @@
+"""Quality rules and the quality classifier."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from llm_helpers import SF01, SF001, documents, lower, make_docs, rows_of, words
+
+from tierloom.llm import quality_classifier as Q
+from tierloom.llm import quality_rules as R
+
+
+def base(text):
+    text = text or ""
+    cut = words(text)
+    windows = Counter(tuple(cut[k : k + 3]) for k in range(len(cut) - 2))
+    repeated = {k + j for k in range(len(cut) - 2) if windows[tuple(cut[k : k + 3])] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if words(x)]
+    return len(cut), sum(map(len, cut)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated)
+
+
+def rule_verdicts(rows, min_docs, share, keep):
+    texts, holders = defaultdict(set), defaultdict(dict)
+    for doc_id, text, host in rows:
+        texts[host].add(text or "")
+        for line in (text or "").split("\n"):
+            if norm := " ".join(words(lower(line))):
+                rank = (doc_id is None, doc_id or 0)
+                holders[host, norm][text] = min(holders[host, norm].get(text, rank), rank)
+    out = []
+    for doc_id, text, host in rows:
+        figures = base(text)
+        lost = 0
+        for line in (text or "").split("\n"):
+            held = holders.get((host, " ".join(words(lower(line)))), {})
+            if len(held) > min_docs and len(held) > share * len(texts[host]):
+                if min(held, key=lambda t: held[t]) != text:
+                    lost += len(words(line))
+        failed = figures[0] < 50 or 100 * figures[4] > 50 * figures[0]
+        out.append((doc_id, *figures, failed, lost, not failed and 100 * (figures[0] - lost) >= keep * figures[0]))
+    return sorted(out, key=repr)
+
+
+def rule_rows():
+    own = lambda n, k: " ".join(f"w{n}x{j}" for j in range(k))
+    rows = [(n, f"Home  NEWS about\n{own(n, 60)}\nall rights", "h1") for n in range(30)]
+    rows += [(100 + n, "\n".join([" ".join(f"menu{j}" for j in range(70)), own(n, 12)]), "h1") for n in range(14)]
+    rows += [(200 + n, own(1, 80), "h2") for n in range(25)]  # copies are one document
+    rows += [(300, None, "h1"), (301, "", None), (302, "a b a b a b a b " * 20, None), (303, "x\nx\n x\n" + own(9, 50), None)]
+    rows += [(None, own(7, 55) + " #*$%&|<>", "h1"), (3, rows[3][1], "h1"), (400, "wörd\xa0x " * 40 + own(400, 60), None)]
+    return rows + [(500, " ".join(f"z{j}" for j in range(30_000)), "h3")]
+
+
+def test_rules_against_brute_force(spark):
+    rows = rule_rows()
+    docs = make_docs(spark, rows)
+    for limits in ((10, 0.05, 30), (3, 0.5, 90), (0, 0.0, 30)):
+        got = R.judge(docs, *limits)
+        columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+        assert rows_of(got, *columns) == rule_verdicts(rows, *limits)
+    assert R.judge(docs.limit(0)).count() == 0
+
+
+def test_rules_applied(spark):
+    rows = rule_rows()
+    docs = make_docs(spark, rows)
+    got = R.apply_rules(docs)
+    kept = [r for r, v in zip(sorted(rows, key=lambda r: repr(r[0])), sorted(rule_verdicts(rows, 10, 0.05, 30), key=lambda v: repr(v[0]))) if v[-1]]
+    assert rows_of(got, "doc.doc_id") == sorted([(r[0],) for r in kept], key=repr)
+    assert got.select("doc.*").columns == docs.columns
+    texts = {r.doc.doc_id: r.kept_text for r in got.collect()}
+    assert "NEWS" in texts[0] and "NEWS" not in texts[1] and texts[200] == rows[44][1]
+
+
+# ------------------------------------------------------------- classifier
+
+
+def kneser_ney(texts):
+    """The model by its formulas, on tuples of characters."""
+    grams = Counter()
+    for t in texts:
+        padded = "\x02" * 3 + t
+        grams.update(tuple(padded[k : k + 4]) for k in range(len(t)))
+    counts = {4: grams}
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    parts = {}
+    for order, c in counts.items():
+        n = {k: sum(v == k for v in c.values()) for k in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        d = []
+        for k, usual in ((1, 0.5), (2, 1.0), (3, 1.5)):
+            x = k - (k + 1) * y * n[k + 1] / n[k] if y is not None and n[k] else usual
+            d.append(max(min(x, k), 0.05))
+        off = {g: min(d[min(v, 3) - 1], v) for g, v in c.items()}
+        total, saved = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            saved[g[:-1]] += off[g]
+        parts[order] = (c, off, total, saved)
+
+    def p(gram):
+        if not gram:
+            return Q.UNIFORM
+        c, off, total, saved = parts[len(gram)]
+        h, lowest = gram[:-1], p(gram[1:])
+        if not total[h]:
+            return lowest
+        return (c[gram] - off.get(gram, 0)) / total[h] + saved[h] / total[h] * lowest
+
+    return p
+
+
+def log_perplexity(p, text):
+    padded = "\x02" * 3 + text
+    return -sum(math.log(p(tuple(padded[k : k + 4]))) for k in range(len(text))) / len(text)
+
+
+def test_perplexity_against_the_formulas(spark, monkeypatch):
+    monkeypatch.setattr(Q, "CHUNK_CHARS", 4000)
+    monkeypatch.setattr(Q, "PIECE_CHARS", 500)
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in documents(spark).collect()]
+    rows += [(10**6, None, "s", "en"), (10**6 + 1, " \n", "s", "en"), (10**6 + 2, "xyz \U0001f600", "s", None), (None, "abc abc", "s", "en"), rows[0]]
+    labels = spark.read.parquet(f"{SF001}/labels.parquet")
+    labels = labels.unionByName(spark.createDataFrame([(rows[0][0], 1, 0), (rows[1][0], 0, 0), (None, 1, 0)], labels.schema))
+    got = Q.classify(make_docs(spark, rows, 5), labels).collect()
+    assert len(got) == len(rows)
+    marks = defaultdict(list)
+    for r in labels.collect():
+        marks[r.doc_id].append(r.quality == 1 and r.toxic == 0)
+    from pyspark.sql import functions as F
+
+    held = {r[0] for r in spark.createDataFrame([(d,) for d in marks if d is not None], "doc_id long").where(F.pmod(F.xxhash64("doc_id"), F.lit(Q.HELD_OUT)) == 0).collect()}
+    by_lang = defaultdict(list)
+    for doc_id, text, _, lang in rows:
+        if doc_id is not None and all(marks.get(doc_id, [False])) and doc_id not in held:
+            by_lang[lang].append(Q.normalised(text))
+    models = {lang: kneser_ney(texts) for lang, texts in by_lang.items()}
+    text_of = {r[0]: r for r in rows}
+    for r in got:
+        text = Q.normalised(text_of[r.doc_id][1])
+        assert r.chars == len(text)
+        if not text:
+            assert r.log_perplexity is None and not r.kept
+        elif r.lang in models:
+            codes = "".join(c if ord(c) < 0x10000 else "￿" for c in text)
+            assert r.log_perplexity == pytest.approx(log_perplexity(models[r.lang], codes), abs=2e-5)
+        else:
+            assert r.log_perplexity == pytest.approx(-math.log(Q.UNIFORM), abs=1e-5) and r.threshold is None and r.kept
+    for lang in models:
+        own = sorted(round(r.log_perplexity, 3) for r in got if r.lang == lang and r.doc_id in held and all(marks[r.doc_id]) and r.log_perplexity is not None)
+        if own:
+            assert {r.threshold for r in got if r.lang == lang} == {pytest.approx(np.quantile(own, Q.QUANTILE) + Q.MARGIN)}
+
+
+def test_model_is_a_distribution():
+    p = kneser_ney(["abracadabra", "banana band"])
+    seen = "\x02abrcdn "
+    for h in (("a", "b", "r"), ("\x02", "\x02", "\x02"), ("z", "z", "a")):
+        total = sum(p((*h, c)) for c in seen)
+        assert total + (65536 - len(seen)) * p((*h, "q")) == pytest.approx(1)
+
+
+def test_held_out_accuracy(spark):
+    """Of labelled documents the model has not seen, good ones stay and most
+    of the symbol-ridden ones go."""
+    got = {r.doc_id: r for r in Q.op9_quality_classifier(spark, SF01).collect()}
+    labels = spark.read.parquet(f"{SF01}/labels.parquet").collect()
+    good = [got[r.doc_id].kept for r in labels if r.quality == 1]
+    symbols = [got[d.doc_id].kept for d in documents(spark, SF01).collect() if d.text.count("%%%") > 10]
+    assert sum(good) >= 0.98 * len(good)
+    assert symbols and sum(symbols) <= 0.05 * len(symbols)
+
+
+def test_classifier_without_labels_or_documents(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = make_docs(spark, [(1, "a b c", "s", "en"), (2, "", "s", "en")])
+    assert {r.doc_id: r.kept for r in Q.classify(docs, labels).collect()} == {1: True, 2: False}
+    assert Q.classify(docs.limit(0), labels).count() == 0

@@ -173,6 +173,23 @@ def mix_counts(sized: DataFrame, **mix) -> DataFrame:
     )
 
 
+def mixed_documents(documents: DataFrame, **mix) -> DataFrame:
+    """The mix itself: the documents with all their columns in mixed order,
+    one row per epoch that is taken, and ``epoch`` and ``mix_position``
+    (the finish time). Clashing columns of the input are replaced."""
+    sized = written(document_sizes(documents), "mix_sizes")
+    queue = fair_queue(sized, **mix).where("taken").groupBy("doc_id", "source", "tie", "epoch")
+    # Repeated rows have one place in line together, and come out as often.
+    queue = queue.agg(F.min("finish").alias("mix_position"), F.min("order").alias("order"))
+    queue = queue.select(*[F.col(c).alias(f"_queue_{c}") for c in ("doc_id", "source", "tie", "epoch", "mix_position", "order")])
+    rows = documents.withColumn("_queue_key", text_key(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(queue["_queue_doc_id"]) & rows["source"].eqNullSafe(queue["_queue_source"])
+    joined = rows.join(queue, same & (rows["_queue_key"] == queue["_queue_tie"]))
+    ordered = joined.orderBy("_queue_mix_position", "_queue_order", "_queue_tie", "_queue_epoch")
+    added = {"epoch": F.col("_queue_epoch"), "mix_position": F.col("_queue_mix_position")}
+    return ordered.withColumns(added).select(*dict.fromkeys([*documents.columns, *added]))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = written(document_sizes(table(spark, sf_dir, "documents")), "mix_sizes")
     counts = mix_counts(sized)

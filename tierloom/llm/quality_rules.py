@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tierloom.llm.storage import table, text_key, written
 
@@ -50,7 +50,7 @@ MIN_DOCS = 10
 HOST_SHARE = 0.05
 KEEP_PERCENT = 30
 
-_PROFILE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_PROFILE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def line_hash(words: list[bytes]) -> int:
@@ -107,8 +107,9 @@ def document_profiles(documents: DataFrame) -> DataFrame:
     """``doc_id, host, key``, the base figures, and the lines' hashes and
     words, one row per document."""
     schema = StructType([documents.schema["doc_id"]])
-    for part in ("host long", "key long", *_PROFILE.split(", "), "hashes array<long>", "words array<long>"):
-        schema = schema.add(*part.split(" "))
+    for name in ("host", "key", *_PROFILE):
+        schema = schema.add(name, LongType())
+    schema = schema.add("hashes", ArrayType(LongType())).add("words", ArrayType(LongType()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
