@@ -58,6 +58,12 @@ def crafted():
             n += 1
         rows += [(n + k, " ".join(base).upper()) for k in range(6)]  # copies
         n += 6
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    for _ in range(12):  # too far from their base to link, but close to copies of their own
+        variant = edited(rng, base, rng.randrange(5, 14)).split()
+        for _ in range(4):
+            rows.append((n, edited(rng, variant, rng.randrange(4))))
+            n += 1
     passage = " ".join(rng.choice(vocabulary) for _ in range(70))
     rows += [(n + k, passage + " " + edited(rng, vocabulary[k * 20 : k * 20 + 40], 5)) for k in range(40)]
     n += 40
@@ -66,12 +72,6 @@ def crafted():
     return rows
 
 
-@pytest.fixture
-def no_luck(monkeypatch):
-    """Narrow signatures would miss pairs; these find nearly all from 0.5 on."""
-    monkeypatch.setattr(near_dedup, "BANDS", 36)
-
-
 @pytest.mark.parametrize("width", [4, 5])
 def test_against_all_pairs(spark, width):
     rows = crafted()
@@ -79,14 +79,6 @@ def test_against_all_pairs(spark, width):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute(rows, width)
 
 
-def test_last_step_links_what_no_hub_does(spark, monkeypatch):
-    """Without hub rounds, the last step alone must find every link."""
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
-    rows = crafted()
-    got = near_duplicates(make_docs(spark, rows), words=4)
-    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute(rows, 4)
-
-
 def test_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
     got = near_duplicates(documents(spark), words=4)

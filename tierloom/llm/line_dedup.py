@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tierloom.llm.perfect_hash import CountIndex
-from tierloom.llm.storage import table, text_key, written
+from tierloom.llm.storage import columns_of, table, text_key, written
 
 # Fixed values of op1's rule.
 MIN_DOCS = 10
@@ -157,7 +157,7 @@ def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int =
     drops = drops.groupBy("key").agg(F.collect_set("hash").alias("drops"))
 
     rows = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), key.alias("key")
+        F.struct(*columns_of(documents)).alias("doc"), key.alias("key")
     ).join(drops, "key", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierloom.llm.storage import WORD, table, text_key, written
+from tierloom.llm.storage import WORD, columns_of, table, text_key, written
 
 # Fixed values of op8's mix.
 WEIGHTS = (3, 1, 2)
@@ -187,7 +187,8 @@ def mixed_documents(documents: DataFrame, **mix) -> DataFrame:
     joined = rows.join(queue, same & (rows["_queue_key"] == queue["_queue_tie"]))
     ordered = joined.orderBy("_queue_mix_position", "_queue_order", "_queue_tie", "_queue_epoch")
     added = {"epoch": F.col("_queue_epoch"), "mix_position": F.col("_queue_mix_position")}
-    return ordered.withColumns(added).select(*dict.fromkeys([*documents.columns, *added]))
+    kept = [c for c, name in zip(columns_of(documents), documents.columns, strict=True) if name not in added]
+    return ordered.select(*kept, *[c.alias(name) for name, c in added.items()])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

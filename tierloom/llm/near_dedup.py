@@ -12,14 +12,22 @@ all pairs of a bucket:
 
 1. Each bucket has a hub: the class that shares most buckets with others
    (mostly the text that others were made from). Every class is compared
-   with the hubs of its buckets, on the full sets.
-2. What passes is united (connected components over links). Buckets whose
-   classes are now one component are done; the hub, compared with all, goes.
-3. That is repeated with new hubs. In the last step the classes that still
-   stand in a bucket with another component are compared with each class
-   of those, except where a common hub proves them too far apart
-   (1 - similarity is a metric, so distances to a hub that differ by more
-   than the limit rule a link out) or their sizes do.
+   with the hubs of its buckets, on the full sets, and what passes is united
+   (connected components over links). Buckets whose classes are now one
+   component are done, and the hub, compared with all, goes.
+2. Of the classes that are left, shingles that no other such class has are
+   counted. They are in no intersection, so they bound each similarity from
+   above; classes whose bound stays below the limit for every size in their
+   bucket go. (Texts around one shared passage go here, one row at a time,
+   however many they are.)
+3. Step 1 again, with the smallest class of each bucket as its hub h. Two
+   classes x and y of different components, one of them unlike h, can now
+   link only if they share shingles outside h: if x is not like h, then h
+   and x have too few shingles in common, and y is no smaller than h, so it
+   needs more. By the same count they share one of the ``n - c + 1`` rarest
+   shingles of x outside h, where c is what a set of h's size must have in
+   common with x. So only classes that meet in such a shingle are compared.
+   (Of copies with many edits of their own, nearly none do.)
 
 So each pair that shares a bucket is either compared, or in one component
 already, or proven not to link. Two documents of the least similarity miss
@@ -40,11 +48,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierloom.llm.graph import connected_components
-from tierloom.llm.storage import table, text_key, written
+from tierloom.llm.storage import columns_of, table, text_key, written
 
 # Fixed values of op4's rule.
 OP4_WORDS = 4
@@ -54,8 +62,6 @@ SIMILARITY = 80  # percent
 
 ROWS = 5
 BANDS = 36
-#: Hubs that each bucket tries one after the other.
-HUB_ROUNDS = 3
 #: Shingles that are hashed at once; keeps the arrays in the CPU's cache.
 _BLOCK = 1 << 14
 
@@ -142,9 +148,14 @@ def document_sets(documents: DataFrame, words: int, bands: int = BANDS, rows: in
     return rows_in.mapInArrow(sketch, "doc_id long, key long, set_id binary, n_shingles long, bands array<long>")
 
 
+def _row_key() -> F.Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), text_key(F.col("text")))
+
+
 def _identified(documents: DataFrame) -> DataFrame:
-    key = F.xxhash64("doc_id", text_key(F.col("text")))
-    return documents.select(F.col("doc_id").cast("long"), key.alias("key"), F.col("text").cast("binary").alias("text"))
+    return documents.select(
+        F.col("doc_id").cast("long"), _row_key().alias("key"), F.col("text").cast("binary").alias("text")
+    )
 
 
 def _class_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -164,34 +175,127 @@ def _class_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFram
     return texts.dropDuplicates(["key"]).select("node", "text").mapInArrow(sets, "node long, shingles binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, common``: the size of the intersection of each pair's sets."""
+def _new_pairs(pairs: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """``a, b``: distinct pairs whose sizes allow a link, and not yet tested."""
+    fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    new = pairs.where(fits).select("a", "b").distinct()
+    return new if tested is None else new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _and_before(found: DataFrame, linked: DataFrame) -> DataFrame:
+    return _named(found.where("link"), a="a", b="b").unionByName(_named(linked, a="node", b="component"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with their sets ``left`` and ``right``."""
+    left, right = _named(sets, a="node", left="shingles"), _named(sets, b="node", right="shingles")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, link``: whether the full sets of each pair are alike enough."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
             common = [
                 len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), True))
-                for x, y in zip(left, right, strict=True)
+                for x, y in zip(batch.column("left"), batch.column("right"), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(common, pa.int64())], ["a", "b", "common"]
             )
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"
-    )
-    return both.select("a", "b", "left", "right").mapInArrow(count, "a long, b long, common long")
+    both = _with_sets(pairs, sets).select("a", "b", "left", "right").mapInArrow(count, "a long, b long, common long")
+    both = both.join(_named(sizes, a="node", n_a="n"), "a").join(_named(sizes, b="node", n_b="n"), "b")
+    link = F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    return written(both.select("a", "b", link.alias("link")), "near_links")
+
+
+def _starred(pending: DataFrame, rank: tuple[str, str]) -> DataFrame:
+    """The classes of each bucket with its hub, the first by rank, but for
+    the hub itself."""
+    hub = F.struct(*[F.col(r) if r != "less" else (-F.col("degree")).alias("less") for r in rank], "node", "component")
+    hubs = pending.groupBy("bucket").agg(F.min(hub).alias("hub"))
+    return pending.join(hubs, "bucket").select(
+        "bucket", "node", "n", "degree", "component",
+        F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"),
+    ).where("node != hub")
+
+
+def _linkable(pending: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows that can link at all: see step 2 of the module's text."""
+    shared = _shared_shingles(sets, pending.select("node").distinct())
+    least = pending.groupBy("bucket").agg(F.min("n").alias("least"))
+    can = F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n") + F.col("least") - F.col("shared"))
+    return pending.join(shared, "node").join(least, "bucket").where(can).drop("least", "shared")
+
+
+def _heads(pending: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``hub, shingle, node, n, component, inside, shared``: of each class
+    and each of its hubs, the rarest shingles outside the hub, as far as a
+    link must share one of them, and some other class of the hub has them
+    too. ``inside`` counts shingles in the hub, ``shared`` those outside."""
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                x, h = (np.frombuffer(batch.column(c)[n].as_buffer(), np.int64) for c in ("left", "right"))
+                rest = x[~np.isin(x, h)]
+                ends = (pa.array(np.full(len(rest), batch.column(c)[n].as_py())) for c in ("a", "b"))
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(rest)], ["a", "b", "shingle"])
+
+    stars = pending.select("node", "n", "component", "hub", "hub_n").distinct()
+    rest = _with_sets(_named(stars, a="node", b="hub"), sets).select("a", "b", "left", "right")
+    rest = rest.mapInArrow(outside, "a long, b long, shingle long")
+    rest = written(_named(rest, node="a", hub="b", shingle="shingle").join(stars, ["hub", "node"]), "near_outside")
+    must = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub_n")) / F.lit(100 + percent))
+    of_class = Window.partitionBy("hub", "node")
+    inside = F.col("n") - F.count(F.lit(1)).over(of_class)
+    for again in (True, False):
+        classes = rest.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("classes"))
+        counted = rest.join(classes, ["hub", "shingle"])
+        if again:
+            counted = counted.withColumn("inside", inside)
+        # Shingles that no other class of the hub has are in no intersection.
+        counted = counted.withColumn("shared", F.sum((F.col("classes") > 1).cast("int")).over(of_class))
+        counted = counted.where(F.col("inside") + F.col("shared") >= must)
+        if again:
+            rest = written(counted.drop("classes", "shared"), "near_outside")
+    rarest = of_class.orderBy("classes", "shingle")
+    heads = counted.withColumn("place", F.row_number().over(rarest)).where("classes > 1")
+    return heads.where(F.col("place") <= F.col("n") - must + 1)
+
+
+def _shared_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, shared``: shingles of each of the ``nodes`` that another one
+    of them has too."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, found in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
+                each = np.frombuffer(found.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), node)), pa.array(each)], ["node", "shingle"])
+
+    rows = sets.join(nodes, "node").select("node", "shingles").mapInArrow(spread, "node long, shingle long")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle")
+    return rows.join(common, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _named(frame: DataFrame, **names: str) -> DataFrame:
     return frame.select(*[F.col(old).alias(new) for new, old in names.items()])
 
 
+def _mixed(pending: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    spread = pending.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return pending.join(spread.where("low != high").select("bucket"), "bucket")
+
+
 def near_duplicates(
     documents: DataFrame, words: int = WORDS, percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """``doc_id, key, n_shingles, component_id, kept``, a row per document."""
+    """``doc_id, key, n_shingles, component, component_id, kept``, a row per
+    document; ``component`` is a number of the group (null without words)."""
     docs = written(document_sets(documents, words, bands, rows), "near_documents")
     # A class per distinct set, with a number of its own once it is written.
     classes = docs.where("n_shingles > 0").groupBy("set_id").agg(
@@ -206,79 +310,61 @@ def near_duplicates(
     wanted = degree.join(classes.select("node", "key"), "node")
     sets = written(_class_sets(documents, wanted, words), "near_sets")
 
-    # Hubs go first by degree, ties by number.
-    pending = shared.join(degree, "node").select(
-        "bucket", "node", "n", F.struct((-F.col("degree")).alias("less"), "node", "n").alias("rank")
-    )
-    pending = pending.withColumn("far", F.lit(None).cast("double")).withColumn("component", F.col("node"))
-    fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    limit = 1 - percent / 100
-
-    linked = tested = None
-    for step in range(HUB_ROUNDS + 1):
-        last = step == HUB_ROUNDS
-        if last:
-            pairs = _named(pending, bucket="bucket", a="node", n_a="n", far_a="far", comp_a="component").join(
-                _named(pending, bucket="bucket", b="node", n_b="n", far_b="far", comp_b="component"), "bucket"
-            )
-            too_far = F.abs(F.col("far_a") - F.col("far_b")) > limit + 1e-9
-            pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")))
-            pairs = pairs.where(~F.coalesce(too_far, F.lit(False)))
-        else:
-            hubs = pending.groupBy("bucket").agg(F.min(F.struct("rank", "component")).alias("hub"))
-            starred = pending.join(hubs, "bucket").select(
-                "bucket", "node", "n", "rank", "component",
-                F.col("hub.rank.node").alias("hub"), F.col("hub.rank.n").alias("hub_n"), F.col("hub.component").alias("hub_component"),
-            ).where("node != hub")
-            starred = written(starred, "near_stars")
-            pairs = starred.where("component != hub_component").select(
-                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
-                F.col("n").alias("n_a"), F.col("hub_n").alias("n_b"),
-            )
-        pairs = pairs.where(fits).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        sizes = classes.select("node", "n")
-        found = _confirm(pairs, sets).join(_named(sizes, a="node", n_a="n"), "a").join(_named(sizes, b="node", n_b="n"), "b")
-        union = F.col("n_a") + F.col("n_b") - F.col("common")
-        found = written(
-            found.select("a", "b", (1 - F.col("common") / union).alias("far"), (100 * F.col("common") >= percent * union).alias("link")),
-            "near_links",
+    pending = shared.join(degree, "node").select("bucket", "node", "n", "degree").withColumn("component", F.col("node"))
+    sizes = classes.select("node", "n")
+    links = linked = tested = None
+    for step, rank in enumerate((("less", "n"), ("n", "less"))):  # most buckets; smallest
+        starred = written(_starred(pending, rank), "near_stars")
+        pairs = starred.where("component != hub_component").select(
+            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b")
         )
-        links = found.where("link").select("a", "b")
-        if linked is not None:
-            links = links.unionByName(_named(linked, a="node", b="component"))
+        found = _confirm(_new_pairs(pairs, tested, percent), sets, sizes, percent)
+        links = _named(found.where("link"), a="a", b="b") if linked is None else _and_before(found, linked)
         linked = written(connected_components(links), "near_components")
-        if last:
-            break
         tested = found if tested is None else tested.unionByName(found)
-
-        # Buckets that still hold more than one component, without their hub.
-        pending = (
-            starred.drop("component")
-            .join(linked, "node", "left")
-            .withColumn("component", F.coalesce("component", "node"))
-            .withColumn("a", F.least("node", "hub"))
-            .withColumn("b", F.greatest("node", "hub"))
-            .join(tested.select("a", "b", "far"), ["a", "b"], "left")
-            .select("bucket", "node", "n", "rank", "far", "component")
-        )
-        mixed = pending.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        pending = written(pending.join(mixed.where("low != high").select("bucket"), "bucket"), "near_pending")
+        pending = starred.drop("component").join(linked, "node", "left")
+        pending = written(_mixed(pending.withColumn("component", F.coalesce("component", "node"))), "near_pending")
         if pending.isEmpty():
             break
+        if step == 0:
+            pending = pending.select("bucket", "node", "n", "degree", "component")
+            pending = written(_mixed(_linkable(pending, sets, percent)), "near_pending")
+    else:
+        heads = written(_heads(pending, sets, percent), "near_heads")
+        columns = {"n": "n", "comp": "component", "in": "inside", "out": "shared"}
+        sides = [
+            _named(heads, hub="hub", shingle="shingle", **{side: "node"}, **{f"{k}_{side}": v for k, v in columns.items()})
+            for side in ("a", "b")
+        ]
+        most = F.least("in_a", "in_b") + F.least("out_a", "out_b")
+        enough = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
+        pairs = sides[0].join(sides[1], ["hub", "shingle"]).where(enough & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")))
+        found = _confirm(_new_pairs(pairs, tested, percent), sets, sizes, percent)
+        linked = written(connected_components(_and_before(found, linked)), "near_components")
 
     named = classes.select("node", "set_id", "doc_id").join(linked, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.select("set_id", "component").join(names, "component").select("set_id", "component_id")
+    by_set = named.select("set_id", "component").join(names, "component").select("set_id", "component", "component_id")
     out = docs.select("doc_id", "key", "set_id", "n_shingles").join(by_set, "set_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
-        "doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "key", "n_shingles", "component", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
+def drop_near_duplicates(documents: DataFrame, **rules) -> DataFrame:
+    """One document of each group (the smallest known ``doc_id``), and all
+    documents without words; all columns as they are. Of rows that are equal
+    in ``doc_id`` and text one stays."""
+    groups = near_duplicates(documents, **rules)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first")
+    keep = groups.where("component is not null").groupBy("component").agg(first).select("first.key")
+    keep = keep.unionByName(groups.where("component is null").select("key")).distinct()
+    rows = documents.withColumn("_near_key", _row_key()).join(keep.withColumnRenamed("key", "_near_key"), "_near_key", "left_semi")
+    return rows.dropDuplicates(["_near_key"]).select(*columns_of(documents))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(documents, words=OP4_WORDS).select("doc_id", "n_shingles", "component_id", "kept")

@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.llm.storage import table, text_key, written
+from tierloom.llm.storage import columns_of, table, text_key, written
 
 # Fixed values of op7's base rules.
 KINDS = ("email", "ip", "card", "phone")
@@ -235,7 +235,7 @@ def sanitise(documents: DataFrame, **limits) -> DataFrame:
     that overlap one before them go with it."""
     private = find_private(documents, **limits).dropDuplicates(["doc_id", "key"])
     rows = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), text_key(F.col("text")).alias("key")
+        F.struct(*columns_of(documents)).alias("doc"), text_key(F.col("text")).alias("key")
     )
     spans = private.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "spans")
     joined = rows.join(spans, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from tierloom.llm.storage import table, text_key, written
+from tierloom.llm.storage import columns_of, table, text_key, written
 
 # Fixed values of op6's base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -173,7 +173,7 @@ def apply_rules(documents: DataFrame, **limits) -> DataFrame:
     struct of its row, and its text without the lines above the limits."""
     verdicts = judge(documents, **limits).where("kept").groupBy("host", "key").agg(F.first("removed_lines").alias("drops"))
     rows = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"),
+        F.struct(*columns_of(documents)).alias("doc"),
         _host(documents).alias("host"),
         text_key(F.col("text")).alias("key"),
     ).join(verdicts, ["host", "key"])

@@ -29,6 +29,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text, to tell rows of one ``doc_id`` apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
