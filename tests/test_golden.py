@@ -2,9 +2,10 @@
 
 import datetime
 
-from tierloom import Layers, ingest, read_layer, row_count, run_medallion
+import pytest
+
+from tierloom import Layers, SchemaMismatchError, ingest, read_layer, row_count, run_medallion, write_layer
 from tierloom.plans.silver import clean
-from tierloom.schema import CUSTOMER_SALES, SALES_CLEAN
 from tierloom.session import scratch_database, scratch_path
 
 # The reference's sample landing file, verbatim.
@@ -46,7 +47,9 @@ def test_inferred_bronze_schema(spark):
 def test_silver_keeps_all_four_rows(spark):
     bronze = ingest(spark, land_sample(spark), f"{scratch_database(spark)}.raw_sales")
     silver = clean(bronze)
-    assert silver.schema.simpleString() == SALES_CLEAN.simpleString()
+    assert silver.schema.simpleString() == (
+        "struct<order_id:string,customer_id:string,product:string,amount:double,order_date:date>"
+    )
     rows = sorted(tuple(r) for r in silver.collect())
     assert rows[0] == ("1001", "C001", "Widget A", 120.0, datetime.date(2024, 1, 1))
     assert len(rows) == 4
@@ -59,7 +62,7 @@ def test_medallion_run_gold(spark):
         bronze_table=f"{scratch_database(spark)}.raw_sales",
     )
     gold = run_medallion(spark, layers)
-    assert gold.schema.simpleString() == CUSTOMER_SALES.simpleString()
+    assert gold.schema.simpleString() == "struct<customer_id:string,total_sales:double>"
     assert {r.customer_id: r.total_sales for r in gold.collect()} == GOLD
     # The silver layer is on disk where the mapping says.
     assert read_layer(spark, layers.silver).count() == 4
@@ -75,59 +78,101 @@ def test_medallion_run_inferred_gold(spark):
     assert {r.customer_id: r.total_sales for r in gold.collect()} == GOLD
 
 
-def test_application_entry_point(spark):
-    from tierloom.__main__ import main
-    from tierloom.session import cluster_conf
-    from tierloom.sources.layers import table_bytes
-
-    keys = list(cluster_conf(1))
-    previous = {key: spark.conf.get(key, None) for key in keys}
-    base = scratch_path(spark, "app")
-    bronze = f"{scratch_database(spark)}.raw_sales"
-    argv = ["--raw", land_sample(spark), "--bronze", bronze, "--silver", f"{base}/silver", "--gold", f"{base}/gold"]
-    try:
-        assert main(argv + ["--typed"]) == 0
-        gold = read_layer(spark, f"{base}/gold")
-        assert {r.customer_id: r.total_sales for r in gold.collect()} == GOLD
-        assert spark.table(bronze).schema["order_id"].dataType.simpleString() == "bigint"
-        # The shuffles were sized from bronze's measured size.
-        measured = table_bytes(spark, bronze)
-        assert 0 < measured < 1 << 20
-        assert spark.conf.get("spark.sql.shuffle.partitions") == cluster_conf(measured)["spark.sql.shuffle.partitions"]
-        # Resume at gold: bronze and silver are read as they are.
-        spark.sql(f"INSERT INTO {bronze} VALUES (9999, 'C009', 'p', 1.0, DATE'2024-02-01')")
-        assert main(argv + ["--start", "gold"]) == 0
-        assert {r.customer_id: r.total_sales for r in read_layer(spark, f"{base}/gold").collect()} == GOLD
-        # Resume at silver: the row added to bronze now reaches gold.
-        assert main(argv + ["--start", "silver"]) == 0
-        gold = {r.customer_id: r.total_sales for r in read_layer(spark, f"{base}/gold").collect()}
-        assert gold == {**GOLD, "C009": 1.0}
-    finally:
-        for key, value in previous.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
-
-
-def test_application_infer_and_strict(spark):
-    from tierloom.__main__ import main
+@pytest.fixture
+def app(spark, monkeypatch):
+    """Runs the application with session settings put back afterwards;
+    ``submitted`` are the keys that count as the submitter's."""
+    import tierloom.__main__ as application
     from tierloom.session import cluster_conf
 
-    keys = list(cluster_conf(1))
-    previous = {key: spark.conf.get(key, None) for key in keys}
-    base = scratch_path(spark, "app")
-    bronze = f"{scratch_database(spark)}.bronze_sales"
-    argv = ["--raw", land_sample(spark), "--bronze", bronze, "--silver", f"{base}/silver", "--gold", f"{base}/gold"]
-    try:
-        assert main(argv + ["--infer", "--strict", "--bronze-bytes", str(1 << 30)]) == 0
-        assert spark.table(bronze).schema["amount"].dataType.simpleString() == "int"
-        gold = read_layer(spark, f"{base}/gold")
-        assert {r.customer_id: r.total_sales for r in gold.collect()} == GOLD
-        assert spark.conf.get("spark.sql.shuffle.partitions") == cluster_conf(1 << 30)["spark.sql.shuffle.partitions"]
-    finally:
-        for key, value in previous.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
+    previous = {key: spark.conf.get(key, None) for key in cluster_conf(1)}
+
+    def run(argv, submitted=()):
+        monkeypatch.setattr(application, "submitted_keys", lambda spark: frozenset(submitted))
+        return application.main(argv)
+
+    yield run
+    for key, value in previous.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+
+
+def places(spark, text=SAMPLE_CSV):
+    base, bronze = scratch_path(spark, "app"), f"{scratch_database(spark)}.raw_sales"
+    argv = ["--raw", land_sample(spark, text), "--bronze", bronze, "--silver", f"{base}/silver", "--gold", f"{base}/gold"]
+    return argv, bronze, base
+
+
+def gold_of(spark, base):
+    return {r.customer_id: r.total_sales for r in read_layer(spark, f"{base}/gold").collect()}
+
+
+def test_application_runs_and_resumes(spark, app):
+    argv, bronze, base = places(spark)
+    assert app([*argv, "--typed"]) == 0
+    assert gold_of(spark, base) == GOLD
+    assert spark.table(bronze).schema["order_id"].dataType.simpleString() == "bigint"
+    # Resume at gold: bronze and silver are read as they are.
+    spark.sql(f"INSERT INTO {bronze} VALUES (9999, 'C009', 'p', 1.0, DATE'2024-02-01')")
+    assert app([*argv, "--start", "gold"]) == 0
+    assert gold_of(spark, base) == GOLD
+    # Resume at silver: the row added to bronze now reaches gold.
+    assert app([*argv, "--start", "silver"]) == 0
+    assert gold_of(spark, base) == {**GOLD, "C009": 1.0}
+    # Gold does not read bronze, so it need not be there.
+    spark.sql(f"DROP TABLE {bronze}")
+    assert app([*argv, "--start", "gold"]) == 0
+    assert gold_of(spark, base) == {**GOLD, "C009": 1.0}
+
+
+def test_application_sizes_each_job_for_its_own_input(spark, app, caplog):
+    argv, bronze, base = places(spark)
+    with caplog.at_level("INFO", logger="tierloom"):
+        assert app([*argv, "--bronze-bytes", str(1 << 40), "--reduce-mb", "1024"]) == 0
+    assert "silver reads 1099511627776 bytes: 1536 shuffle partitions" in caplog.text
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "200"  # gold's, after silver
+
+
+def test_application_keeps_submitted_settings(spark, app):
+    mine = {
+        "spark.sql.shuffle.partitions": "7",
+        "spark.sql.files.maxPartitionBytes": "64m",
+        "spark.sql.adaptive.enabled": "false",
+    }
+    argv, _, base = places(spark)
+    for key, value in mine.items():
+        spark.conf.set(key, value)
+    assert app(argv, submitted=mine) == 0
+    assert {key: spark.conf.get(key) for key in mine} == mine
+    assert gold_of(spark, base) == GOLD
+
+
+def test_submitted_keys_come_from_the_context(spark):
+    from tierloom.session import submitted_keys
+
+    assert "spark.master" in submitted_keys(spark)
+    assert "spark.sql.files.openCostInBytes" not in submitted_keys(spark)
+
+
+def test_application_options(spark, app):
+    argv, bronze, base = places(spark)
+    assert app([*argv, "--infer", "--strict"]) == 0
+    assert spark.table(bronze).schema["amount"].dataType.simpleString() == "int"
+    # All-string bronze now: refused unless schemas may change.
+    with pytest.raises(SchemaMismatchError):
+        app(argv)
+    assert app([*argv, "--overwrite-schema"]) == 0
+    assert spark.table(bronze).schema["amount"].dataType.simpleString() == "string"
+    semicolons, _, other = places(spark, SAMPLE_CSV.replace(",", ";"))
+    assert app([*semicolons, "--csv-option", "sep=;", "--check-headers"]) == 0
+    assert gold_of(spark, base) == gold_of(spark, other) == GOLD
+
+
+def test_silver_from_a_bronze_path(spark):
+    from tierloom.plans.silver import run_silver
+
+    bronze = write_layer(ingest(spark, land_sample(spark), f"{scratch_database(spark)}.raw_sales"), scratch_path(spark, "bronze"))
+    silver = run_silver(spark, bronze, scratch_path(spark, "silver"), from_path=True)
+    assert read_layer(spark, silver).count() == 4

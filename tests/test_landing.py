@@ -64,14 +64,15 @@ def test_single_file_path(spark):
 
 
 def test_declared_schema_checks_each_header(spark):
-    from tierloom.schema import SALES_RAW, SALES_TYPED
+    from conftest import SALES_TEXT
+    from tierloom.schema import SALES_TYPED
 
-    assert read_raw(spark, land_sample(spark), schema=SALES_RAW).count() == 4
+    assert read_raw(spark, land_sample(spark), schema=SALES_TEXT).count() == 4
     typed = read_raw(spark, land_sample(spark), schema=SALES_TYPED)
     assert sorted(r.order_id for r in typed.collect()) == [1001, 1002, 1003, 1004]
     swapped = "customer_id,order_id,product,amount,order_date\nC1,1,p,1,2024-01-01\n"
     with pytest.raises(Exception, match="(?i)header"):
-        read_raw(spark, land_sample(spark, swapped), schema=SALES_RAW).collect()
+        read_raw(spark, land_sample(spark, swapped), schema=SALES_TEXT, check_headers=True).collect()
 
 
 def test_one_file_read_in_many_splits(spark):
@@ -99,4 +100,49 @@ def test_reordered_file_in_a_drop_fails(spark, infer):
     for i, text in enumerate(texts):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/part{i}")
     with pytest.raises(Exception, match="(?i)header"):
-        read_raw(spark, f"{folder}/*", infer=infer).collect()
+        read_raw(spark, f"{folder}/*", infer=infer, check_headers=True).collect()
+
+
+def land_files(spark, texts):
+    folder = scratch_path(spark, "raw")
+    for i, text in enumerate(texts):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/part{i}")
+    return f"{folder}/*"
+
+
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["a,,c\n1,2,3\n"],
+        ["a,a,c\n1,2,3\n"],
+        ["a,b ,c\n1,2,3\n"],
+        ["a,b,c\n1,2,3\n", "a,b,c,d\n4,5,6,7\n"],
+        ["a,b,c\n1,2,3\n", "a,b\n4,5\n"],
+        ["a,b,c\n1,2,3\n", "b,a,c\n4,5,6\n"],
+    ],
+)
+@pytest.mark.parametrize("infer", [False, True])
+def test_odd_headers_load_as_plain_spark_loads_them(spark, texts, infer):
+    path = land_files(spark, texts)
+    plain = spark.read.format("csv").option("header", "true").option("inferSchema", str(infer).lower()).load(path)
+    got = read_raw(spark, path, infer=infer)
+    assert got.schema == plain.schema
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    table = ingest(spark, path, f"{scratch_database(spark)}.t", infer=infer)
+    assert table.count() == plain.count()
+
+
+def test_failed_header_check_keeps_the_old_bronze(spark):
+    table = f"{scratch_database(spark)}.t"
+    ingest(spark, land_files(spark, ["a,b\n1,2\n"]), table)
+    for texts in (["a,b\n1,2\n", "b,a\n4,5\n"], ["a,\n1,2\n"]):
+        with pytest.raises(Exception, match="(?i)header"):
+            ingest(spark, land_files(spark, texts), table, check_headers=True, schema="a string, b string")
+        assert spark.table(table).collect() == [("1", "2")]
+    assert [t.name for t in spark.catalog.listTables(table.split(".")[0])] == ["t"]
+
+
+def test_csv_options_reach_the_reader(spark):
+    path = land_files(spark, ["a;b\n1;'x;y'\n"])
+    got = ingest(spark, path, f"{scratch_database(spark)}.t", csv_options={"sep": ";", "quote": "'"})
+    assert got.collect() == [("1", "x;y")]

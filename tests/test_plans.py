@@ -12,7 +12,7 @@ from plan_text import physical_plan
 from tierloom import clean, customer_sales, read_layer, read_raw, write_layer
 from tierloom.registry import QUERIES, _landed
 from tierloom.session import scratch_path
-from tierloom.sources.fixtures import sales_raw
+from tierloom.sources.fixtures import land_csv, sales_raw
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
 
@@ -77,22 +77,24 @@ def test_registered_queries_stay_jvm_side(spark):
         assert re.search(r"\*\(\d+\) (HashAggregate|Project)", plan), name
 
 
-def test_spread_only_touches_under_split_inputs(spark):
-    from tierloom.sources.fixtures import spread
-
-    cores = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, 1, cores * 2)
-    assert spread(wide) is wide
-    narrow = spread(spark.range(0, 1000, 1, 1))
-    assert narrow.rdd.getNumPartitions() == cores
-    assert "RoundRobinPartitioning" in physical_plan(narrow)
-    assert sorted(r.id for r in narrow.collect()) == list(range(1000))
+def test_plans_do_not_depend_on_splits_or_cores(spark):
+    """The same plan for one split as for many (no conditional shuffle)."""
+    wide = physical_plan(QUERIES["gold_customer_sales"](spark, SF001))
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        narrow = physical_plan(QUERIES["gold_customer_sales"](spark, SF001))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+    nodes = lambda plan: re.findall(r"(\w+(?:Exchange|Join|Aggregate|Scan)|Exchange \w+)", plan)
+    assert nodes(wide) == nodes(narrow)
+    assert "RoundRobin" not in wide + narrow
 
 
 def test_cluster_conf_runs_and_coalesces(spark):
     from tierloom.session import cluster_conf
 
-    settings = cluster_conf(1 << 40)  # 1 TiB of bronze: ~3k initial partitions
+    settings = cluster_conf(4 << 40)  # 4 TiB of bronze: ~3k initial partitions
     assert int(settings["spark.sql.shuffle.partitions"]) > 3000
     previous = {key: spark.conf.get(key, None) for key in settings}
     try:
@@ -119,8 +121,8 @@ def test_large_split_setting_keeps_small_inputs_parallel(spark):
     previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", SCAN_CONF["spark.sql.files.maxPartitionBytes"])
-        landed = _landed(spark, SF001)
-        # A few hundred KB of CSV still splits across the cores.
+        landed = land_csv(sales_raw(spark, SF001).repartition(8), scratch_path(spark, "landing"))
+        # A few files of some 40 KB each are not packed into one task.
         assert read_raw(spark, landed).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism // 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", previous)

@@ -6,8 +6,8 @@ from collections import defaultdict
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from conftest import SALES_TEXT
 from tierloom import clean, customer_sales
-from tierloom.schema import SALES_RAW
 
 AMOUNTS = ["120", "120.0", "90", "1.5", "-3", "x", "", None]
 DATES = ["2024-01-01", "2024-1-2", "bad", None]
@@ -34,7 +34,7 @@ def to_float(text):
 @settings(max_examples=25, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows)
 def test_clean_then_total_matches_model(spark, data):
-    df = spark.createDataFrame(data, SALES_RAW)
+    df = spark.createDataFrame(data, SALES_TEXT)
     silver = clean(df)
     assert silver.count() == len(set(data))
     sums, seen = defaultdict(float), defaultdict(bool)

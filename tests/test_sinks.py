@@ -1,9 +1,14 @@
 """Full-refresh sinks and the schema check that stands in for Delta's."""
 
+import os
+import uuid
+
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 
-from tierloom import Layers, SchemaMismatchError, read_layer, run_medallion, write_layer, write_table
-from tierloom.session import scratch_database, scratch_path, work_dir
+from tierloom import Layers, NotALayerError, SchemaMismatchError, read_layer, run_medallion, write_layer, write_table
+from tierloom.session import hadoop_path, scratch_database, scratch_path, work_dir
 from tierloom.sources.layers import table_format
 
 
@@ -45,7 +50,7 @@ def test_layers_must_be_distinct(spark):
         run_medallion(spark, Layers(raw="a", bronze="b", silver="c", gold="c"))
     with pytest.raises(ValueError, match="inside"):
         run_medallion(spark, Layers(raw="/l/raw", bronze="b", silver="/l/silver", gold="/l/silver/gold/"))
-    Layers(raw="/l/raw", bronze="b", silver="/l/silver", gold="/l/silver_gold").check()
+    Layers(raw="/l/raw", bronze="b", silver="/l/silver", gold="/l/silver_gold").check(spark)
 
 
 def test_work_dir_comes_from_the_session(spark):
@@ -62,93 +67,180 @@ def test_cluster_conf_scales_with_bronze():
     small = cluster_conf(1 << 30)
     big = cluster_conf(30 * (1 << 40))
     assert int(small["spark.sql.shuffle.partitions"]) == 200
-    assert 80_000 < int(big["spark.sql.shuffle.partitions"]) < 100_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 23_040
+    assert int(cluster_conf(1 << 40, reduce_bytes=256 << 20)["spark.sql.shuffle.partitions"]) == 6144
+    assert int(cluster_conf(30 << 40, shuffle_ratio=0.4)["spark.sql.shuffle.partitions"]) < 7000
     assert big["spark.sql.adaptive.enabled"] == "true"
     assert big["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"
 
 
-def test_work_dir_is_created_only_when_unset(tmp_path):
-    from tierloom.session import work_dir
+class FakeContext:
+    def __init__(self, master):
+        self.master, self.checkpoint = master, None
 
-    class Conf:
-        def get(self, key, default=None):
-            return default
+    def getCheckpointDir(self):
+        return self.checkpoint
+
+    def setCheckpointDir(self, path):
+        self.checkpoint = path
 
-    class Context:
-        checkpoint = None
 
-        def getCheckpointDir(self):
-            return self.checkpoint
+class FakeSession:
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
 
-        def setCheckpointDir(self, path):
-            self.checkpoint = path
+    def __init__(self, master):
+        self.sparkContext = FakeContext(master)
 
-    class Session:
-        conf = Conf()
-        sparkContext = Context()
 
-    session = Session()
+@pytest.mark.parametrize("master", ["local", "local[4]", "local[*]", "local[4,3]"])
+def test_local_work_dir_is_created_only_when_unset(master):
+    session = FakeSession(master)
     first = work_dir(session)
     assert session.sparkContext.checkpoint == first
     assert work_dir(session) == first  # reused, not created again
 
 
-def test_overwriting_a_layer_from_itself_is_refused(spark):
-    from tierloom import SelfOverwriteError
-
-    path = scratch_path(spark, "layer")
-    write_layer(spark.range(4).withColumnRenamed("id", "x"), path)
-    with pytest.raises(SelfOverwriteError):
-        write_layer(read_layer(spark, path).filter("x > 1"), path)
-    with pytest.raises(SelfOverwriteError):  # the same folder named with a scheme
-        write_layer(read_layer(spark, "file://" + path).filter("x > 1"), path)
+@pytest.mark.parametrize("master", ["yarn", "spark://h:7077", "k8s://x", "local-cluster[2,1,1024]"])
+def test_no_local_work_dir_on_a_cluster(master):
+    session = FakeSession(master)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(session)
+    session.sparkContext.checkpoint = "hdfs://nn/checkpoints/"
+    assert work_dir(session) == "hdfs://nn/checkpoints"
+
+
+def x_rows(spark, n):
+    return spark.range(n).withColumnRenamed("id", "x")
+
+
+NAMES = ["layer", "a space", "per%cent", "per%20cent", "ha#sh", "pl+us"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("spelling", ["{}", "file://{}", "file:{}/", "{}//", "{}/./"])
+def test_a_layer_can_replace_itself(spark, name, spelling):
+    path = scratch_path(spark, name)
+    write_layer(x_rows(spark, 4), path)
+    write_layer(read_layer(spark, spelling.format(path)).filter("x > 1"), path)
+    assert sorted(r.x for r in read_layer(spark, path).collect()) == [2, 3]
+    write_layer(read_layer(spark, path).filter("x > 2"), spelling.format(path))
+    assert [r.x for r in read_layer(spark, path).collect()] == [3]
+    assert os.listdir(os.path.dirname(path)) == [name]  # nothing is left beside it
+
+
+def test_a_parent_of_layers_is_refused(spark):
+    base = scratch_path(spark, "lake")
+    write_layer(x_rows(spark, 4), f"{base}/silver")
+    for parent in (base, base + "/", "file://" + base, base + "/silver/.."):
+        with pytest.raises(NotALayerError):
+            write_layer(read_layer(spark, f"{base}/silver"), parent)
+    assert read_layer(spark, f"{base}/silver").count() == 4
+
+
+def test_a_relative_target(spark, tmp_path, monkeypatch):
+    """A target whose name is part of the source's path is no source."""
+    source = write_layer(x_rows(spark, 3), scratch_path(spark, "a/sales/bronze"))
+    fs, home = hadoop_path(spark, ".")
+    relative = f"tierloom-relative-{uuid.uuid4().hex}"
+    before = fs.getWorkingDirectory()
+    fs.setWorkingDirectory(spark._jvm.org.apache.hadoop.fs.Path(str(tmp_path)))
+    try:
+        for _ in range(2):
+            write_layer(read_layer(spark, source), f"{relative}/sales")
+        assert read_layer(spark, f"{tmp_path}/{relative}/sales").count() == 3
+    finally:
+        fs.setWorkingDirectory(before)
+
+
+def test_a_failing_write_keeps_the_old_layer(spark):
+    path = write_layer(x_rows(spark, 4), scratch_path(spark, "layer"))
+    bad = spark.range(100).selectExpr("id + cast(raise_error('boom') as bigint) as x")
+    with pytest.raises(Exception, match="boom"):
+        write_layer(bad, path)
+    with pytest.raises(Exception, match="boom"):
+        write_layer(bad, scratch_path(spark, "new"))
     assert read_layer(spark, path).count() == 4
-    # A sibling whose name extends the target's is not the target.
-    write_layer(spark.range(2).withColumnRenamed("id", "x"), path + "_copy")
-    write_layer(read_layer(spark, path + "_copy"), path)
-    assert read_layer(spark, path).count() == 2
+    assert os.listdir(os.path.dirname(path)) == ["layer"]
 
 
-def test_overwriting_a_table_from_itself_is_refused_by_spark(spark):
-    from pyspark.errors import AnalysisException
+def test_a_failing_write_keeps_the_old_table(spark):
+    db = scratch_database(spark)
+    write_table(x_rows(spark, 4), f"{db}.t")
+    bad = spark.range(100).selectExpr("id + cast(raise_error('boom') as bigint) as x")
+    with pytest.raises(Exception, match="boom"):
+        write_table(bad, f"{db}.t")
+    with pytest.raises(Exception, match="boom"):
+        write_table(bad, f"{db}.new")
+    assert spark.table(f"{db}.t").count() == 4
+    assert [t.name for t in spark.catalog.listTables(db)] == ["t"]
 
-    name = f"{scratch_database(spark)}.t"
-    write_table(spark.range(4).withColumnRenamed("id", "x"), name)
-    with pytest.raises(AnalysisException, match="UNSUPPORTED_OVERWRITE"):
-        write_table(spark.table(name).filter("x > 1"), name)
-    assert spark.table(name).count() == 4
-
-
-@pytest.mark.parametrize(
-    "path, expected",
-    [
-        ("/lake/silver", "/lake/silver"),
-        ("/lake/silver/", "/lake/silver"),
-        ("file:/lake/silver", "/lake/silver"),
-        ("file:///lake/silver", "/lake/silver"),
-        ("hdfs://nn:8020/lake/silver", "/nn:8020/lake/silver"),
-        ("s3a://bucket/lake/silver", "/bucket/lake/silver"),
-    ],
-)
-def test_path_normalisation(path, expected):
-    from tierloom.sources.layers import _without_scheme
-
-    assert _without_scheme(path) == expected
-    # The guard looks for the target as a whole folder inside each input path.
-    folder = path.rstrip("/")
-    assert "/lake/silver/" in _without_scheme(folder + "/part-0.parquet")
-    assert "/lake/silver/" not in _without_scheme(folder + "_old/part-0.parquet")
 
+def test_a_table_can_replace_itself(spark):
+    db = scratch_database(spark)
+    write_table(x_rows(spark, 4), f"{db}.t")
+    write_table(spark.table(f"{db}.t").filter("x > 1"), f"{db}.t")
+    assert sorted(r.x for r in spark.table(f"{db}.t").collect()) == [2, 3]
+    assert [t.name for t in spark.catalog.listTables(db)] == ["t"]
 
-def test_missing_delta_fails_before_touching_targets(spark):
-    from pyspark.errors import AnalysisException
 
+def test_a_failing_exchange_puts_the_old_table_back(spark, monkeypatch):
+    db = scratch_database(spark)
+    write_table(x_rows(spark, 4), f"{db}.t")
+    real = type(spark).sql
+
+    def broken(self, text, *args, **kw):
+        if "__staging_" in text.split(" RENAME TO ")[0] and "RENAME" in text:
+            raise RuntimeError("no exchange")
+        return real(self, text, *args, **kw)
+
+    monkeypatch.setattr(type(spark), "sql", broken)
+    with pytest.raises(RuntimeError, match="no exchange"):
+        write_table(x_rows(spark, 2), f"{db}.t")
+    monkeypatch.undo()
+    assert spark.table(f"{db}.t").count() == 4
+    assert [t.name for t in spark.catalog.listTables(db)] == ["t"]
+
+
+def test_layer_locations_are_compared_as_the_file_system_sees_them(spark):
+    for other in ("/l/s/", "file:///l/s", "file:/l/s", "/l//s", "/l/./s"):
+        with pytest.raises(ValueError, match="distinct"):
+            Layers(raw="/l/r", bronze="b", silver="/l/s", gold=other).check(spark)
+        with pytest.raises(ValueError, match="inside"):
+            Layers(raw="/l/r", bronze="b", silver="/l/s/x", gold=other).check(spark)
+    Layers(raw="/l/r", bronze="b", silver="/l/s", gold="/l/s%20").check(spark)
+
+
+def test_no_file_lists_in_the_package():
+    import pathlib
+
+    import tierloom
+
+    for path in pathlib.Path(tierloom.__file__).parent.rglob("*.py"):
+        assert "inputFiles" not in path.read_text(), path
+
+
+def test_clear_scratch_removes_what_the_process_made(spark, monkeypatch):
+    from tierloom import session
+
+    monkeypatch.setattr(session, "_RUN", uuid.uuid4().hex)
+    monkeypatch.setattr(session, "_DATABASES", [])
+    db = scratch_database(spark)
+    write_table(x_rows(spark, 2), f"{db}.t")
+    path = write_layer(x_rows(spark, 2), scratch_path(spark, "layer"))
+    session.clear_scratch(spark)
+    assert db not in [d.name for d in spark.catalog.listDatabases()]
+    assert not os.path.exists(path)
+
+
+def test_missing_delta_fails_before_touching_targets(spark):
     name = f"{scratch_database(spark)}.t"
-    write_table(spark.range(3).withColumnRenamed("id", "x"), name)
-    path = write_layer(spark.range(3).withColumnRenamed("id", "x"), scratch_path(spark, "layer"))
-    with pytest.raises((AnalysisException, Exception), match="(?i)delta"):
-        write_table(spark.range(1).withColumnRenamed("id", "x"), name, fmt="delta")
-    with pytest.raises((AnalysisException, Exception), match="(?i)delta"):
-        write_layer(spark.range(1).withColumnRenamed("id", "x"), path, fmt="delta")
+    write_table(x_rows(spark, 3), name)
+    path = write_layer(x_rows(spark, 3), scratch_path(spark, "layer"))
+    for write, target in ((write_table, name), (write_layer, path)):
+        with pytest.raises((AnalysisException, Py4JJavaError), match=r"DATA_SOURCE_NOT_FOUND|delta\.DefaultSource"):
+            write(x_rows(spark, 1), target, fmt="delta")
     assert spark.table(name).count() == 3
     assert read_layer(spark, path).count() == 3

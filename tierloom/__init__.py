@@ -5,12 +5,12 @@ Catalyst plans; only ``tierloom.sources`` touches storage.
 """
 
 from tierloom.functions import amount_as_double, order_date_as_date
-from tierloom.operators import count_rows, dedup_rows, grouped_sum, row_count
+from tierloom.operators import dedup_rows, grouped_sum, row_count
 from tierloom.plans import Layers, clean, customer_sales, ingest, run_gold, run_medallion, run_silver
 from tierloom.sources import (
     EmptyLandingError,
+    NotALayerError,
     SchemaMismatchError,
-    SelfOverwriteError,
     read_layer,
     read_raw,
     read_table,
@@ -21,11 +21,10 @@ from tierloom.sources import (
 __all__ = [
     "EmptyLandingError",
     "Layers",
+    "NotALayerError",
     "SchemaMismatchError",
-    "SelfOverwriteError",
     "amount_as_double",
     "clean",
-    "count_rows",
     "customer_sales",
     "dedup_rows",
     "grouped_sum",

@@ -4,11 +4,12 @@
         --raw s3a://lake/landing/sales/ --bronze bronze.raw_sales \\
         --silver s3a://lake/silver/sales --gold s3a://lake/gold/customer_sales
 
-The session comes from the cluster's configuration. AQE and 1 GiB input
-splits are set first (they suit any size); once bronze is written, its
-size is read from catalog statistics (no data is read) and
-``cluster_conf`` sizes the silver and gold shuffles for it;
-``--bronze-bytes`` overrides the measured size.
+The session comes from the cluster's configuration, and every setting that
+was submitted stays as it is. What was not is set by the job: AQE and 1 GiB
+input splits at the start, and before silver and gold the shuffle for the
+size of that job's own input, read from catalog or file metadata (no data is
+read). ``--bronze-bytes`` overrides the measured size of bronze,
+``--reduce-mb`` the shuffle data per reduce partition.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from tierloom.plans.gold import run_gold
 from tierloom.plans.medallion import Layers
 from tierloom.plans.silver import run_silver
 from tierloom.schema import SALES_TYPED
-from tierloom.session import BASE_CONF, SCAN_CONF, cluster_conf
-from tierloom.sources.layers import read_layer, table_bytes
-
+from tierloom.session import BASE_CONF, GOLD_RATIO, REDUCE_BYTES, SCAN_CONF, apply_conf, cluster_conf, submitted_keys
+from tierloom.sources.layers import layer_bytes, read_layer, table_bytes
 
 STEPS = ("bronze", "silver", "gold")
 
@@ -42,13 +42,25 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     mode.add_argument("--infer", action="store_true", help="infer bronze types (one extra pass)")
     mode.add_argument("--typed", action="store_true", help="read bronze with the declared typed schema")
     parser.add_argument("--strict", action="store_true", help="plain casts: fail on malformed values under ANSI")
+    parser.add_argument("--check-headers", action="store_true", help="fail on landing files whose header differs")
+    parser.add_argument("--overwrite-schema", action="store_true", help="allow the layers' schemas to change")
+    parser.add_argument(
+        "--csv-option",
+        action="append",
+        default=[],
+        metavar="KEY=VALUE",
+        help="option of the CSV reader, may be repeated (sep=;)",
+    )
     parser.add_argument(
         "--start",
         choices=STEPS,
         default="bronze",
         help="first layer to rebuild; the layers before it are read as they are",
     )
-    parser.add_argument("--bronze-bytes", type=int, default=None, help="size hint for shuffle sizing")
+    parser.add_argument("--bronze-bytes", type=int, default=None, help="size hint for silver's shuffle")
+    parser.add_argument(
+        "--reduce-mb", type=int, default=REDUCE_BYTES >> 20, help="shuffle data per reduce partition"
+    )
     return parser.parse_args(argv)
 
 
@@ -58,28 +70,40 @@ def main(argv: list[str] | None = None) -> int:
     log = logging.getLogger("tierloom")
     spark = SparkSession.builder.appName("tierloom").getOrCreate()
     layers = Layers(raw=args.raw, bronze=args.bronze, silver=args.silver, gold=args.gold)
-    layers.check()
+    layers.check(spark)
+    submitted = submitted_keys(spark)
+
+    def size_for(step: str, input_bytes: int, **ratio: float) -> None:
+        settings = cluster_conf(input_bytes, reduce_bytes=args.reduce_mb << 20, **ratio)
+        apply_conf(spark, settings, keep=submitted)
+        used = spark.conf.get("spark.sql.shuffle.partitions")
+        log.info("%s reads %d bytes: %s shuffle partitions", step, input_bytes, used)
 
     # Each step fully replaces its own layer from the one before, so a run
     # that died part-way is repaired by starting again at the failed step.
     steps = STEPS[STEPS.index(args.start):]
-    for key, value in {**BASE_CONF, **SCAN_CONF}.items():  # size-independent: set before the ingest
-        spark.conf.set(key, value)
+    apply_conf(spark, {**BASE_CONF, **SCAN_CONF}, keep=submitted)
     if "bronze" in steps:
-        schema = SALES_TYPED if args.typed else None
-        ingest(spark, layers.raw, layers.bronze, infer=args.infer, schema=schema, fmt=args.fmt)
-    bronze_bytes = args.bronze_bytes or table_bytes(spark, layers.bronze)
-    settings = cluster_conf(bronze_bytes)
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    log.info("bronze %d bytes: %s shuffle partitions", bronze_bytes, settings["spark.sql.shuffle.partitions"])
-
+        ingest(
+            spark,
+            layers.raw,
+            layers.bronze,
+            infer=args.infer,
+            schema=SALES_TYPED if args.typed else None,
+            fmt=args.fmt,
+            overwrite_schema=args.overwrite_schema,
+            check_headers=args.check_headers,
+            csv_options=dict(option.split("=", 1) for option in args.csv_option),
+        )
     if "silver" in steps:
-        run_silver(spark, layers.bronze, layers.silver, fmt=args.fmt, strict=args.strict)
-    run_gold(spark, layers.silver, layers.gold, fmt=args.fmt)
-    bronze_rows = row_count(spark, layers.bronze).first()["rows"]
-    gold_rows = read_layer(spark, layers.gold, fmt=args.fmt).count()
-    log.info("bronze rows %d, gold customers %d", bronze_rows, gold_rows)
+        size_for("silver", args.bronze_bytes or table_bytes(spark, layers.bronze))
+        run_silver(
+            spark, layers.bronze, layers.silver, fmt=args.fmt, strict=args.strict, overwrite_schema=args.overwrite_schema
+        )
+        log.info("bronze rows %d", row_count(spark, layers.bronze).first()["rows"])
+    size_for("gold", layer_bytes(spark, layers.silver), shuffle_ratio=GOLD_RATIO)
+    run_gold(spark, layers.silver, layers.gold, fmt=args.fmt, overwrite_schema=args.overwrite_schema)
+    log.info("gold customers %d", read_layer(spark, layers.gold, fmt=args.fmt).count())
     return 0
 
 

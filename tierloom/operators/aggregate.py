@@ -33,8 +33,3 @@ def row_count(spark: SparkSession, table: str) -> DataFrame:
     final count; on Parquet no column is decoded.
     """
     return spark.sql(f"SELECT COUNT(*) AS {ROW_COUNT} FROM {quote_name(table)}")
-
-
-def count_rows(df: DataFrame) -> DataFrame:
-    """The same count for a DataFrame that is not a table."""
-    return df.agg(F.count(F.lit(1)).alias(ROW_COUNT))

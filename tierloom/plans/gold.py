@@ -23,8 +23,15 @@ def customer_sales(silver: DataFrame) -> DataFrame:
     return grouped_sum(silver, key="customer_id", value="amount", alias=TOTAL_SALES)
 
 
-def run_gold(spark: SparkSession, silver_path: str, gold_path: str, fmt: str | None = None) -> str:
+def run_gold(
+    spark: SparkSession,
+    silver_path: str,
+    gold_path: str,
+    fmt: str | None = None,
+    overwrite_schema: bool = False,
+) -> str:
     """Replace the gold mart with the totals over the silver layer."""
-    write_layer(customer_sales(read_layer(spark, silver_path, fmt=fmt)), gold_path, fmt=fmt)
+    totals = customer_sales(read_layer(spark, silver_path, fmt=fmt))
+    write_layer(totals, gold_path, fmt=fmt, overwrite_schema=overwrite_schema)
     log.info("wrote gold layer %s from %s", gold_path, silver_path)
     return gold_path

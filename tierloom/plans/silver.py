@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierloom.functions.cleaning import amount_as_double, order_date_as_date
 from tierloom.operators.dedup import dedup_rows
-from tierloom.sources.layers import read_table, write_layer
+from tierloom.sources.layers import read_layer, read_table, write_layer
 
 log = logging.getLogger(__name__)
 
@@ -32,12 +32,18 @@ def clean(bronze: DataFrame, strict: bool = False) -> DataFrame:
 
 def run_silver(
     spark: SparkSession,
-    bronze_table: str,
+    bronze: str,
     silver_path: str,
     fmt: str | None = None,
     strict: bool = False,
+    from_path: bool = False,
+    overwrite_schema: bool = False,
 ) -> str:
-    """Replace the silver layer with the cleaned bronze table."""
-    write_layer(clean(read_table(spark, bronze_table), strict=strict), silver_path, fmt=fmt)
-    log.info("wrote silver layer %s from %s", silver_path, bronze_table)
+    """Replace the silver layer with the cleaned bronze.
+
+    ``bronze`` is a table name, or with ``from_path`` a table path (O5).
+    """
+    rows = read_layer(spark, bronze, fmt=fmt) if from_path else read_table(spark, bronze)
+    write_layer(clean(rows, strict=strict), silver_path, fmt=fmt, overwrite_schema=overwrite_schema)
+    log.info("wrote silver layer %s from %s", silver_path, bronze)
     return silver_path

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,37 @@ def q_silver_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_layer(spark, run_silver(spark, bronze, scratch_path(spark, "silver/sales")))
 
 
+def q_silver_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bronze = write_layer(sales_raw(spark, sf_dir), scratch_path(spark, "bronze/sales"))
+    return read_layer(spark, run_silver(spark, bronze, scratch_path(spark, "silver/sales"), from_path=True))
+
+
+def q_table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty rows, replaced by the plain ones."""
+    name = write_table(sales_raw(spark, sf_dir), f"{scratch_database(spark)}.sales")
+    return read_table(spark, write_table(sales_raw(spark, sf_dir, dirty=False), name))
+
+
+def q_layer_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty rows, replaced by the plain ones."""
+    path = write_layer(sales_raw(spark, sf_dir), scratch_path(spark, "bronze_sales"))
+    return read_layer(spark, write_layer(sales_raw(spark, sf_dir, dirty=False), path))
+
+
+def q_missing_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ingest of a missing path fails and leaves the table (O3)."""
+    name = f"{scratch_database(spark)}.raw_sales"
+    ingest(spark, _landed(spark, sf_dir), name)
+    try:
+        ingest(spark, scratch_path(spark, "absent"), name)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        raise AssertionError("a missing landing path was accepted")
+    return read_table(spark, name)
+
+
 def q_gold_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = write_layer(clean(sales_raw(spark, sf_dir)), scratch_path(spark, "silver/sales"))
     return _cents(read_layer(spark, run_gold(spark, silver, scratch_path(spark, "gold/customer_sales"))))
@@ -138,6 +170,10 @@ QUERIES: dict[str, QueryFn] = {
     "parse_order_date": q_parse_order_date,
     "silver_clean": q_silver_clean,
     "silver_job": q_silver_job,
+    "silver_from_path": q_silver_from_path,
+    "table_overwrite": q_table_overwrite,
+    "layer_overwrite": q_layer_overwrite,
+    "missing_input": q_missing_input,
     "customer_totals": q_customer_totals,
     "gold_customer_sales": q_gold_customer_sales,
     "gold_job": q_gold_job,
@@ -210,6 +246,9 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
 
+# Inference gives INTEGER ids only while they fit 32 bits (as at the given
+# scales); beyond, Spark infers BIGINT and this cast fails. That follows from
+# type inference itself.
 _INFERRED = _with(_LINES, _SALES_PLAIN) + """
 SELECT CAST(order_id AS INTEGER) AS order_id,
        CAST(customer_id AS INTEGER) AS customer_id,
@@ -242,6 +281,10 @@ SELECT order_id, customer_id, product, amount, TRY_CAST(order_date AS DATE) AS o
 FROM sales""",
     "silver_clean": _with(_LINES, _SALES_RAW, _SILVER) + "\nSELECT * FROM silver",
     "silver_job": _with(_LINES, _SALES_RAW, _SILVER) + "\nSELECT * FROM silver",
+    "silver_from_path": _with(_LINES, _SALES_RAW, _SILVER) + "\nSELECT * FROM silver",
+    "table_overwrite": _with(_LINES, _SALES_PLAIN) + "\nSELECT * FROM sales",
+    "layer_overwrite": _with(_LINES, _SALES_PLAIN) + "\nSELECT * FROM sales",
+    "missing_input": _with(_LINES, _SALES_RAW) + "\nSELECT * FROM sales",
     "customer_totals": _with(_LINES, _SALES_TYPED)
     + """
 SELECT customer_id, ROUND(SUM(amount), 2) AS total_sales

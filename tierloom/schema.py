@@ -23,9 +23,6 @@ SALES_COLUMNS = ("order_id", "customer_id", "product", "amount", "order_date")
 TOTAL_SALES = "total_sales"
 ROW_COUNT = "rows"
 
-# Bronze, all-string mode: what a headered CSV read without inference gives.
-SALES_RAW = StructType([StructField(name, StringType(), True) for name in SALES_COLUMNS])
-
 # Bronze, typed mode, declared instead of inferred. Customer ids stay text
 # because the landed files may carry ids such as "C001".
 SALES_TYPED = StructType(
@@ -37,22 +34,3 @@ SALES_TYPED = StructType(
         StructField("order_date", DateType(), True),
     ]
 )
-
-# Silver over an all-string bronze: only amount and order_date change type.
-SALES_CLEAN = StructType(
-    [
-        StructField("order_id", StringType(), True),
-        StructField("customer_id", StringType(), True),
-        StructField("product", StringType(), True),
-        StructField("amount", DoubleType(), True),
-        StructField("order_date", DateType(), True),
-    ]
-)
-
-# Gold mart: total sales per customer.
-CUSTOMER_SALES = StructType(
-    [
-        StructField("customer_id", StringType(), True),
-        StructField(TOTAL_SALES, DoubleType(), True),
-    ]
-)

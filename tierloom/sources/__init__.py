@@ -2,8 +2,9 @@
 
 from tierloom.sources.landing import EmptyLandingError, read_raw
 from tierloom.sources.layers import (
+    NotALayerError,
     SchemaMismatchError,
-    SelfOverwriteError,
+    layer_bytes,
     read_layer,
     read_table,
     table_bytes,
@@ -14,8 +15,9 @@ from tierloom.sources.layers import (
 
 __all__ = [
     "EmptyLandingError",
+    "NotALayerError",
     "SchemaMismatchError",
-    "SelfOverwriteError",
+    "layer_bytes",
     "read_layer",
     "read_raw",
     "read_table",

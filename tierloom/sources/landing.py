@@ -15,6 +15,7 @@ def read_raw(
     path: str,
     infer: bool = False,
     schema: StructType | str | None = None,
+    check_headers: bool = False,
     **csv_options: str,
 ) -> DataFrame:
     """Read landed CSV whose first line is a header.
@@ -27,11 +28,14 @@ def read_raw(
     ``samplingRatio`` infers from a sample, but then a later value that
     does not fit the sampled type becomes NULL (PERMISSIVE mode).
 
-    In every mode each file's header is checked against the column names
-    as the file is read (``enforceSchema=false``): Spark's default takes the
-    names from one file and maps every other file by position, so a drop
-    with one reordered file would be ingested silently wrong. The check
-    runs inside the scan, so it adds no job.
+    Spark takes the names from one file and maps every other file by
+    position. ``check_headers=True`` compares each file's header with the
+    names as the file is read (``enforceSchema=false``), so that a drop with
+    one reordered file fails instead of being read silently wrong. The check
+    is part of the scan of a file's columns: it adds no job, and a bare
+    ``count()``, which reads no column, does not make it. It also refuses
+    blank and repeated header cells, which Spark otherwise renames (``_c1``,
+    ``a0``), and is therefore off by default.
 
     Defaults otherwise are Spark's: comma separator, ``"`` quote,
     PERMISSIVE mode. A missing path raises ``AnalysisException``
@@ -42,7 +46,9 @@ def read_raw(
     ``EmptyLandingError`` here too; with a declared schema an empty drop
     is simply zero rows.
     """
-    reader = spark.read.format("csv").option("header", "true").option("enforceSchema", "false")
+    reader = spark.read.format("csv").option("header", "true")
+    if check_headers:
+        reader = reader.option("enforceSchema", "false")
     if schema is not None:
         reader = reader.schema(schema)
     elif infer:

@@ -4,20 +4,29 @@ Every sink is a full refresh (``mode("overwrite")``). The format is a
 parameter: ``"delta"`` where the Delta jars are installed, ``"parquet"``
 otherwise. The session setting ``spark.tierloom.format`` picks the default.
 
-Delta refuses an overwrite that changes the table's schema unless told
-otherwise; Parquet does not, so for non-Delta formats the sinks make the
-same check themselves from the target's metadata (no data is read).
+Delta keeps the old table when an overwrite fails, and refuses one that
+changes the schema unless told otherwise. For other formats the sinks do
+both themselves: the new contents are written beside the target first, in
+the target's own file system or database, and take its place only when the
+whole job has succeeded. Until then the target is untouched, so a job that
+fails, or that reads the layer it replaces, loses nothing.
+
+What is not atomic is the exchange itself, two renames: a reader between
+them finds no target, and if the driver dies there, the old contents are
+left beside it (``.<name>.old-*``, or table ``<name>__old_*``). An object
+store renames by copying, which makes that moment longer; use Delta there.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tierloom.session import hadoop_path
+
 FORMAT_CONF = "spark.tierloom.format"
 DEFAULT_FORMAT = "parquet"
 
@@ -26,8 +35,8 @@ class SchemaMismatchError(ValueError):
     """An overwrite would change the schema of an existing table or layer."""
 
 
-class SelfOverwriteError(ValueError):
-    """An overwrite of a layer path would read from that same path."""
+class NotALayerError(ValueError):
+    """An overwrite would replace a folder that holds other folders."""
 
 
 def table_format(spark: SparkSession, fmt: str | None = None) -> str:
@@ -57,21 +66,6 @@ def _existing_layer_schema(spark: SparkSession, path: str, fmt: str) -> StructTy
         raise
 
 
-def _without_scheme(path: str) -> str:
-    return "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", path).strip("/")
-
-
-def _reads_from(df: DataFrame, path: str) -> bool:
-    """Whether any input file of ``df`` lies under ``path``.
-
-    Schemes are dropped and the target folder is looked for anywhere in
-    each input path, so ``/x``, ``file:///x`` and ``hdfs://nn/x`` count as
-    one folder. A false match can only refuse a write, never allow one.
-    """
-    target = _without_scheme(path) + "/"
-    return any(target in _without_scheme(f) for f in df.inputFiles())
-
-
 def read_layer(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Load a layer by path (O5); schema comes from the files.
 
@@ -81,17 +75,6 @@ def read_layer(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     return spark.read.format(table_format(spark, fmt)).load(path)
 
 
-def _overwriter(df: DataFrame, fmt: str, overwrite_schema: bool, existing: Callable[[], StructType | None], target: str):
-    """A full-refresh writer; refuses a schema change unless asked (Delta
-    does this itself, so the check runs only for other formats)."""
-    writer = df.write.format(fmt).mode("overwrite")
-    if fmt == "delta":
-        return writer.option("overwriteSchema", "true") if overwrite_schema else writer
-    if not overwrite_schema:
-        _check_schema(existing(), df.schema, target)
-    return writer
-
-
 def write_layer(
     df: DataFrame,
     path: str,
@@ -100,33 +83,88 @@ def write_layer(
 ) -> str:
     """Replace the layer at ``path`` with ``df``.
 
-    ``path`` must not be a source of ``df``: a file-format overwrite
-    deletes the target before the job reads it, and Spark does not refuse
-    such a plan for paths (it does for tables), so the layer would be lost.
-    When the target exists, its files are looked for among ``df``'s input
-    files (listing metadata only) and the write is refused before anything
-    is deleted. Delta reads a snapshot and needs no such check.
+    ``df`` may read the layer that it replaces. A target that holds folders
+    is refused: layers have none, so it is a parent of layers, and replacing
+    it would delete them.
     """
     spark = df.sparkSession
     fmt = table_format(spark, fmt)
-    existing_schema = _existing_layer_schema(spark, path, fmt) if fmt != "delta" else None
-    if existing_schema is not None and _reads_from(df, path):
-        raise SelfOverwriteError(f"{path} is both read and overwritten by this job; write to another path")
-    _overwriter(df, fmt, overwrite_schema, lambda: existing_schema, path).save(path)
+    if fmt == "delta":
+        _delta(df, overwrite_schema).save(path)
+        return path
+    fs, target = hadoop_path(spark, path)
+    there = fs.exists(target)
+    if there:
+        if fs.getContentSummary(target).getDirectoryCount() > 1:
+            raise NotALayerError(f"{path} holds other folders; a layer's folder has none")
+        if not overwrite_schema:
+            _check_schema(_existing_layer_schema(spark, path, fmt), df.schema, path)
+    beside = lambda kind: target.suffix(f".{kind}-{uuid.uuid4().hex}")
+    staging, old = (_hidden(spark, beside(kind)) for kind in ("staging", "old"))
+    try:
+        df.write.format(fmt).save(staging.toString())
+        if there and not fs.rename(target, old):
+            raise OSError(f"{path} could not be moved aside")
+        if not fs.rename(staging, target):
+            if there:
+                fs.rename(old, target)
+            raise OSError(f"{path} could not be replaced")
+    finally:
+        fs.delete(staging, True)
+    if there:
+        fs.delete(old, True)
+        spark.catalog.refreshByPath(path)
     return path
 
 
+def _hidden(spark: SparkSession, path):
+    """The same path with a dot before its name: scans pass over it."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}")
+
+
+def _delta(df: DataFrame, overwrite_schema: bool):
+    writer = df.write.format("delta").mode("overwrite")
+    return writer.option("overwriteSchema", "true") if overwrite_schema else writer
+
+
 def write_table(
     df: DataFrame,
     name: str,
     fmt: str | None = None,
     overwrite_schema: bool = False,
 ) -> str:
-    """Replace the contents of managed table ``name`` with ``df``."""
+    """Replace the contents of managed table ``name`` with ``df``.
+
+    ``df`` may read the table that it replaces.
+    """
     spark = df.sparkSession
     fmt = table_format(spark, fmt)
-    existing = lambda: spark.table(name).schema if spark.catalog.tableExists(name) else None
-    _overwriter(df, fmt, overwrite_schema, existing, name).saveAsTable(name)
+    if fmt == "delta":
+        _delta(df, overwrite_schema).saveAsTable(name)
+        return name
+    there = spark.catalog.tableExists(name)
+    if there and not overwrite_schema:
+        _check_schema(spark.table(name).schema, df.schema, name)
+    mark = uuid.uuid4().hex[:16]
+    staging, old = f"{name}__staging_{mark}", f"{name}__old_{mark}"
+
+    def rename(source: str, target: str) -> None:
+        spark.sql(f"ALTER TABLE {quote_name(source)} RENAME TO {quote_name(target)}")
+
+    try:
+        df.write.format(fmt).saveAsTable(staging)
+        if there:
+            rename(name, old)
+        try:
+            rename(staging, name)
+        except Exception:
+            if there:
+                rename(old, name)
+            raise
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {quote_name(staging)}")
+    if there:
+        spark.sql(f"DROP TABLE IF EXISTS {quote_name(old)}")
     return name
 
 
@@ -157,3 +195,9 @@ def table_bytes(spark: SparkSession, name: str) -> int:
         return int(spark.sql(f"DESCRIBE DETAIL {quoted}").first()["sizeInBytes"])
     spark.sql(f"ANALYZE TABLE {quoted} COMPUTE STATISTICS NOSCAN")
     return int(details()["Statistics"].split(" bytes")[0])
+
+
+def layer_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the layer at ``path`` on storage, from file metadata only."""
+    fs, found = hadoop_path(spark, path)
+    return int(fs.getContentSummary(found).getLength())

@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tierloom import clean, customer_sales, ingest, read_layer, read_raw, read_table, row_count, write_layer  # noqa: E402
 from tierloom.registry import QUERIES  # noqa: E402
-from tierloom.session import local_session, scratch_database, scratch_path  # noqa: E402
+from tierloom.session import clear_scratch, local_session, scratch_database, scratch_path  # noqa: E402
 from tierloom.sources.fixtures import land_csv, sales_raw  # noqa: E402
 
 
@@ -31,7 +31,7 @@ def final_plan(df) -> str:
         df.explain()
     text = buf.getvalue()
     text = re.sub(r"#\d+L?", "", text)  # expression ids only add noise
-    text = re.sub(r"file:[^,\]\s]*/tierloom/[0-9a-f]{32}/", "<work>/", text)
+    text = re.sub(r"file:[^,\]\s]*/tierloom/(?:[0-9a-f]{32}/){2}", "<work>/", text)
     return text.strip()
 
 
@@ -58,6 +58,7 @@ def main() -> None:
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     title = "flagship with broadcast off (the join shape at 100 TB)"
     print(f"### {title}\n\n```\n{final_plan(QUERIES['gold_customer_sales'](spark, sf_dir))}\n```\n")
+    clear_scratch(spark)
     spark.stop()
 
 
