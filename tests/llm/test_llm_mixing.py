@@ -80,8 +80,10 @@ def test_limits_and_repeats(spark):
     goals = {r.source: r.target for r in queue.select("source", "target").distinct().collect()}
     assert sum(taken.values()) <= 1.5 * sum(len(words(r[1])) for r in ROWS)
     for source, goal in goals.items():
+        # Off by one document at most, and what documents too long for the
+        # rest of the budget leave to the others in proportion.
         longest = max(len(words(r[1])) for r in ROWS if r[2] == source)
-        assert abs(taken[source] - goal) <= longest + 1
+        assert abs(taken[source] - goal) <= longest + 0.05 * goal
     assert queue.count() == 2 * len(ROWS)
 
 

@@ -326,9 +326,10 @@ def near_duplicates(
         pending = written(_mixed(pending.withColumn("component", F.coalesce("component", "node"))), "near_pending")
         if pending.isEmpty():
             break
+        # Each time fewer classes are left to share a shingle with.
+        pending = written(_mixed(_linkable(pending, sets, percent)), "near_pending")
         if step == 0:
             pending = pending.select("bucket", "node", "n", "degree", "component")
-            pending = written(_mixed(_linkable(pending, sets, percent)), "near_pending")
     else:
         heads = written(_heads(pending, sets, percent), "near_heads")
         columns = {"n": "n", "comp": "component", "in": "inside", "out": "shared"}

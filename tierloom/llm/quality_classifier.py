@@ -12,8 +12,8 @@ its whole text.
 The shape of the job:
 
 1. Documents are packed into chunks, a compressed block of texts and the
-   distinct 4-grams of the chunk (per language). Written once; from here on
-   a chunk is known by its number.
+   distinct 4-grams of the chunk (per language). Written once, bucketed by
+   the chunk's number, so that no later join by chunk shuffles a text.
 2. Chunks with trusted documents give 4-gram counts, summed over a shuffle
    by (language, 4-gram). The lower orders' continuation counts, contexts
    and discounts follow from that table by grouping.
@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tierloom.llm.storage import table, text_key, written
+from tierloom.session import scratch_database
 
 ORDER = 4
 BITS = 16
@@ -57,10 +58,11 @@ MARGIN = 0.1  # nats per character
 #: One trusted document in so many is held out for the threshold.
 HELD_OUT = 5
 #: Characters of a chunk, and of what is counted at once in one.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 12_000_000
 PIECE_CHARS = 1_000_000
 #: The probability of a character that is new to a language.
 UNIFORM = 1.0 / (1 << BITS)
+COST_BITS = 28
 
 _START = 2  # a code before each text
 
@@ -161,6 +163,16 @@ def pack_chunks(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, schema)
 
 
+def written_chunks(documents: DataFrame) -> DataFrame:
+    """The chunks as a table bucketed by number: a join by chunk then moves
+    only the other side."""
+    spark = documents.sparkSession
+    name = f"{scratch_database(spark)}.chunks"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pack_chunks(documents).write.bucketBy(buckets, "chunk").saveAsTable(name)
+    return spark.table(name)
+
+
 def count_trusted(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
     """``lang, gram, n`` over the texts of the ``trusted`` documents."""
     docs = chunks.select("chunk", F.posexplode("docs").alias("place", "doc")).select("chunk", "place", F.col("doc.doc_id").alias("doc_id"))
@@ -212,7 +224,7 @@ def kneser_ney(counts: DataFrame, grams: DataFrame) -> DataFrame:
         asked = asked.join(contexts, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("context") == F.col("c2")), "left")
         p = F.coalesce("direct", F.lit(0.0)) + F.coalesce("given", F.lit(1.0)) * F.col("p")
         out = asked.select("lang", "gram", p.alias("p"))
-    return out.select("lang", "gram", F.log("p").cast("float").alias("log_p"))
+    return out.select("lang", "gram", F.log("p").alias("log_p"))
 
 
 def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,11 +249,15 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def score_chunks(chunks: DataFrame, probabilities: DataFrame) -> DataFrame:
     """``doc_id, key, lang, chars, log_perplexity``, one row per document."""
-    asked = chunks.select("chunk", F.explode("grams").alias("g")).select("chunk", "g.lang", F.explode("g.codes").alias("gram"))
-    known = probabilities.select(F.col("lang").alias("l"), F.col("gram").alias("g"), "log_p")
+    # An answer is the place of the 4-gram in its chunk's list and -log p in
+    # millionths (below 2^28), in one long.
+    lists = chunks.select("chunk", F.posexplode("grams").alias("list", "g"))
+    asked = lists.select("chunk", "list", "g.lang", F.posexplode("g.codes").alias("place", "gram"))
+    known = probabilities.select(F.col("lang").alias("l"), F.col("gram").alias("g"), (-F.round(F.col("log_p") * 1e6)).cast("long").alias("cost"))
     answers = asked.join(known, F.col("lang").eqNullSafe(F.col("l")) & (F.col("gram") == F.col("g")))
-    answers = answers.groupBy("chunk", "lang").agg(F.sort_array(F.collect_list(F.struct("gram", "log_p"))).alias("table"))
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("lang", "table")).alias("model"))
+    answer = F.shiftleft(F.col("place").cast("long"), COST_BITS) + F.col("cost")
+    answers = answers.groupBy("chunk", "list").agg(F.collect_list(answer).alias("answers"))
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("list", "answers")).alias("model"))
     doc = chunks.schema["docs"].dataType.elementType
     schema = StructType([*doc.fields]).add("chars", "long").add("log_perplexity", "double")
 
@@ -253,16 +269,20 @@ def score_chunks(chunks: DataFrame, probabilities: DataFrame) -> DataFrame:
                 chars = np.array([len(t) for t in texts], np.int64)
                 total = np.full(len(texts), np.nan)
                 model = batch.column("model")[row]
+                grams = batch.column("grams")[row].values
                 tables = {}
                 for n in range(len(model.values) if model.is_valid else 0):
-                    pairs = model.values[n]["table"].values
-                    tables[model.values[n]["lang"].as_py()] = pairs.field(0).to_numpy(), pairs.field(1).to_numpy().astype(np.float64)
+                    asked = grams[model.values[n]["list"].as_py()]
+                    answers = model.values[n]["answers"].values.to_numpy()
+                    log_p = np.empty(len(answers))
+                    log_p[answers >> COST_BITS] = (answers & ((1 << COST_BITS) - 1)) * -1e-6
+                    tables[asked["lang"].as_py()] = asked["codes"].values.to_numpy(), log_p
                 for lang, which in _by_language(docs.field("lang").to_pylist(), texts).items():
                     codes, log_p = tables[lang]
                     done = 0
                     for group in _pieces([texts[n] for n in which]):
-                        grams, sizes = gram_codes(group)
-                        each = log_p[np.searchsorted(codes, grams)]
+                        found, sizes = gram_codes(group)
+                        each = log_p[np.searchsorted(codes, found)]
                         firsts = np.cumsum(sizes) - sizes
                         total[which[done : done + len(group)]] = np.add.reduceat(each, firsts)
                         done += len(group)
@@ -270,8 +290,8 @@ def score_chunks(chunks: DataFrame, probabilities: DataFrame) -> DataFrame:
                     perplexity = pa.array(np.round(-total / np.maximum(chars, 1), 6), from_pandas=True)
                 yield pa.RecordBatch.from_arrays([*docs.flatten(), pa.array(chars), perplexity], names=schema.names)
 
-    rows = chunks.select("chunk", "blob", "docs").join(answers, "chunk", "left")
-    return rows.select("blob", "docs", "model").mapInArrow(score, schema)
+    rows = chunks.select("chunk", "blob", "docs", "grams").join(answers, "chunk", "left")
+    return rows.select("blob", "docs", "grams", "model").mapInArrow(score, schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -279,7 +299,7 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good"))
     trusted = trusted.where("good").withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
-    chunks = written(pack_chunks(documents), "classifier_chunks")
+    chunks = written_chunks(documents)
     counts = written(count_trusted(chunks, trusted.where("not held_out")), "classifier_counts")
     grams = chunks.select(F.explode("grams").alias("g")).select("g.lang", F.explode("g.codes").alias("gram")).distinct()
     scores = written(score_chunks(chunks, written(kneser_ney(counts, grams), "classifier_model")), "classifier_scores")
