@@ -327,7 +327,8 @@ def near_duplicates(
         if pending.isEmpty():
             break
         # Each time fewer classes are left to share a shingle with.
-        pending = written(_mixed(_linkable(pending, sets, percent)), "near_pending")
+        for _ in range(step + 1):
+            pending = written(_mixed(_linkable(pending, sets, percent)), "near_pending")
         if step == 0:
             pending = pending.select("bucket", "node", "n", "degree", "component")
     else:
