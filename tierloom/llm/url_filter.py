@@ -5,9 +5,9 @@ host and all subdomains, and the longest fitting rule decides. URLs that no
 rule fits take part in the decisions on their aliases: URLs that a redirect
 or canonical link of a page connects are one thing under several names.
 
-- Links come from the pages: ``<link rel="canonical">``, ``<meta
-  http-equiv="refresh">``, and a URL's own canonical form (host in lower
-  case, no fragment, no tracking parameters).
+- URLs of one canonical form (host in lower case, no fragment, no tracking
+  parameters) are one node. Links between nodes come from the pages: ``<link
+  rel="canonical">`` and ``<meta http-equiv="refresh">``.
 - Connected components over the links give the alias classes.
 - Rules are applied to every URL of a class, also to link targets that are
   no page here. A block spreads to the class's URLs that no rule fits,
@@ -95,17 +95,14 @@ def resolved(target: Column, page: Column) -> Column:
 
 
 def _node(url: Column) -> Column:
-    return F.xxhash64(url)
+    return F.xxhash64(canonical_form(url))
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """``url, other``: the links of all pages, and of all URLs to their
-    canonical forms."""
+    """``url, other``: the canonical and redirect links of all pages."""
     targets = F.array(*[resolved(F.regexp_extract("html", p, 1), F.col("url")) for p in (_CANONICAL, _REFRESH)])
-    named = pages.where(_rest(F.col("url")).isNotNull()).select("url", targets.alias("targets"))
-    links = named.select("url", F.explode("targets").alias("other")).where("other is not null")
-    urls = named.select("url").unionByName(links.select(F.col("other").alias("url")))
-    return links.unionByName(urls.select("url", canonical_form(F.col("url")).alias("other"))).where("url != other").distinct()
+    links = pages.where(_rest(F.col("url")).isNotNull()).select("url", F.explode(targets).alias("other"))
+    return links.where(_rest(F.col("other")).isNotNull()).distinct()
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -130,9 +127,9 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``page_id, url, host, path, rule, verdict, component``: one row per
-    page; ``component`` is its alias class (null without aliases)."""
+    page; ``component`` is its alias class (null without links)."""
     links = written(alias_links(pages), "url_links")
-    ends = links.select(_node(F.col("url")).alias("a"), _node(F.col("other")).alias("b"))
+    ends = links.select(_node(F.col("url")).alias("a"), _node(F.col("other")).alias("b")).where("a != b")
     classes = connected_components(ends)
     known = links.select(F.explode(F.array("url", "other")).alias("url")).distinct()
     known = known.select(_node(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -146,7 +143,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(F.when(allowed, ALLOW).otherwise(BLOCK).alias("class_verdict"))
     )
     of_node = classes.join(by_class, "component", "left")
-    rows = pages.select("page_id", "url", *parts, _node(F.col("url")).alias("node"))
+    rows = pages.select("page_id", "url", *parts, F.when(_rest(F.col("url")).isNotNull(), _node(F.col("url"))).alias("node"))
     judged = rows.join(decided, ["host", "path"], "left").join(of_node, "node", "left")
     verdict = F.coalesce("verdict", "class_verdict", F.lit(ALLOW))
     return judged.select("page_id", "url", "host", "path", "rule", verdict.alias("verdict"), "component")
