@@ -137,11 +137,12 @@ def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int =
     else:
         rows = counts.where((F.col("n") >= min_docs) & (F.col("n") * HOT_SHARE > total["lines"])).select("hash")
         hot = np.sort(rows.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))  # HOT_SHARE at most
-    hot_index = documents.sparkSession.sparkContext.broadcast(CountIndex.build(hot, np.ones(len(hot), np.uint8)))
+    hot_index = CountIndex.build(hot, np.ones(len(hot), np.uint8)).to_bytes()
+    hot_index = documents.sparkSession.sparkContext.broadcast(hot_index)
     shards = total["keys"] // SHARD_KEYS + 1
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot_index.value
+        known = CountIndex.from_bytes(hot_index.value)
         for batch in batches:
             hashes, n = _document_keys(batch.column(0), min_chars)
             keys = np.repeat(batch.column(1).to_numpy(), n)
@@ -161,7 +162,7 @@ def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int =
     ).join(drops, "key", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot_index.value
+        known = CountIndex.from_bytes(hot_index.value)
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
             for text, drops in zip(batch.column(1), batch.column(2), strict=True):

@@ -4,7 +4,8 @@ An interpolated modified Kneser-Ney model over character 4-grams is trained
 per language on trusted text (labelled good and not toxic) and gives each
 document a perplexity per character. A document is kept if it is no more
 surprising than held-out trusted text of its language: up to the
-``QUANTILE`` of its perplexities, plus ``MARGIN``.
+``QUANTILE`` of its perplexities, plus ``MARGIN``, plus ``SPREAD`` over the
+square root of its length, as the mean over few characters scatters more.
 
 All counts come from all trusted documents, and every document is scored on
 its whole text.
@@ -55,6 +56,7 @@ ORDER = 4
 BITS = 16
 QUANTILE = 0.995
 MARGIN = 0.1  # nats per character
+SPREAD = 3.0
 #: One trusted document in so many is held out for the threshold.
 HELD_OUT = 5
 #: Characters of a chunk, and of what is counted at once in one.
@@ -308,7 +310,8 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE
         (F.percentile(F.round("log_perplexity", 3), F.lit(quantile)) + margin).alias("threshold")
     )
     judged = scores.join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")), "left").drop("limit_lang")
-    fine = F.col("threshold").isNull() | (F.col("log_perplexity") <= F.col("threshold"))
+    allowed = F.col("threshold") + F.lit(SPREAD) / F.sqrt(F.greatest("chars", F.lit(1)))
+    fine = F.col("threshold").isNull() | (F.col("log_perplexity") <= allowed)
     return judged.withColumn("kept", F.col("log_perplexity").isNotNull() & fine)
 
 
