@@ -20,14 +20,15 @@ all pairs of a bucket:
    above; classes whose bound stays below the limit for every size in their
    bucket go. (Texts around one shared passage go here, one row at a time,
    however many they are.)
-3. Step 1 again, with the smallest class of each bucket as its hub h. Two
-   classes x and y of different components, one of them unlike h, can now
-   link only if they share shingles outside h: if x is not like h, then h
-   and x have too few shingles in common, and y is no smaller than h, so it
-   needs more. By the same count they share one of the ``n - c + 1`` rarest
-   shingles of x outside h, where c is what a set of h's size must have in
-   common with x. So only classes that meet in such a shingle are compared.
-   (Of copies with many edits of their own, nearly none do.)
+3. Two classes x and y of different components, one of them unlike their
+   hub h, can now link only if they share shingles outside h: if x is not
+   like h, then h and x have too few shingles in common. By the same count
+   they share one of the ``n - c + 1`` rarest shingles of x outside h, where
+   c is what the smallest class of the bucket must have in common with x. So
+   only classes that meet in such a shingle are compared, and whose shared
+   shingles suffice. (Of copies with many edits of their own, nearly none.)
+   The one exception are classes smaller than h, for which x may have enough
+   in common with h alone; those few are joined by hub.
 
 So each pair that shares a bucket is either compared, or in one component
 already, or proven not to link. Two documents of the least similarity miss
@@ -48,7 +49,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierloom.llm.graph import connected_components
@@ -62,6 +63,8 @@ SIMILARITY = 80  # percent
 
 ROWS = 5
 BANDS = 36
+#: How often step 2 is made.
+BOUND_ROUNDS = 2
 #: Shingles that are hashed at once; keeps the arrays in the CPU's cache.
 _BLOCK = 1 << 14
 
@@ -182,10 +185,6 @@ def _new_pairs(pairs: DataFrame, tested: DataFrame | None, percent: int) -> Data
     return new if tested is None else new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _and_before(found: DataFrame, linked: DataFrame) -> DataFrame:
-    return _named(found.where("link"), a="a", b="b").unionByName(_named(linked, a="node", b="component"))
-
-
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` with their sets ``left`` and ``right``."""
     left, right = _named(sets, a="node", left="shingles"), _named(sets, b="node", right="shingles")
@@ -211,14 +210,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
     return written(both.select("a", "b", link.alias("link")), "near_links")
 
 
-def _starred(pending: DataFrame, rank: tuple[str, str]) -> DataFrame:
-    """The classes of each bucket with its hub, the first by rank, but for
-    the hub itself."""
-    hub = F.struct(*[F.col(r) if r != "less" else (-F.col("degree")).alias("less") for r in rank], "node", "component")
-    hubs = pending.groupBy("bucket").agg(F.min(hub).alias("hub"))
-    return pending.join(hubs, "bucket").select(
-        "bucket", "node", "n", "degree", "component",
-        F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"),
+def _starred(pending: DataFrame) -> DataFrame:
+    """The classes of each bucket with its hub, the one that shares most
+    buckets (ties: the smallest), but for the hub itself."""
+    hub = F.min(F.struct((-F.col("degree")).alias("less"), "n", "node")).alias("hub")
+    hubs = pending.groupBy("bucket").agg(hub)
+    starred = pending.join(hubs, "bucket").withColumn("component", F.col("node"))
+    return starred.select(
+        "bucket", "node", "n", "component", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")
     ).where("node != hub")
 
 
@@ -230,11 +229,8 @@ def _linkable(pending: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pending.join(shared, "node").join(least, "bucket").where(can).drop("least", "shared")
 
 
-def _heads(pending: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``hub, shingle, node, n, component, inside, shared``: of each class
-    and each of its hubs, the rarest shingles outside the hub, as far as a
-    link must share one of them, and some other class of the hub has them
-    too. ``inside`` counts shingles in the hub, ``shared`` those outside."""
+def _met(pending: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, n_a, n_b``: the pairs of step 3 of the module's text."""
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,26 +240,49 @@ def _heads(pending: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ends = (pa.array(np.full(len(rest), batch.column(c)[n].as_py())) for c in ("a", "b"))
                 yield pa.RecordBatch.from_arrays([*ends, pa.array(rest)], ["a", "b", "shingle"])
 
-    stars = pending.select("node", "n", "component", "hub", "hub_n").distinct()
+    def needed(left: str, right: str) -> Column:
+        return F.ceil(F.lit(percent) * (F.col(left) + F.col(right)) / F.lit(100 + percent))
+
+    least = pending.groupBy("bucket").agg(F.min("n").alias("least"))
+    stars = pending.join(least, "bucket").groupBy("node", "n", "component", "hub", "hub_n").agg(F.min("least").alias("least"))
+    stars = stars.join(_named(linked, hub="node", hub_component="component"), "hub", "left")
+    stars = written(stars.withColumn("hub_component", F.coalesce("hub_component", "hub")), "near_hubs")
     rest = _with_sets(_named(stars, a="node", b="hub"), sets).select("a", "b", "left", "right")
-    rest = rest.mapInArrow(outside, "a long, b long, shingle long")
-    rest = written(_named(rest, node="a", hub="b", shingle="shingle").join(stars, ["hub", "node"]), "near_outside")
-    must = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub_n")) / F.lit(100 + percent))
+    rest = _named(rest.mapInArrow(outside, "a long, b long, shingle long"), node="a", hub="b", shingle="shingle")
+    rest = written(rest, "near_outside")
+    sizes = rest.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("outside"))
+    # A class may have no shingle outside its hub at all.
+    stars = stars.join(sizes, ["hub", "node"], "left").withColumn("inside", F.col("n") - F.coalesce("outside", F.lit(0)))
+    stars = written(stars.withColumn("must", needed("n", "least")), "near_hubs")
+    classes = rest.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("classes"))
     of_class = Window.partitionBy("hub", "node")
-    inside = F.col("n") - F.count(F.lit(1)).over(of_class)
-    for again in (True, False):
-        classes = rest.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("classes"))
-        counted = rest.join(classes, ["hub", "shingle"])
-        if again:
-            counted = counted.withColumn("inside", inside)
-        # Shingles that no other class of the hub has are in no intersection.
-        counted = counted.withColumn("shared", F.sum((F.col("classes") > 1).cast("int")).over(of_class))
-        counted = counted.where(F.col("inside") + F.col("shared") >= must)
-        if again:
-            rest = written(counted.drop("classes", "shared"), "near_outside")
-    rarest = of_class.orderBy("classes", "shingle")
-    heads = counted.withColumn("place", F.row_number().over(rarest)).where("classes > 1")
-    return heads.where(F.col("place") <= F.col("n") - must + 1)
+    placed = rest.join(classes, ["hub", "shingle"]).withColumn("place", F.row_number().over(of_class.orderBy("classes", "shingle")))
+    placed = placed.withColumn("shared", F.sum((F.col("classes") > 1).cast("int")).over(of_class)).where("classes > 1")
+    heads = placed.join(stars, ["hub", "node"]).where(F.col("inside") + F.col("shared") >= F.col("must"))
+    heads = written(heads.where(F.col("place") <= F.col("n") - F.col("must") + 1), "near_heads")
+
+    columns = {"node": "", "n": "n_", "component": "comp_", "inside": "in_", "shared": "out_"}
+
+    def side(frame: DataFrame, end: str, *keys: str) -> DataFrame:
+        there = {mark + end: name for name, mark in columns.items() if name in frame.columns}
+        return _named(frame, **{k: k for k in keys}, **there)
+
+    apart = F.col("comp_a") != F.col("comp_b")
+    most = F.least("in_a", "in_b") + F.least("out_a", "out_b")
+    both = side(heads, "a", "hub", "shingle").join(side(heads, "b", "hub", "shingle"), ["hub", "shingle"])
+    met = both.where((F.col("a") < F.col("b")) & apart & (most >= needed("n_a", "n_b"))).select("a", "b", "n_a", "n_b")
+
+    # Classes with enough in common with the hub alone, one of them not of
+    # the hub's component, the other smaller than the hub.
+    like = stars.where(F.col("inside") >= F.col("must"))
+    strangers = like.where(~F.col("component").eqNullSafe(F.col("hub_component")))
+    smaller = like.where(F.col("n") < F.col("hub_n"))
+    both = side(strangers, "a", "hub").join(side(smaller, "b", "hub"), "hub")
+    enough = F.least("in_a", "in_b") >= needed("n_a", "n_b")
+    near = both.where(apart & enough).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b"
+    )
+    return met.unionByName(near)
 
 
 def _shared_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -310,39 +329,22 @@ def near_duplicates(
     wanted = degree.join(classes.select("node", "key"), "node")
     sets = written(_class_sets(documents, wanted, words), "near_sets")
 
-    pending = shared.join(degree, "node").select("bucket", "node", "n", "degree").withColumn("component", F.col("node"))
+    pending = shared.join(degree, "node").select("bucket", "node", "n", "degree")
     sizes = classes.select("node", "n")
-    links = linked = tested = None
-    for step, rank in enumerate((("less", "n"), ("n", "less"))):  # most buckets; smallest
-        starred = written(_starred(pending, rank), "near_stars")
-        pairs = starred.where("component != hub_component").select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b")
-        )
-        found = _confirm(_new_pairs(pairs, tested, percent), sets, sizes, percent)
-        links = _named(found.where("link"), a="a", b="b") if linked is None else _and_before(found, linked)
+    starred = written(_starred(pending), "near_stars")
+    pairs = starred.select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b")
+    )
+    tested = _confirm(_new_pairs(pairs, None, percent), sets, sizes, percent)
+    linked = written(connected_components(tested.where("link").select("a", "b")), "near_components")
+    pending = starred.drop("component").join(linked, "node", "left")
+    pending = written(_mixed(pending.withColumn("component", F.coalesce("component", "node"))), "near_pending")
+    for _ in range(BOUND_ROUNDS):  # each time fewer classes are left to share a shingle with
+        pending = written(_mixed(_linkable(pending, sets, percent)), "near_pending")
+    if not pending.isEmpty():
+        found = _confirm(_new_pairs(_met(pending, linked, sets, percent), tested, percent), sets, sizes, percent)
+        links = found.where("link").select("a", "b").unionByName(_named(linked, a="node", b="component"))
         linked = written(connected_components(links), "near_components")
-        tested = found if tested is None else tested.unionByName(found)
-        pending = starred.drop("component").join(linked, "node", "left")
-        pending = written(_mixed(pending.withColumn("component", F.coalesce("component", "node"))), "near_pending")
-        if pending.isEmpty():
-            break
-        # Each time fewer classes are left to share a shingle with.
-        for _ in range(step + 1):
-            pending = written(_mixed(_linkable(pending, sets, percent)), "near_pending")
-        if step == 0:
-            pending = pending.select("bucket", "node", "n", "degree", "component")
-    else:
-        heads = written(_heads(pending, sets, percent), "near_heads")
-        columns = {"n": "n", "comp": "component", "in": "inside", "out": "shared"}
-        sides = [
-            _named(heads, hub="hub", shingle="shingle", **{side: "node"}, **{f"{k}_{side}": v for k, v in columns.items()})
-            for side in ("a", "b")
-        ]
-        most = F.least("in_a", "in_b") + F.least("out_a", "out_b")
-        enough = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
-        pairs = sides[0].join(sides[1], ["hub", "shingle"]).where(enough & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")))
-        found = _confirm(_new_pairs(pairs, tested, percent), sets, sizes, percent)
-        linked = written(connected_components(_and_before(found, linked)), "near_components")
 
     named = classes.select("node", "set_id", "doc_id").join(linked, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
