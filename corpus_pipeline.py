@@ -8,6 +8,7 @@ columns of ``docs``; where a stage changes ``text``, it sets ``n_chars``.
 1. ``quality_rules``: rejected documents go, and boilerplate lines of the
    others.
 2. ``line_dedup``: lines found in many documents go, in every document.
+   Copies do not empty each other: one is for the next stage to choose.
 3. ``near_dedup``: one document of each group of near copies stays.
 4. ``decontamination``: documents that leak a benchmark item go.
 5. ``mixing``: the documents in mixed order, one row per time that the mix
@@ -42,7 +43,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(dedup_lines(docs), docs.columns)
+    return _with_text(dedup_lines(docs, spare_copies=True), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,5 +63,17 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
         assert (df.count() == 0) == empty
 
 
+def test_copies_reach_near_dedup_whole(spark):
+    """A group of copies keeps its lines, boilerplate of distinct documents goes."""
+    copy = "\n".join(" ".join(f"copy{n}x{k}" for k in range(12)) for n in range(5))
+    own = {n: " ".join(f"own{n}x{k}" for k in range(60)) for n in range(100, 112)}
+    rows = [(n, copy if n % 2 else copy.upper() + "\n", f"s{n}", "en") for n in range(25)]
+    rows += [(n, f"{text}\nmenu", f"s{n}", "en") for n, text in own.items()]
+    cleaned = P.line_dedup(spark, make_docs(spark, rows), SF01)
+    assert texts(cleaned) == {n: own.get(n, text) for n, text, *_ in rows}
+    kept = texts(P.near_dedup(spark, cleaned, SF01))
+    assert kept == {0: rows[0][1], **own}
+
+
 def test_run_reads_the_tables(spark):
     assert {"doc_id", "text", "epoch"} <= set(P.run(spark, "/root/testdata/sf0.001").columns)
