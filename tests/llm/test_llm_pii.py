@@ -116,6 +116,17 @@ def test_terms_that_disclose(spark):
         assert all(("remove" if scores["0:a@b.org", t] >= pii.REMOVE else "generalise") == v for t, v in told)
 
 
+def test_terms_of_rare_entities(spark):
+    """Entities of one or two documents, short terms, far from the entity."""
+    rows = [(n, f"common words here mail {n}") for n in range(400)]
+    rows += [(1000 + n, "Li " + "common words here " * 40 + f"mail q@r.st {n}") for n in range(2)]
+    rows += [(1002, "Ng y@z.co common words"), (1003, "or common words"), (1004, "or here, xu5@b.org.Éa words")]
+    found = pii.find_private(make_docs(spark, rows)).collect()
+    told = {(r.doc_id, dict(rows)[r.doc_id][s.start : s.end], s.value) for r in found for s in r.spans if s.kind == len(pii.KINDS)}
+    assert {x for x in told if x[0] != 1004} == {(1000, "Li", "remove"), (1001, "Li", "remove"), (1002, "Ng", "remove")}
+    assert not {x[1] for x in told} & {"xu", "b", "org", "common", "words", "here", "mail"}
+
+
 def test_sanitise(spark):
     docs = make_docs(spark, [*STORY, STORY[0]])
     got = pii.sanitise(docs)

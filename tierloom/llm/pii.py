@@ -4,18 +4,23 @@ Main path in DataFrame functions only.
 
 The patterns find *entities*: email addresses, IP addresses, card numbers
 and phone numbers. Other words can disclose an entity too: if a term stands
-next to it and hardly anywhere else in the corpus, then naming the term
-names the entity. How much it discloses is measured by information: the
+in documents with it and hardly anywhere else in the corpus, then naming the
+term names the entity. How much it discloses is measured by information: the
 pointwise mutual information of term and entity over the documents of the
 corpus, as a share of what the entity itself carries::
 
     disclosure(t, e) = log(p(e, t) / (p(e) p(t))) / -log p(e)
 
 It is 1 where the term never occurs without the entity, and about 0 where
-they are independent. A term in a document near an entity is *generalised*
+they are independent. A term in a document with an entity is *generalised*
 (to a placeholder) from ``GENERALISE`` on and *removed* from ``REMOVE`` on.
-A pair counts only from ``MIN_JOINT`` documents on; all probabilities are
-taken over all documents.
+Terms are runs of letters of any length, anywhere in the document.
+
+Most entities are in one or two documents, where some terms meet them by
+chance. A pair of fewer than ``MIN_JOINT`` documents therefore counts if it is
+significant: if independent terms and entities meet so often in at most
+``CHANCE`` cases, times the terms that the entity is tested with (Bonferroni).
+All probabilities are taken over all documents.
 
 Positions without a position function: matches are put between marker
 characters, the text is split there, and lengths are added up. The patterns
@@ -30,10 +35,12 @@ Defined cases: null text is empty and has no spans; repeated rows each get
 the spans of their text; terms overlap no entity; null ids are kept; an
 empty table gives no rows; other columns are ignored.
 
-Scale: one pass finds entities and keeps only documents that have some; one
-pass counts terms, summed per task before the shuffle. An entity or term
-found in a third of all rows is shuffled by (entity, term) or as sums. No
-text is shuffled, except in ``sanitise``, which joins spans to their texts.
+Scale: one pass finds entities, and terms where there are some; one pass
+counts terms, summed per task before the shuffle. Entities and terms are
+shuffled as 64-bit hashes: pairs by (entity, term), summed per task before, so
+an entity or term found in a third of all rows meets in no single task. Texts
+are shuffled only if they have entities, with their terms' places (and in
+``sanitise``, which joins spans to their texts).
 """
 
 from __future__ import annotations
@@ -47,10 +54,13 @@ from tierloom.llm.storage import columns_of, table, text_key, written
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-#: Code points on either side of an entity in which a term is its neighbour.
-WINDOW = 80
-TERM_PATTERN = r"(?<=\P{L})\p{L}{4,}+(?=\P{L})"
+#: Code points on either side of an entity in which a term is its neighbour:
+#: any text's, so the whole document.
+WINDOW = (1 << 31) - 1
+TERM_PATTERN = r"\p{L}++"
+#: Documents from which a pair counts without a test of significance.
 MIN_JOINT = 3
+CHANCE = 0.05
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -61,6 +71,7 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = rf"[0-9][0-9{_SEP}]++"
 _PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
 _SMALL = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_FREE_TERM = rf"(?<![\p{{L}}{_SEP}])\p{{L}}++(?!{_SEP})"
 _IP_OK = rf"^{_SMALL}\.{_SMALL}\.{_SMALL}\.{_SMALL}$"
 
 
@@ -114,12 +125,15 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, offset: Column | in
     return F.aggregate(pieces, empty, step, lambda done: done["found"])
 
 
+def _inner_dots(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?<=[A-Za-z0-9\-])\.(?=[A-Za-z0-9\-])", _DOT)
+
+
 def entities(text: Column) -> Column:
     """All base spans of a text without markers, by kind and then start."""
-    inner_dots = F.regexp_replace(text, r"(?<=[A-Za-z0-9\-])\.(?=[A-Za-z0-9\-])", _DOT)
     inner_seps = F.regexp_replace(text, r"(?<=[0-9])[\x20\-](?=[0-9])", _SEP)
     forms = {
-        "email": (text.contains("@"), inner_dots, _EMAIL),
+        "email": (text.contains("@"), _inner_dots(text), _EMAIL),
         "ip": (text.rlike(r"[0-9]\.[0-9]"), text, _IP),
         "card": (text.rlike(r"[0-9][0-9\x20\-]{13}"), inner_seps, _CARD),
         "phone": (text.contains("+"), text, _PHONE),
@@ -138,61 +152,62 @@ def _unmarked(text: Column) -> Column:
     return text
 
 
-def _neighbours(text: Column, span: Column) -> Column:
-    """Terms in the window before and after an entity. The text is padded by
-    a space at both ends, so that each term has a character on either side;
-    terms that the window cuts have none and do not count."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    first = F.greatest(span["start"] - WINDOW, F.lit(0))
-    before = F.substr(padded, (first + 1).cast("int"), (span["start"] - first + 2).cast("int"))
-    after = F.substr(padded, (span["end"] + 1).cast("int"), F.lit(WINDOW + 2))
-    return F.concat(
-        _spans(before, TERM_PATTERN, len(KINDS), offset=first - 1),
-        _spans(after, TERM_PATTERN, len(KINDS), offset=span["end"] - 1),
-    )
+def _masked(text: Column) -> Column:
+    """The text, with the letters of entities as control characters. Only
+    emails have letters. Every second piece is one, as in ``_spans``."""
+    pieces = F.split(F.regexp_replace(_inner_dots(text), f"({_EMAIL})", f"{_MARK}$1{_MARK}"), _MARK)
+    hidden = F.transform(pieces, lambda p, n: F.when(n % 2 == 1, F.regexp_replace(p, r"\p{L}", _SEP)).otherwise(p))
+    return F.when(text.contains("@"), F.array_join(hidden, "")).otherwise(text)
+
+
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def _terms(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _term))
 
 
 def entity_spans(documents: DataFrame) -> DataFrame:
-    """``doc_id, key, base, near``: the base spans of every document, and
-    for each of them ``near`` its entity and the terms around it."""
+    """``doc_id, key, base, masked, entities, terms``: the base spans of every
+    document; if it has some, its text without them, and its distinct entities
+    and terms as hashes."""
     rows = documents.select("doc_id", text_key(F.col("text")).alias("key"), _unmarked(F.col("text")).alias("body"))
     found = rows.withColumn("base", entities(F.col("body")))
-
-    def near(span: Column) -> Column:
-        free = F.filter(
-            _neighbours(F.col("body"), span),
-            lambda t: ~F.exists("base", lambda e: (t["start"] < e["end"]) & (e["start"] < t["end"])),
-        )
-        entity = F.concat(span["kind"].cast("string"), F.lit(":"), F.lower(span["value"]))
-        return F.struct(entity.alias("entity"), free.alias("terms"))
-
-    return found.select("doc_id", "key", "base", F.transform("base", near).alias("near"))
+    found = found.withColumn("masked", F.when(F.size("base") > 0, _masked(F.col("body"))))
+    entity = lambda s: F.xxhash64(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])))
+    named = F.array_distinct(F.transform("base", entity))
+    return found.select("doc_id", "key", "base", "masked", named.alias("entities"), _terms(F.col("masked"), _FREE_TERM).alias("terms"))
 
 
 def term_documents(documents: DataFrame) -> DataFrame:
-    """``term, n_t``: documents that hold each term."""
-    padded = F.concat(F.lit(" "), _unmarked(F.col("text")), F.lit(" "))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(padded), F.lit(TERM_PATTERN), F.lit(0)))
+    """``term, n_t``: documents that hold each term (by its hash)."""
+    terms = _terms(_unmarked(F.col("text")), TERM_PATTERN)
     return documents.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
+def _pairs(found: DataFrame, *columns: str) -> DataFrame:
+    """``entity, term`` of each document, once each."""
+    each = found.select(*columns, F.explode("entities").alias("entity"), "terms")
+    return each.select(*columns, "entity", F.explode("terms").alias("term"))
+
+
 def disclosing_pairs(
     found: DataFrame, terms: DataFrame, documents: int, min_joint: int = MIN_JOINT, generalise: float = GENERALISE
 ) -> DataFrame:
     """``entity, term, disclosure`` of the pairs above the threshold.
 
-    ``found`` has the ``near`` of each document, ``terms`` is
-    ``term_documents``. An entity or a pair counts once per document.
+    ``found`` is ``entity_spans``, ``terms`` is ``term_documents``. An entity
+    or a pair counts once per document.
     """
-    entity = F.explode(F.array_distinct("near.entity")).alias("entity")
-    of_entity = found.select(entity).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-
-    def named(near: Column) -> Column:
-        return F.transform(near["terms"], lambda t: F.struct(near["entity"].alias("entity"), F.lower(t["value"]).alias("term")))
-
-    pair = F.explode(F.array_distinct(F.flatten(F.transform("near", named)))).alias("pair")
-    joint = found.select(pair).groupBy("pair.entity", "pair.term").agg(F.count(F.lit(1)).alias("n_et"))
-    scored = joint.where(F.col("n_et") >= min_joint).join(of_entity, "entity").join(terms, "term")
+    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    joint = written(_pairs(found).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")), "private_pairs")
+    of_entity = of_entity.join(joint.groupBy("entity").agg(F.count(F.lit(1)).alias("tested")), "entity")
+    scored = joint.join(of_entity, "entity").join(terms, "term")
+    # Bounds of the chance to meet in one document or more, and in two or more.
+    n, n_e, n_t = float(max(documents, 2)), F.col("n_e").cast("double"), F.col("n_t").cast("double")
+    chance = F.when(F.col("n_et") == 1, n_e * n_t / n).otherwise(n_e * (n_e - 1) / 2 * n_t * (n_t - 1) / (n * (n - 1)))
+    scored = scored.where((F.col("n_et") >= min_joint) | (F.col("tested") * chance <= CHANCE))
     log = lambda c: F.log(F.col(c).cast("double"))
     information = F.log(F.lit(float(max(documents, 1)))) - log("n_e")
     mutual = information + log("n_et") - log("n_t")
@@ -207,18 +222,19 @@ def find_private(documents: DataFrame, **limits) -> DataFrame:
     n = documents.count()
     found = written(entity_spans(documents), "private_spans")
     pairs = disclosing_pairs(found, term_documents(documents), n, **limits)
-    near = found.select("doc_id", "key", F.explode("near").alias("near"))
-    near = near.select("doc_id", "key", "near.entity", F.explode("near.terms").alias("t"))
-    near = near.withColumn("term", F.lower("t.value"))
-    action = F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    told = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "key", "t.start", "t.end").agg(action.alias("value"))
-    span = F.struct("start", "end", F.lit(len(KINDS)).alias("kind"), "value")
-    terms = told.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.collect_list(span).alias("terms"))
-    joined = found.join(terms, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
+    told = _pairs(found, "doc_id", "key").join(pairs, ["entity", "term"])
+    told = told.groupBy("doc_id", "key", "term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
+    told = told.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(
+        F.collect_list("term").alias("told"), F.collect_list(F.when(F.col("remove"), F.col("term"))).alias("removed")
+    )
+    joined = found.join(told, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
+    spans = _spans(F.col("masked"), _FREE_TERM, len(KINDS), lambda m: F.array_contains("told", _term(m)))
+    action = lambda s: F.when(F.array_contains("removed", _term(s["value"])), "remove").otherwise("generalise")
+    terms = F.when(F.col("told").isNotNull(), F.transform(spans, lambda s: s.withField("value", action(s))))
     ordered = lambda spans: F.array_sort(
         F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"]))
     )
-    every = F.concat("base", F.coalesce("terms", F.array().cast(_SPAN)))
+    every = F.concat("base", F.coalesce(terms, F.array().cast(_SPAN)))
     return joined.select("doc_id", "key", ordered(F.col("base")).alias("base"), ordered(every).alias("spans"))
 
 
