@@ -17,7 +17,7 @@ def test_query_matches_duckdb(spark, name):
 
 def test_one_query_for_each_operator_and_the_pipeline():
     found = {int(m[1]) for q in entry_module.queries() if (m := re.match(r"op(\d+)_", q))}
-    assert found == set(range(1, 11))
+    assert found == set(range(1, 14))
     assert "pipeline" in entry_module.queries()
 
 

@@ -1,0 +1,92 @@
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm_helpers import lower, make_docs
+from pyspark.sql import functions as F
+
+from tierloom.llm import ranked_search as R
+
+
+def terms(text):
+    return [t for t in re.findall(R.TERM, lower(text or "")) if t]
+
+
+def brute(docs, items, top=20):
+    bags = [(doc_id, Counter(terms(text))) for doc_id, text in docs]
+    full = [sum(b.values()) for _, b in bags]
+    n_docs, n_all = sum(n > 0 for n in full), sum(full)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item_id, text in items:
+        scored = []
+        for (doc_id, bag), n in zip(bags, full, strict=True):
+            score = 0
+            for t in terms(text):
+                if bag[t]:
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    m = 100 - 25 + 25 * n * n_docs // n_all
+                    score += w * (1000000000 * bag[t] // (1000 * bag[t] + 12 * m))
+            if score > 0:
+                scored.append((-score, doc_id is None, doc_id or 0))
+        out += [(item_id, n + 1, None if unknown else d, -s) for n, (s, unknown, d) in enumerate(sorted(scored)[:top])]
+    return sorted(out, key=repr)
+
+
+def make_items(spark, rows):
+    df = spark.createDataFrame(rows, "item_id long, text string")
+    return df.withColumns({n: F.lit(1) for n in "item rank doc_id score term n some".split()})
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+WORDS = "alpha Beta gamma the of ünïcode 東京 x1 don't e-mail a_b \x00z\x7f ÄÖ STRASSE straße 42 ıI".split(" ")
+
+
+def random_docs(n, seed, longest=60):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(rng.choice(WORDS, rng.integers(0, longest)))) for i in range(n)]
+
+
+ITEMS = [(1, "Alpha beta THE the 東京"), (2, "nothing here is known"), (3, None), (4, ""), (5, "x1 x1 x1 42 ünïcode"), (5, "gamma"), (None, "alpha"), (6, "... ---"), (7, "Alpha beta THE the 東京")]
+
+
+@pytest.mark.parametrize("docs", [
+    random_docs(300, 1),
+    [*random_docs(40, 2), *random_docs(40, 2), (None, "alpha the"), (None, "alpha the"), (3, None), (4, ""), (5, "  .,;"), (6, "the " * 200_000 + "東京")],
+    [(1, None), (2, ""), (3, "!!!")], [(9, "alpha")], [],
+], ids=["plain", "odd", "wordless", "one", "none"])
+def test_against_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(R, "_SCORES", 64)  # some documents at a time
+    assert got(R.rank_documents(make_docs(spark, docs), make_items(spark, ITEMS))) == brute(docs, ITEMS)
+
+
+def test_blocks_and_rounds_change_nothing(spark, monkeypatch):
+    docs = random_docs(500, 7, 12)
+    want = got(R.rank_documents(make_docs(spark, docs, 9), make_items(spark, ITEMS)))
+    monkeypatch.setattr(R, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(R, "_MERGED", 2)
+    assert want == got(R.rank_documents(make_docs(spark, docs, 9), make_items(spark, ITEMS))) == brute(docs, ITEMS)
+
+
+def test_no_items(spark):
+    assert R.rank_documents(make_docs(spark, random_docs(5, 1)), make_items(spark, [])).count() == 0
+
+
+def test_integer_sums_equal_the_doubles(monkeypatch):
+    texts = [text.encode() for _, text in random_docs(200, 3)]
+    index = R.ItemIndex([text.encode() for _, text in ITEMS if text])
+    scorer = R.Scorer(index, 200, 5000, np.full(len(index.number), 9), 5)
+    first = scorer.scores(texts)
+    assert scorer.kind is np.float64
+    scorer.kind = np.int64
+    assert (scorer.scores(texts) == first).all()
+
+
+def test_terms_are_those_of_the_pattern():
+    every = "".join(map(chr, [*range(0x300), 0x4E00, 0x1F600]))
+    assert [t.decode() for t in R.terms_of(every.encode())] == terms(every)

@@ -1,0 +1,183 @@
+"""Hard negatives and neighbours against brute force."""
+
+import math
+
+import numpy as np
+import pytest
+from llm_helpers import SF01
+
+from pyspark.sql import functions as F
+from tierloom.llm import hard_negatives as H
+from tierloom.llm import neighbours as N
+from tierloom.llm import vectors as V
+
+NAN, INF = float("nan"), float("inf")
+
+
+def make_vectors(spark, rows, kind="float", clash=True):
+    """Vectors from ``(vec_id, vec, label)`` with extra columns of clashing names."""
+    df = spark.createDataFrame([(a, v, b) for a, v, b in rows], f"vec_id long, vec array<{kind}>, label int").repartition(3)
+    return df.withColumns({n: F.lit("x") for n in "row shard block found slot bound least most size points a.b".split()}) if clash else df
+
+
+def usable(rows):
+    good = [r for r in rows if r[1] and all(x is not None and math.isfinite(x) for x in r[1])]
+    sizes = [len(r[1]) for r in good]
+    size = max(set(sizes), key=lambda n: (sizes.count(n), n), default=0)
+    return [r for r in good if len(r[1]) == size]
+
+
+def product(u, v):
+    """Added up from the first component on (sum() would round otherwise)."""
+    total = 0.0
+    for a, b in zip(u, v, strict=True):
+        total += float(a) * float(b)
+    return total
+
+
+def brute_nearest(rows, every, k):
+    rows = [r for r in usable(rows) if any(r[1])]
+    out = []
+    for q, u, _ in rows:
+        if q is None or q % every:
+            continue
+        near = [(-product(u, v), i is None, i or 0) for i, v, _ in rows if i is None or i != q]
+        out += [(q, n + 1, None if unknown else i, -s) for n, (s, unknown, i) in enumerate(sorted(near)[:k])]
+    return sorted(out, key=repr)
+
+
+def brute_negatives(rows, every, scale=256.0):
+    rows = [(i, [math.floor(scale * x) for x in v], label) for i, v, label in usable([r for r in rows if r[2] is not None])]
+    out = []
+    for a, u, of in rows:
+        if a is None or a % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(u, v, strict=True)), i is None, i or 0, label) for i, v, label in rows if i is None or i != a)
+        for s, no_id, p, _ in [x for x in scored if x[3] == of][: H.POSITIVES]:
+            window = [x for x in scored if x[3] != of and H.LOW * -s <= 100 * -x[0] <= H.HIGH * -s]
+            out += [(a, None if no_id else p, n + 1, None if x[1] else x[2], -s, -x[0]) for n, x in enumerate(window[: H.NEGATIVES])]
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def drawn(n, size=6, seed=1, round_to=None):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, size))
+    x = np.concatenate([rng.normal(size=(n // 2, size)), centres[rng.integers(0, 6, n - n // 2)] + 0.05 * rng.normal(size=(n - n // 2, size))])
+    x = x if round_to is None else np.round(x, round_to)
+    return [(i, [float(np.float32(c)) for c in v], int(rng.integers(0, 3))) for i, v in enumerate(x)]
+
+
+ODD = [
+    (0, [1.0, 0.0, 0.0], 1), (0, [1.0, 0.0, 0.0], 1), (50, [0.5, 0.5, 0.0], 1), (1, None, 1), (2, [], 1), (3, [0.0, 0.0, 0.0], 1),
+    (4, [NAN, 1.0, 0.0], 1), (5, [INF, 1.0, 0.0], 1), (6, [None, 1.0, 0.0], 1), (7, [1.0, 1.0], 1), (8, [0.875, 0.125, 0.0], None),
+    (9, [0.875, 0.125, 0.0], 2), (10, [0.875, 0.125, 0.0], 2), (10, [0.875, 0.125, 0.0], 2), (None, [0.875, 0.125, 0.0], 1), (None, [0.75, 0.125, 0.0], 2),
+    (11, [0.875, 0.125, 0.0], 1), (12, [0.625, 0.125, 0.0], 2), (100, [-1.0, 0.0, 0.0], 3), (150, [0.0009765625, 0.0, 0.0], 1),
+]
+
+
+@pytest.mark.parametrize("rows", [drawn(900), drawn(400, round_to=1), ODD, ODD[:1], []], ids=["plain", "ties", "odd", "one", "none"])
+def test_exact_with_factor_one(spark, rows):
+    df = N.nearest(make_vectors(spark, rows), F.col("vec_id") % 10 == 0, 20, factor=1.0)
+    assert got(df.select("query_id", "rank", "vec_id", "score")) == brute_nearest(rows, 10, 20)
+
+
+@pytest.mark.parametrize("rows", [drawn(900), drawn(400, round_to=1), ODD, ODD[:1], []], ids=["plain", "ties", "odd", "one", "none"])
+def test_hard_negatives(spark, rows):
+    df = H.hard_negatives(make_vectors(spark, rows), F.col("vec_id") % 10 == 0)
+    assert got(df) == brute_negatives(rows, 10)
+
+
+def test_small_shards_and_blocks(spark, monkeypatch):
+    """Many shards, blocks, clusters and leaves give the same rows."""
+    rows = drawn(1200, seed=3, round_to=2)
+    monkeypatch.setattr(V, "BLOCK_BYTES", 512)
+    monkeypatch.setattr(H, "PER_CLUSTER", 10)
+    monkeypatch.setattr(H, "STEP", 8)
+    monkeypatch.setattr(N, "LEAF", 4)
+    df = make_vectors(spark, rows)
+    assert got(H.hard_negatives(df, F.col("vec_id") % 10 == 0)) == brute_negatives(rows, 10)
+    monkeypatch.setattr(V, "MIN_SHARDS", 3)
+    found = N.nearest(df, F.col("vec_id") % 10 == 0, 7, factor=1.0)
+    assert got(found.select("query_id", "rank", "vec_id", "score")) == brute_nearest(rows, 10, 7)
+
+
+def test_doubles_and_lengths_apart(spark):
+    """Vectors of very different lengths, in doubles."""
+    rows = [(i, [x * 10.0 ** (i % 9 - 4) for x in v], label) for i, v, label in drawn(300)]
+    df = N.nearest(make_vectors(spark, rows, "double"), F.col("vec_id") % 20 == 0, 20, factor=1.0)
+    assert got(df.select("query_id", "rank", "vec_id", "score")) == brute_nearest(rows, 20, 20)
+    huge = [(i, [x * 1e305 for x in v], label) for i, v, label in drawn(100)]
+    df = N.nearest(make_vectors(spark, huge, "double"), F.col("vec_id") % 20 == 0, 5)
+    assert df.count() == 25
+
+
+def test_large_components(spark):
+    """Products beyond 2^53 are exact integers; components beyond the limit count as the limit."""
+    rows = [(i, [x * 30_000 for x in v], label) for i, v, label in drawn(200)]
+    assert got(H.hard_negatives(make_vectors(spark, rows, "double"), F.col("vec_id") % 10 == 0)) == brute_negatives(rows, 10)
+    rows = [(i, [x * 1e300 for x in v], label) for i, v, label in drawn(60)]
+    limit = math.isqrt((1 << 63) // (101 * 6))
+    clipped = [(i, [max(-limit, min(limit, x)) for x in v], label) for i, v, label in rows]
+    want = brute_negatives(clipped, 10, scale=1.0)
+    assert got(H.hard_negatives(make_vectors(spark, rows, "double"), F.col("vec_id") % 10 == 0)) == want
+
+
+def test_production_recall(spark):
+    """The query's factor on the given vectors."""
+    rows = [(r.vec_id, r.embedding, 0) for r in spark.read.parquet(f"{SF01}/embeddings.parquet").collect()]
+    found = {(q, v) for q, _, v, *_ in got(N.op12_neighbours(spark, SF01))}
+    want = {(q, v) for q, _, v, _ in brute_nearest(rows, 20, 20)}
+    assert len(found) == len(want) and len(found & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("lengths", ["one", "many"])
+def test_fitted_recall_and_pruning(spark, monkeypatch, lengths):
+    """Few shards of many leaves: the fitted factor keeps the recall, whatever
+    the lengths; clusters are searched in few leaves, exactly."""
+    monkeypatch.setattr(V, "MIN_SHARDS", 2)
+    rng = np.random.default_rng(5)
+    wide = rng.normal(size=(6_000, 64))
+    if lengths == "one":
+        wide /= np.linalg.norm(wide, axis=1)[:, None]
+    tight = rng.normal(size=(40, 64))[rng.integers(0, 40, 6_000)] + 0.01 * rng.normal(size=(6_000, 64))
+    tight /= np.linalg.norm(tight, axis=1)[:, None]
+    for data, factor, least, share in ((wide, None, 0.9, 1.0), (tight, 1.0, 1.0, 0.7)):
+        df = make_vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(data)], "double", clash=False)
+        found = N.nearest(df, F.col("vec_id") % 100 == 0, 20, factor).toPandas()
+        asked = np.arange(0, 6_000, 100)
+        products = data[asked] @ data.T
+        products[np.arange(len(asked)), asked] = -np.inf
+        want = {(int(q), int(i)) for q, row in zip(asked, products, strict=True) for i in np.argsort(-row)[:20]}
+        assert len(want & set(zip(found.query_id, found.vec_id, strict=True))) >= least * len(want)
+        assert found.compared.mean() <= share * len(data)
+
+
+def test_shared_list_bounds_every_member():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        members = rng.normal(size=5) + 0.3 * rng.normal(size=(30, 5))
+        candidates = rng.normal(size=(500, 5)) * rng.exponential(size=(500, 1))
+        order, bounds = H.shared_list(members, candidates)
+        assert sorted(order) == list(range(500)) and (np.diff(bounds) <= 0).all()
+        products = members @ candidates[order].T
+        assert (products <= np.linalg.norm(members, axis=1)[:, None] * bounds + 1e-9).all()
+
+
+def test_walks_end_early_in_clusters():
+    """Members of a tight cluster stop after their neighbourhood."""
+    rng = np.random.default_rng(4)
+    far = rng.normal(size=(20_000, 64))
+    centre = rng.normal(size=64)
+    near = centre + 0.05 * rng.normal(size=(400, 64))
+    vectors = np.floor(256 * np.concatenate([far, near]))
+    labels = np.zeros(len(vectors), np.int64)
+    members = vectors[-20:]
+    walk = H.Walk(members, np.full(20, -1), np.zeros(20, np.int64), np.full((20, 1), -1e12), np.full((20, 1), 1e12), 5)
+    walk.along(vectors, np.arange(len(vectors)), np.zeros(len(vectors), bool), labels, True)
+    assert walk.walked.max() < 0.2 * len(vectors)
+    want = np.sort(members @ vectors.T, axis=1)[:, -5:][:, ::-1]
+    assert (walk.held[1].reshape(20, 5) == want).all()
