@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 
 from tierloom import Layers, NotALayerError, SchemaMismatchError, read_layer, run_medallion, write_layer, write_table
 from tierloom.session import hadoop_path, scratch_database, scratch_path, work_dir
+from tierloom.sources import layers
 from tierloom.sources.layers import table_format
 
 
@@ -204,6 +205,74 @@ def test_a_failing_exchange_puts_the_old_table_back(spark, monkeypatch):
     assert [t.name for t in spark.catalog.listTables(db)] == ["t"]
 
 
+class FileSystem:
+    """The file system, with renames that fail as a test wants."""
+
+    def __init__(self, fs, fails):
+        self.fs, self.fails = fs, fails
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def rename(self, source, to):
+        return self.fails(self.fs, source, to) or self.fs.rename(source, to)
+
+
+def raises(fs, source, to):
+    raise RuntimeError("no rename")
+
+
+def copies_half(fs, source, to):
+    """As an object store may: some files are copied, then it fails."""
+    fs.mkdirs(to)
+    fs.create(to.suffix("/part")).close()
+    raise RuntimeError("no rename")
+
+
+@pytest.mark.parametrize("how", [raises, copies_half])
+@pytest.mark.parametrize("there, at", [(False, 0), (True, 0), (True, 1)], ids=["fresh", "first", "second"])
+def test_a_raising_rename_keeps_the_old_layer_and_the_new_contents(spark, monkeypatch, there, at, how):
+    path = scratch_path(spark, "layer")
+    os.makedirs(os.path.dirname(path))
+    if there:
+        write_layer(x_rows(spark, 4), path)
+    renames = []
+
+    def fails(fs, source, to):
+        renames.append(source)
+        return how(fs, source, to) if len(renames) == at + 1 else None
+
+    real = layers.hadoop_path
+    monkeypatch.setattr(layers, "hadoop_path", lambda *a: (FileSystem(real(*a)[0], fails), real(*a)[1]))
+    with pytest.raises(layers.ExchangeError, match="no rename") as err:
+        write_layer(x_rows(spark, 2), path)
+    monkeypatch.undo()
+    kept = [d for d in os.listdir(os.path.dirname(path)) if d != "layer"]
+    assert len(kept) == 1 and ".layer.staging-" in kept[0] and kept[0] in str(err.value)
+    assert read_layer(spark, os.path.join(os.path.dirname(path), kept[0])).count() == 2
+    if there:
+        assert read_layer(spark, path).count() == 4
+    else:
+        assert not os.path.exists(path)
+    write_layer(x_rows(spark, 3), path)  # and the next run replaces it
+    assert read_layer(spark, path).count() == 3
+
+
+def test_a_rename_that_answers_no(spark, monkeypatch):
+    path = write_layer(x_rows(spark, 4), scratch_path(spark, "layer"))
+    real = layers.hadoop_path
+
+    class Refusing(FileSystem):
+        def rename(self, source, to):
+            return ".staging-" not in source.toString() and self.fs.rename(source, to)
+
+    monkeypatch.setattr(layers, "hadoop_path", lambda *a: (Refusing(real(*a)[0], None), real(*a)[1]))
+    with pytest.raises(layers.ExchangeError, match="could not be moved"):
+        write_layer(x_rows(spark, 2), path)
+    monkeypatch.undo()
+    assert read_layer(spark, path).count() == 4
+
+
 def test_layer_locations_are_compared_as_the_file_system_sees_them(spark):
     for other in ("/l/s/", "file:///l/s", "file:/l/s", "/l//s", "/l/./s"):
         with pytest.raises(ValueError, match="distinct"):

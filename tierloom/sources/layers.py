@@ -15,6 +15,9 @@ What is not atomic is the exchange itself, two renames: a reader between
 them finds no target, and if the driver dies there, the old contents are
 left beside it (``.<name>.old-*``, or table ``<name>__old_*``). An object
 store renames by copying, which makes that moment longer; use Delta there.
+A rename of a layer that fails, by its answer or by an exception, puts the
+old layer back and leaves the new contents beside it; ``ExchangeError`` says
+where.
 """
 
 from __future__ import annotations
@@ -39,6 +42,10 @@ class NotALayerError(ValueError):
     """An overwrite would replace a folder that holds other folders."""
 
 
+class ExchangeError(OSError):
+    """The new contents are written, but could not take the target's place."""
+
+
 def table_format(spark: SparkSession, fmt: str | None = None) -> str:
     return fmt or spark.conf.get(FORMAT_CONF, None) or DEFAULT_FORMAT
 
@@ -103,20 +110,56 @@ def write_layer(
     staging, old = (_hidden(spark, beside(kind)) for kind in ("staging", "old"))
     try:
         df.write.format(fmt).save(staging.toString())
-        if there and not fs.rename(target, old):
-            raise OSError(f"{path} could not be moved aside")
-        if not fs.rename(staging, target):
-            if there:
-                fs.rename(old, target)
-            raise OSError(f"{path} could not be replaced")
-    finally:
+    except BaseException:
         fs.delete(staging, True)
+        raise
+    _exchange(fs, staging, target, old, there)
     if there:
         fs.delete(old, True)
         spark.catalog.refreshByPath(path)
     return path
 
 
+def _extent(fs, path) -> tuple[int, int] | None:
+    """Bytes and files of a folder; None if there is none."""
+    if not fs.exists(path):
+        return None
+    found = fs.getContentSummary(path)
+    return found.getLength(), found.getFileCount()
+
+
+def _exchange(fs, staging, target, old, there: bool) -> None:
+    """Move the target aside and ``staging`` to its place.
+
+    A rename that copies may fail halfway and leave two folders. So what is
+    whole is found by its extent, and nothing is deleted but what is whole
+    elsewhere.
+    """
+    new, was = _extent(fs, staging), _extent(fs, target)
+
+    def move(source, to) -> None:
+        if not fs.rename(source, to):
+            raise OSError(f"{source.toString()} could not be moved to {to.toString()}")
+
+    try:
+        if there:
+            move(target, old)
+        move(staging, target)
+    except Exception as err:
+        whole = _extent(fs, staging) == new
+        kept = f"the new contents are in {staging.toString()}"
+        if there and _extent(fs, old) == was and whole:
+            fs.delete(target, True)
+            move(old, target)
+        elif there and _extent(fs, target) == was and whole:
+            fs.delete(old, True)
+        elif not there and whole:
+            fs.delete(target, True)
+        else:
+            kept = f"see also {old.toString()} and {staging.toString()}"
+        raise ExchangeError(f"{target.toString()} could not be replaced ({err}); {kept}") from err
+
+
 def _hidden(spark: SparkSession, path):
     """The same path with a dot before its name: scans pass over it."""
     return spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}")
