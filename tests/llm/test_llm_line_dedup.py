@@ -6,15 +6,17 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import lower, make_docs, rows_of
 
-from tierloom.llm.line_dedup import dedup_lines
+from tierloom.llm.line_dedup import dedup_lines, document_key
 from tierloom.llm.perfect_hash import CountIndex
 
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def brute(rows, min_docs, min_chars):
+def brute(rows, min_docs, min_chars, classes=None):
+    """``classes``: what each id counts as, instead of as itself."""
     keys = [[lower(x.strip(BLANKS)) for x in (t or "").split("\n")] for _, t in rows]
-    docs = Counter(k for each in keys for k in set(each) if len(k) >= min_chars)
+    pairs = ((k, n if classes is None else classes[rows[n][0]]) for n, each in enumerate(keys) for k in set(each))
+    docs = Counter(k for k, _ in set(pairs) if len(k) >= min_chars)
     out = []
     for (doc_id, text), each in zip(rows, keys):
         kept = [x for x, k in zip((text or "").split("\n"), each) if len(k) < min_chars or docs[k] < min_docs]
@@ -55,6 +57,19 @@ def test_cold_lines_go_through_the_shards(spark, monkeypatch):
     assert rows_of(got, "doc.doc_id", "kept_text", "n_lines", "n_dropped") == brute(rows, 10, 1)
 
 
+def test_a_line_counts_once_per_class(spark):
+    """Documents of one class are one; those of none are each their own."""
+    rows = [(n, f"a\nb{n % 2}\nc\nown{n}") for n in range(30)] + [(99, None), (98, "c\nd")]
+    docs = make_docs(spark, rows)
+    keys = {r.doc_id: r.key for r in docs.select("doc_id", document_key(docs).alias("key")).collect()}
+    of = {n: 1 if n < 12 else 2 if n < 22 else None for n in keys}
+    classes = spark.createDataFrame([(keys[n], c) for n, c in of.items() if c is not None] * 2, "key long, class long")
+    counted = {n: (n, 0) if c is None else c for n, c in of.items()}
+    for min_docs in (2, 5, 10, 11):
+        got = dedup_lines(docs, min_docs, 1, classes)
+        assert rows_of(got, "doc.doc_id", "kept_text", "n_lines", "n_dropped") == brute(rows, min_docs, 1, counted)
+
+
 def test_empty_table(spark):
     assert dedup_lines(make_docs(spark, [])).count() == 0
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from llm_helpers import documents, make_docs, words
+from pyspark.sql import functions as F
 
 from tierloom.llm.mixing import WEIGHTS, document_sizes, fair_queue, mix_counts, mixed_documents, source_targets
 
@@ -49,12 +50,12 @@ def brute(rows):
     for _, text, source in rows:
         sizes[source] += len(words(text))
     goal, queue, running = targets(sizes), [], defaultdict(int)
-    place = lambda r: hashlib.md5(f"mix-1|{'' if r[0] is None else r[0]}".encode()).hexdigest()
+    place = lambda r: hashlib.md5(f"mix-1|{'' if r[0] is None else r[0]}|{r[1] or ''}".encode()).hexdigest()
     for epoch in (0, 1):
         for doc_id, text, source in sorted(rows, key=place):
             running[source] += len(words(text))
             if goal[source]:
-                queue.append((running[source] / goal[source], place((doc_id,)), epoch, doc_id, source, len(words(text))))
+                queue.append((running[source] / goal[source], place((doc_id, text)), epoch, doc_id, source, len(words(text))))
     left, taken = int(1.5 * sum(sizes.values())), Counter()
     for _, _, _, doc_id, source, size in sorted(queue, key=lambda q: q[:3]):
         left -= size
@@ -95,11 +96,19 @@ def test_mixed_documents_are_in_order_and_again_the_same(spark):
     assert max(Counter(r[0] for r in first).values()) <= 2
 
 
+def test_rows_without_ids_spread_over_the_order(spark):
+    rows = [(None, f"text number {n}", "s0") for n in range(400)] + [(7, f"other {n}", "s1") for n in range(400)]
+    places = [int(r.order[:8], 16) >> 28 for r in sized(spark, rows).collect()]
+    assert len(Counter(places)) == 16 and max(Counter(places).values()) < 100
+    got = mixed_documents(make_docs(spark, rows)).groupBy("source").count().collect()
+    assert sum(r["count"] for r in got) > 800
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert mix_counts(sized(spark, [])).count() == 0
-    docs = make_docs(spark, ROWS)
+    docs = make_docs(spark, ROWS).withColumns({n: F.lit(1) for n in ("_queue_key", "place", "mix_position")})
     mixed = mixed_documents(docs)
-    assert mixed.columns == [*[c for c in docs.columns if c != "epoch"], "epoch", "mix_position"]
+    assert mixed.columns == [*[c for c in docs.columns if c not in ("epoch", "mix_position")], "epoch", "mix_position"]
     assert mixed.count() == fair_queue(sized(spark, ROWS)).where("taken").dropDuplicates(["doc_id", "source", "tie", "epoch"]).join(
         document_sizes(docs).groupBy("doc_id", "source", "tie").count(), ["doc_id", "source", "tie"], "left").selectExpr("sum(coalesce(count, 1))").first()[0]
     assert mixed_documents(docs.limit(0)).count() == 0

@@ -96,6 +96,42 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.where("text = 'one two'").count() == 1
 
 
+def test_join_rows_grow_with_a_family_not_with_its_pairs(spark):
+    """Classes of one component that share every shingle are never paired,
+    with a stranger among them they are paired with it alone."""
+    made = {}
+    for n in (100, 200):
+        heads = [(0, s, k, 50, 7, 30, 9) for k in range(n) for s in range(20)] + [(0, s, 10_000 + s % 2, 50, 8 + s % 2, 30, 9) for s in range(5)]
+        rows = spark.createDataFrame(heads, "hub long, shingle long, node long, n long, component long, inside long, shared long")
+
+        def side(frame, end, *keys):
+            names = {"node": end, "n": f"n_{end}", "component": f"comp_{end}", "inside": f"in_{end}", "shared": f"out_{end}"}
+            return frame.selectExpr(*keys, *[f"{a} AS {b}" for a, b in names.items()])
+
+        pairs = near_dedup._across(rows, rows, side, "hub", "shingle")
+        assert {tuple(sorted((r.comp_a, r.comp_b))) for r in pairs.collect()} == {(7, 8), (7, 9)}
+        made[n] = pairs.count()
+        assert near_dedup._across(rows.where("node < 10000"), rows.where("node < 10000"), side, "hub").count() == 0
+    assert made == {100: 500, 200: 1000}
+
+
+def test_a_family_beside_a_bigger_one(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{n}" for n in range(900)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for size in (60, 30):
+        base = passage + [rng.choice(vocabulary) for _ in range(60)]
+        rows += [(len(rows) + k, edited(rng, base, rng.randrange(6))) for k in range(size)]
+    assert rows_of(near_duplicates(make_docs(spark, rows), words=4), "doc_id", "n_shingles", "component_id", "kept") == brute(rows, 4)
+
+
+def test_no_name_of_the_input_clashes(spark):
+    docs = make_docs(spark, crafted()[:20]).withColumns({n: near_dedup.F.lit(5) for n in ("_near_key", "doc", "key")})
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and {r["_near_key"] for r in kept.collect()} == {5}
+
+
 def test_empty_table(spark):
     assert near_duplicates(make_docs(spark, [])).count() == 0
     assert drop_near_duplicates(make_docs(spark, [(1, ""), (2, None)])).count() == 2

@@ -19,21 +19,27 @@ meet in one shard. There are at most ``HOT_SHARE`` of them whatever the
 input, so they get a small index of their own that every task has, and are
 never sent. No other key can outweigh a shard.
 
+With ``classes`` a line counts once per class of documents instead of once per
+document. Near copies as one class (``near_dedup``) do not make each other's
+lines common, so a family of them keeps its text, however large it is, while
+boilerplate of unlike documents goes. Pairs of line and class are made
+distinct over a shuffle that spreads a hot line over its classes.
+
 Defined cases: each row is a document, so a repeated row counts once per
-row (``spare_copies`` keeps copies from emptying each other); null text is one empty line; a text that loses all lines becomes
-empty; null ids and other columns are kept as they are; an empty table
-gives no rows.
+row (with ``classes``: once per class); null text is one empty line; a text
+that loses all lines becomes empty; null ids and other columns are kept as
+they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -72,61 +78,62 @@ def _document_keys(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([_NO_LINE, *each]), np.array([len(x) for x in each], np.int64)
 
 
-def _paired(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    """``hash, set, n``: each key of each set of keys in a batch, the hash of
-    the whole set, and the number of texts that have just this set."""
-    for batch in batches:
-        each = [np.unique(line_keys(t.as_py(), min_chars)[1]) for t in batch.column(0)]
-        names = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in each]
-        sets, found = dict(zip(names, each, strict=True)), Counter(names)
-        sizes = [len(x) for x in sets.values()]
-        hashes = np.concatenate([_NO_LINE, *sets.values()])
-        named = np.repeat(np.array(list(sets), np.uint64), sizes)
-        n = np.repeat(np.array([found[x] for x in sets], np.int64), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(named.view(np.int64)), pa.array(n)], ["hash", "set", "n"])
+def document_key(documents: DataFrame) -> Column:
+    """64-bit key of a row by id and text; equal rows share it."""
+    return F.xxhash64(*([F.col("doc_id")] if "doc_id" in documents.columns else []), text_key(F.col("text")))
 
 
-def count_keys(documents: DataFrame, min_chars: int, spare_copies: bool = False) -> DataFrame:
-    """``hash, n, sets``: the number of documents that hold each key, and of
-    different sets of keys among them (``n`` again where copies do not matter).
+def _key_rows(documents: DataFrame, min_chars: int, known: Broadcast | None = None) -> DataFrame:
+    """``key, hash``: the distinct line keys of each document, without those
+    of the ``known`` index."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CountIndex.from_bytes(known.value) if known else None
+        for batch in batches:
+            hashes, n = _document_keys(batch.column(0), min_chars)
+            keys = np.repeat(batch.column(1).to_numpy(), n)
+            if index:
+                here = index.lookup(hashes) == 0
+                hashes, keys = hashes[here], keys[here]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes.view(np.int64))], ["key", "hash"])
+
+    rows = documents.select(F.col("text").cast("binary"), document_key(documents).alias("key"))
+    return rows.mapInArrow(spread, "key long, hash long")
 
-    Pairs of key and set are summed per batch, per task and over a shuffle
-    that spreads a hot key over its sets.
-    """
-    texts = documents.select(F.col("text").cast("binary"))
-    if spare_copies:
-        pairs = texts.mapInArrow(lambda batches: _paired(batches, min_chars), "hash long, set long, n long")
-        pairs = pairs.groupBy("hash", "set").agg(F.sum("n").alias("n"))
-        return pairs.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"))
+
+def count_keys(documents: DataFrame, min_chars: int, classes: DataFrame | None = None) -> DataFrame:
+    """``hash, n``: the number of documents that hold each key, or of
+    ``classes`` (``key, class``; a document that is not there is its own)."""
+    if classes is not None:
+        pairs = _key_rows(documents, min_chars).join(classes.dropDuplicates(["key"]), "key", "left")
+        pairs = pairs.select("hash", F.coalesce("class", "key").alias("class"), F.col("class").isNull().alias("alone")).distinct()
+        return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, n = np.unique(_document_keys(batch.column(0), min_chars)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
 
-    return texts.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).withColumn("sets", F.col("n"))
+    texts = documents.select(F.col("text").cast("binary"))
+    return texts.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def build_shards(counts: DataFrame, shards: int, min_docs: int) -> DataFrame:
-    """``shard, index``: the perfect hash of each shard's keys, in bytes.
-
-    A key that ``min_docs`` different sets hold has one more than ``min_docs``.
-    """
-    small = np.min_scalar_type(min_docs + 1)
+    """``shard, index``: the perfect hash of each shard's keys, in bytes."""
+    small = np.min_scalar_type(min_docs)
 
     def build(rows: pa.Table) -> pa.Table:
         keys = rows["hash"].to_numpy().view(np.uint64)
-        n = (np.minimum(rows["n"].to_numpy(), min_docs) + (rows["sets"].to_numpy() >= min_docs)).astype(small)
+        n = np.minimum(rows["n"].to_numpy(), min_docs).astype(small)
         index = CountIndex.build(keys, n).to_bytes()
         return pa.table({"shard": rows["shard"][:1], "index": pa.array([index], pa.binary())})
 
-    sharded = counts.withColumn("shard", F.pmod("hash", F.lit(shards)))
+    sharded = counts.select("hash", "n", F.pmod("hash", F.lit(shards)).alias("shard"))
     return sharded.groupBy("shard").applyInArrow(build, "shard long, index binary")
 
 
 def probe_shards(probes: DataFrame, shards: DataFrame, min_docs: int) -> DataFrame:
-    """``key, hash, sure`` of the probes whose count reaches ``min_docs``,
-    ``sure`` where it does without copies.
+    """``key, hash`` of the probes whose count reaches ``min_docs``.
 
     ``probes`` has ``shard, key, hash``. Index and probes of a shard go to
     one partition, the index first, so that a task streams through them.
@@ -144,71 +151,48 @@ def probe_shards(probes: DataFrame, shards: DataFrame, min_docs: int) -> DataFra
                     part = part.slice(1)
                 assert shard == at[start], "a shard's index comes before its probes"
                 hashes = part.column("hash").to_numpy().view(np.uint64)
-                n = index.lookup(hashes)
-                sure = pa.array(n > min_docs)
-                yield part.select(["key", "hash"]).append_column("sure", sure).filter(pa.array(n >= min_docs))
+                yield part.select(["key", "hash"]).filter(pa.array(index.lookup(hashes) >= min_docs))
 
     both = shards.select("shard", "index", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("hash"))
     both = both.unionByName(probes.withColumn("index", F.lit(None).cast("binary")))
     placed = both.repartition("shard").sortWithinPartitions("shard", F.col("index").isNull())
-    return placed.mapInArrow(probe, "key long, hash long, sure boolean")
+    return placed.mapInArrow(probe, "key long, hash long")
 
 
 def dedup_lines(
-    documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, spare_copies: bool = False
+    documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, classes: DataFrame | None = None
 ) -> DataFrame:
     """``doc, kept_text, n_lines, n_dropped``, one row per document.
 
-    ``doc`` is the input row as a struct (so no name can clash). With
-    ``spare_copies``, a document that would lose all its keys loses only those
-    that ``min_docs`` different sets of keys hold: copying a document does not
-    empty it.
+    ``doc`` is the input row as a struct (so no name can clash). ``classes``
+    gives documents (by ``document_key``) the class that they count as.
     """
-    counts = written(count_keys(documents, min_chars, spare_copies), "line_counts")
+    counts = written(count_keys(documents, min_chars, classes), "line_counts")
     total = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("lines")).first()
     if not total["keys"]:
-        hot, sets = _NO_LINE, np.empty(0, np.int64)
+        hot = _NO_LINE
     else:
-        rows = counts.where((F.col("n") >= min_docs) & (F.col("n") * HOT_SHARE > total["lines"])).select("hash", "sets")
-        rows = rows.toPandas().sort_values("hash")  # HOT_SHARE at most
-        hot, sets = rows["hash"].to_numpy(np.int64).view(np.uint64), rows["sets"].to_numpy(np.int64)
-    hot_index = CountIndex.build(hot, 1 + (sets >= min_docs).astype(np.uint8)).to_bytes()
+        rows = counts.where((F.col("n") >= min_docs) & (F.col("n") * HOT_SHARE > total["lines"])).select("hash")
+        hot = np.sort(rows.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))  # HOT_SHARE at most
+    hot_index = CountIndex.build(hot, np.ones(len(hot), np.uint8)).to_bytes()
     hot_index = documents.sparkSession.sparkContext.broadcast(hot_index)
     shards = total["keys"] // SHARD_KEYS + 1
 
-    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = CountIndex.from_bytes(hot_index.value)
-        for batch in batches:
-            hashes, n = _document_keys(batch.column(0), min_chars)
-            keys = np.repeat(batch.column(1).to_numpy(), n)
-            here = known.lookup(hashes) == 0
-            hashes, keys = hashes[here].view(np.int64), keys[here]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes)], ["key", "hash"])
-
     # A key need not be unique: whatever comes back is dropped everywhere.
-    key = F.xxhash64(*([F.col("doc_id")] if "doc_id" in documents.columns else []), text_key(F.col("text")))
-    probes = documents.select(F.col("text").cast("binary"), key.alias("key")).mapInArrow(cold, "key long, hash long")
-    probes = probes.withColumn("shard", F.pmod("hash", F.lit(shards)))
+    probes = _key_rows(documents, min_chars, hot_index).withColumn("shard", F.pmod("hash", F.lit(shards)))
     drops = probe_shards(probes, build_shards(counts, shards, min_docs), min_docs)
-    drops = drops.groupBy("key").agg(F.collect_set("hash").alias("drops"), F.collect_set(F.when(F.col("sure"), F.col("hash"))).alias("sure"))
-
-    rows = documents.select(
-        F.struct(*columns_of(documents)).alias("doc"), key.alias("key")
-    ).join(drops, "key", "left")
-
-    def dropped_keys(hashes: np.ndarray, known: CountIndex, least: int, drops: pa.ListScalar) -> np.ndarray:
-        gone = known.lookup(hashes) >= least
-        return gone | np.isin(hashes, drops.values.to_numpy().view(np.uint64)) if drops.is_valid else gone
+    drops = drops.groupBy("key").agg(F.collect_set("hash").alias("drops"))
+    rows = documents.select(F.struct(*columns_of(documents)).alias("doc"), document_key(documents).alias("key")).join(drops, "key", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = CountIndex.from_bytes(hot_index.value)
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, drops, sure in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for text, drops in zip(batch.column(1), batch.column(2), strict=True):
                 lines, hashes, at = line_keys(text.as_py(), min_chars)
-                gone = dropped_keys(hashes, known, 1, drops)
-                if spare_copies and gone.all():
-                    gone = dropped_keys(hashes, known, 2, sure)
+                gone = known.lookup(hashes) > 0
+                if drops.is_valid:
+                    gone |= np.isin(hashes, drops.values.to_numpy().view(np.uint64))
                 dropped = set(at[gone].tolist())
                 kept.append(b"\n".join([x for n, x in enumerate(lines) if n not in dropped]) if dropped else text.as_py() or b"")
                 n_lines.append(len(lines))
@@ -218,7 +202,7 @@ def dedup_lines(
                 ["doc", "kept", "n_lines", "n_dropped"],
             )
 
-    plain = rows.select("doc", F.col("doc.text").cast("binary").alias("text"), "drops", "sure")
+    plain = rows.select("doc", F.col("doc.text").cast("binary").alias("text"), "drops")
     schema = StructType([rows.schema["doc"]]).add("kept", "binary").add("n_lines", "long").add("n_dropped", "long")
     return plain.mapInArrow(clean, schema).select(
         "doc", F.col("kept").cast("string").alias("kept_text"), "n_lines", "n_dropped"

@@ -15,9 +15,9 @@ totals, and only that slice is sorted row by row. A source with a third of
 all rows is thus spread over a third of all buckets.
 
 Defined cases: null text has size 0; a null source is a source of its own
-and comes last; ties in the shuffled order (equal ``doc_id``) go by text
-hash, and rows equal in both are interchangeable copies; a document of size
-0 takes nothing; where all sizes are 0, every target is 0; an empty table
+and comes last; the shuffled order hashes id and text, so rows without an id,
+or of one id, spread like others, and rows equal in both are interchangeable
+copies with one place in line; a document of size 0 takes nothing; where all sizes are 0, every target is 0; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -85,7 +85,7 @@ def document_sizes(documents: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("order"),
+        F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))).alias("order"),
         text_key(F.col("text")).alias("tie"),
     )
 
@@ -181,14 +181,16 @@ def mixed_documents(documents: DataFrame, **mix) -> DataFrame:
     queue = fair_queue(sized, **mix).where("taken").groupBy("doc_id", "source", "tie", "epoch")
     # Repeated rows have one place in line together, and come out as often.
     queue = queue.agg(F.min("finish").alias("mix_position"), F.min("order").alias("order"))
-    queue = queue.select(*[F.col(c).alias(f"_queue_{c}") for c in ("doc_id", "source", "tie", "epoch", "mix_position", "order")])
-    rows = documents.withColumn("_queue_key", text_key(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(queue["_queue_doc_id"]) & rows["source"].eqNullSafe(queue["_queue_source"])
-    joined = rows.join(queue, same & (rows["_queue_key"] == queue["_queue_tie"]))
-    ordered = joined.orderBy("_queue_mix_position", "_queue_order", "_queue_tie", "_queue_epoch")
-    added = {"epoch": F.col("_queue_epoch"), "mix_position": F.col("_queue_mix_position")}
-    kept = [c for c, name in zip(columns_of(documents), documents.columns, strict=True) if name not in added]
-    return ordered.select(*kept, *[c.alias(name) for name, c in added.items()])
+    place = F.struct("doc_id", "source", "tie", "epoch", "mix_position", "order").alias("place")
+    queue = queue.select(place, F.col("tie").alias("key"))
+    # The row is one struct, so that no name of the input can clash.
+    rows = documents.select(F.struct(*columns_of(documents)).alias("doc"), text_key(F.col("text")).alias("key"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("place.doc_id")) & F.col("doc.source").eqNullSafe(F.col("place.source"))
+    joined = rows.join(queue, same & (rows["key"] == queue["key"])).select("doc", "place")
+    ordered = joined.orderBy("place.mix_position", "place.order", "place.tie", "place.epoch")
+    added = ("epoch", "mix_position")
+    kept = [F.col("doc").getField(c).alias(c) for c in documents.columns if c not in added]
+    return ordered.select(*kept, *[F.col(f"place.{name}").alias(name) for name in added])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +205,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+    md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS place
   FROM documents
 ),
 sources AS (

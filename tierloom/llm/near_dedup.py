@@ -44,7 +44,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierloom.llm.graph import connected_components
-from tierloom.llm.storage import columns_of, table, text_key, written
+from tierloom.llm.storage import WORD, columns_of, table, text_key, written
 
 # Fixed values of op4's rule.
 OP4_WORDS = 4
@@ -267,24 +267,44 @@ def _met(pending: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -
         there = {mark + end: name for name, mark in columns.items() if name in frame.columns}
         return _named(frame, **{k: k for k in keys}, **there)
 
-    apart = F.col("comp_a") != F.col("comp_b")
     most = F.least("in_a", "in_b") + F.least("out_a", "out_b")
-    both = side(heads, "a", "hub", "shingle").join(side(heads, "b", "hub", "shingle"), ["hub", "shingle"])
-    met = both.where((F.col("a") < F.col("b")) & apart & (most >= needed("n_a", "n_b"))).select("a", "b", "n_a", "n_b")
+    both = _across(heads, heads, side, "hub", "shingle")
+    met = both.where(most >= needed("n_a", "n_b")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("n_a"), F.col("n_b")
+    )
 
     # Classes with enough in common with the hub alone, one of them not of
     # the hub's component, the other smaller than the hub.
     like = stars.where(F.col("inside") >= F.col("must"))
     strangers = like.where(~F.col("component").eqNullSafe(F.col("hub_component")))
     smaller = like.where(F.col("n") < F.col("hub_n"))
-    both = side(strangers, "a", "hub").join(side(smaller, "b", "hub"), "hub")
     enough = F.least("in_a", "in_b") >= needed("n_a", "n_b")
-    near = both.where(apart & enough).select(
+    near = _across(strangers, smaller, side, "hub").where(enough).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b"
     )
     return met.unionByName(near)
 
 
+def _across(left: DataFrame, right: DataFrame, side: Callable, *keys: str) -> DataFrame:
+    """Rows of ``left`` as ``a`` and of ``right`` as ``b`` that agree in the
+    ``keys`` and are of different components.
+
+    Components meet first, one row each, so that classes of one component
+    are never paired, however many share a key. Both ways round are made
+    only where the two sides are not the same table.
+    """
+
+    def components(rows: DataFrame, end: str) -> DataFrame:
+        return _named(rows, **{k: k for k in keys}, **{f"comp_{end}": "component"}).distinct()
+
+    order = F.col("comp_a") < F.col("comp_b") if left is right else F.col("comp_a") != F.col("comp_b")
+    several = left if left is right else left.select(*keys, "component").unionByName(right.select(*keys, "component"))
+    several = several.groupBy(*keys).agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select(*keys)
+    of_a = components(left, "a").join(several, list(keys))
+    pairs = of_a.join(components(right, "b"), list(keys)).where(order)
+    return side(left, "a", *keys).join(pairs, [*keys, "comp_a"]).join(side(right, "b", *keys), [*keys, "comp_b"])
+
+
 def _shared_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, shared``: shingles of each of the ``nodes`` that another one
     of them has too."""
@@ -357,6 +377,14 @@ def near_duplicates(
     )
 
 
+def near_copy_classes(documents: DataFrame, **rules) -> DataFrame:
+    """``key, class``: the group of each document that has near copies, by
+    ``line_dedup.document_key``."""
+    groups = written(near_duplicates(documents, **rules).where("component is not null").select("key", "component"), "near_groups")
+    several = groups.groupBy("component").agg((F.min("key") != F.max("key")).alias("several")).where("several")
+    return groups.join(several, "component").select("key", F.col("component").alias("class"))
+
+
 def drop_near_duplicates(documents: DataFrame, **rules) -> DataFrame:
     """One document of each group (the smallest known ``doc_id``), and all
     documents without words; all columns as they are. Of rows that are equal
@@ -365,8 +393,32 @@ def drop_near_duplicates(documents: DataFrame, **rules) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first")
     keep = groups.where("component is not null").groupBy("component").agg(first).select("first.key")
     keep = keep.unionByName(groups.where("component is null").select("key")).distinct()
-    rows = documents.withColumn("_near_key", _row_key()).join(keep.withColumnRenamed("key", "_near_key"), "_near_key", "left_semi")
-    return rows.dropDuplicates(["_near_key"]).select(*columns_of(documents))
+    rows = documents.select(F.struct(*columns_of(documents)).alias("doc"), _row_key().alias("key"))
+    rows = rows.join(keep, "key", "left_semi").dropDuplicates(["key"])
+    return rows.select(*[F.col("doc").getField(name).alias(name) for name in documents.columns])
+
+
+OP4_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {OP4_WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + {OP4_WORDS - 1}], ' ') for i in range(1, len(w) - {OP4_WORDS - 2})]) END AS s
+  FROM words
+), each AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {SIMILARITY} * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, p.b FROM reached r JOIN pairs p ON p.a = r.other
+)
+SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(r.other) AS component_id, min(r.other) = s.doc_id AS kept
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+"""
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ the removal leaves with too little of its own is rejected.
   A-Z. Lines without a word are never counted.
 - Documents of equal text are one document: copying a clean page does not
   make boilerplate of its lines (copies are the business of dedup).
-- The limit is ``MIN_DOCS`` documents or ``HOST_SHARE`` of the host's
-  distinct documents, whichever is more; a line must be above it.
+- The limit is ``MAX_DOCS`` distinct documents of the host, however large the
+  host is; a line must be above it.
 - One document keeps its copy of each line: the one with the smallest
   ``doc_id``. So of a group of close copies at least one stays whole.
 - A document is depleted if less than ``KEEP_PERCENT`` of its words are left.
@@ -46,8 +46,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 REPEAT_WINDOW = 3
 
-MIN_DOCS = 10
-HOST_SHARE = 0.05
+MAX_DOCS = 10
 KEEP_PERCENT = 30
 
 _PROFILE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -132,30 +131,26 @@ def document_profiles(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, schema)
 
 
-def frequent_lines(profiles: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+def frequent_lines(profiles: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """``host, key, removed_words, removed_lines``: what each distinct text
     of a host loses to lines above the host's limit."""
     lines = profiles.select("doc_id", "host", "key", F.explode(F.arrays_zip("hashes", "words")).alias("line"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id"))
     texts = lines.groupBy("host", "line.hashes", "key").agg(first.alias("first"), F.first("line.words").alias("words"))
     texts = written(texts.withColumnRenamed("hashes", "hash"), "rule_lines")
-    hosts = profiles.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     counts = texts.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("first", "key")).alias("own"))
-    counts = counts.where(F.col("docs") > min_docs).join(hosts, "host")
-    above = counts.where(F.col("docs") > F.col("texts") * host_share).select("host", "hash", F.col("own.key").alias("own"))
+    above = counts.where(F.col("docs") > max_docs).select("host", "hash", F.col("own.key").alias("own"))
     lost = texts.join(above, ["host", "hash"]).where("key != own")
     return lost.groupBy("host", "key").agg(
         F.sum("words").alias("removed_words"), F.collect_list("hash").alias("removed_lines")
     )
 
 
-def judge(
-    documents: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, keep_percent: int = KEEP_PERCENT
-) -> DataFrame:
+def judge(documents: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """``doc_id, host, key``, base figures, ``base_failed, removed_words,
     removed_lines, depleted, kept``, one row per document."""
     profiles = written(document_profiles(documents), "rule_profiles")
-    lost = frequent_lines(profiles, min_docs, host_share)
+    lost = frequent_lines(profiles, max_docs)
     removed = F.coalesce("removed_words", F.lit(0))
     repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     return (
@@ -238,14 +233,8 @@ lines AS (
 dups AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id
 ),
-host_texts AS (
-  SELECT source, count(DISTINCT body) AS texts FROM docs GROUP BY source
-),
 common AS (
-  SELECT l.source, l.norm, arg_min(l.body, l.doc_id) AS own
-  FROM lines l JOIN host_texts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, l.norm, h.texts
-  HAVING count(DISTINCT l.body) > 10 AND count(DISTINCT l.body) > h.texts * 0.05
+  SELECT source, norm, arg_min(body, doc_id) AS own FROM lines GROUP BY source, norm HAVING count(DISTINCT body) > 10
 ),
 lost AS (
   SELECT l.doc_id, sum(l.words) AS removed_words

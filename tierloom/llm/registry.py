@@ -1,8 +1,8 @@
 """Queries of the training-data operators and their DuckDB oracles.
 
-No SQL: op2 (alignment), op4 (components over set similarity), op7
-(disclosure and match positions), op9 (a trained model), op10 (compression)
-and op12 (an approximate search). Those are tested against brute force.
+No SQL: op2 (alignment), op7 (disclosure and match positions), op9 (a trained
+model), op10 (compression) and op12 (an approximate search). Those are tested
+against brute force.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from tierloom.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tierloom.llm.license_scan import op10_license_scan
 from tierloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tierloom.llm.mixing import OP8_SQL, op8_mixing
-from tierloom.llm.near_dedup import op4_near_dedup
+from tierloom.llm.near_dedup import OP4_SQL, op4_near_dedup
 from tierloom.llm.neighbours import op12_neighbours
 from tierloom.llm.pii import op7_pii
 from tierloom.llm.quality_classifier import op9_quality_classifier
@@ -40,6 +40,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op3_chat_format": OP3_SQL,
+    "op4_near_dedup": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op8_mixing": OP8_SQL,
