@@ -8,7 +8,8 @@ columns of ``docs``; where a stage changes ``text``, it sets ``n_chars``.
 1. ``quality_rules``: rejected documents go, and boilerplate lines of the
    others.
 2. ``line_dedup``: lines found in many documents go, in every document.
-   Copies do not empty each other: one is for the next stage to choose.
+   Near copies of each other count as one document there: they do not empty
+   each other, one whole text is for the next stage to choose.
 3. ``near_dedup``: one document of each group of near copies stays.
 4. ``decontamination``: documents that leak a benchmark item go.
 5. ``mixing``: the documents in mixed order, one row per time that the mix
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tierloom.llm.decontamination import decontaminate
 from tierloom.llm.line_dedup import dedup_lines
 from tierloom.llm.mixing import mixed_documents
-from tierloom.llm.near_dedup import drop_near_duplicates
+from tierloom.llm.near_dedup import drop_near_duplicates, near_copy_classes
 from tierloom.llm.quality_rules import apply_rules
 from tierloom.llm.storage import table, written
 
@@ -43,7 +44,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(dedup_lines(docs, spare_copies=True), docs.columns)
+    return _with_text(dedup_lines(docs, classes=near_copy_classes(docs)), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
