@@ -14,13 +14,22 @@ corpus, as a share of what the entity itself carries::
 It is 1 where the term never occurs without the entity, and about 0 where
 they are independent. A term in a document with an entity is *generalised*
 (to a placeholder) from ``GENERALISE`` on and *removed* from ``REMOVE`` on.
-Terms are runs of letters of any length, anywhere in the document.
 
-Most entities are in one or two documents, where some terms meet them by
-chance. A pair of fewer than ``MIN_JOINT`` documents therefore counts if it is
-significant: if independent terms and entities meet so often in at most
-``CHANCE`` cases, times the terms that the entity is tested with (Bonferroni).
-All probabilities are taken over all documents.
+A rare term always meets something: a word of one document has a disclosure of
+1 for whatever entity is there. What counts is how many words *could* have met
+the entity so often by chance. Of the V words whose document frequency is of
+the term's class (a power of two), at most ``V * P`` are expected in as many of
+the entity's documents if words and entities are independent; P is the union
+bound of the hypergeometric tail. A pair counts only if that is at most
+``CHANCE`` words. This one test holds for all pairs: a name that always comes
+with a number passes where few words are as rare, one of many one-off words
+does not.
+
+Terms are runs of letters and digits with a letter, anywhere in the document
+(so keys and tokens are terms); scripts without word breaks are cut into
+pieces of at most ``PIECE`` characters. Documents of equal text count once,
+since copies meet again by being copies. All probabilities are taken over all
+distinct texts. Near copies should go first (``near_dedup``).
 
 Positions without a position function: matches are put between marker
 characters, the text is split there, and lengths are added up. The patterns
@@ -36,15 +45,18 @@ the spans of their text; terms overlap no entity; null ids are kept; an
 empty table gives no rows; other columns are ignored.
 
 Scale: one pass finds entities, and terms where there are some; one pass
-counts terms, summed per task before the shuffle. Entities and terms are
-shuffled as 64-bit hashes: pairs by (entity, term), summed per task before, so
-an entity or term found in a third of all rows meets in no single task. Texts
-are shuffled only if they have entities, with their terms' places (and in
-``sanitise``, which joins spans to their texts).
+counts terms. Entities and terms are shuffled as 64-bit hashes. Entities that
+stand in the same texts are one class, told apart by no count, so a page of
+many one-off entities is one class and meets its terms once each; pairs of
+class and term are summed per task before the shuffle, so an entity or term
+found in a third of all rows meets in no single task. Texts are shuffled only
+if they have entities (and in ``sanitise``, which joins spans to their texts).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,24 +66,24 @@ from tierloom.llm.storage import columns_of, table, text_key, written
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-#: Code points on either side of an entity in which a term is its neighbour:
-#: any text's, so the whole document.
-WINDOW = (1 << 31) - 1
-TERM_PATTERN = r"\p{L}++"
-#: Documents from which a pair counts without a test of significance.
-MIN_JOINT = 3
+#: Characters of a term in scripts without word breaks.
+PIECE = 4
+_UNBROKEN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_RUN = rf"[\p{{L}}\p{{N}}&&[^{_UNBROKEN}]]"
+TERM_PATTERN = rf"[{_UNBROKEN}]{{1,{PIECE}}}|(?<!{_RUN})(?=\p{{N}}*+(?!\p{{N}}){_RUN}){_RUN}++"
+#: Words that may meet an entity so often by chance, at most.
 CHANCE = 0.05
 GENERALISE = 0.8
 REMOVE = 0.95
 
-_MARK, _OTHER, _DOT, _SEP = "\u0001", "\u0002", "\u0003", "\u0004"
+_MARK, _OTHER, _DOT, _SEP, _HIDDEN = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
 _LOCAL = r"A-Za-z0-9._%+\-" + _DOT
 _EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9\-]++{_DOT}[A-Za-z0-9\-{_DOT}]++"
 _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = rf"[0-9][0-9{_SEP}]++"
 _PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
 _SMALL = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_FREE_TERM = rf"(?<![\p{{L}}{_SEP}])\p{{L}}++(?!{_SEP})"
+_FREE_TERM = rf"[{_UNBROKEN}]{{1,{PIECE}}}|(?<!{_RUN})(?<!{_HIDDEN})(?=\p{{N}}*+(?!\p{{N}}){_RUN}){_RUN}++(?!{_HIDDEN})"
 _IP_OK = rf"^{_SMALL}\.{_SMALL}\.{_SMALL}\.{_SMALL}$"
 
 
@@ -104,25 +116,55 @@ def _valid(kind: str, match: Column) -> Column:
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int,value:string>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, keep=None, offset: Column | int = 0) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """The text split around the matches: every second piece is one."""
+    return F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
+
+
+#: Pieces that are added up at once (even, so that each block begins outside).
+_BLOCK = 512
+
+
+def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Matches of a pattern in a text as ``(start, end, kind, value)``.
 
-    After the marks, every second piece is a match. Only what is kept is
-    appended, so the work is linear in the text.
+    Places are running totals of the pieces' lengths. An array that grows is
+    copied at each step, so they are taken in two levels, over blocks of
+    pieces and within a block: a text of a hundred thousand matches copies
+    some hundred elements at a time.
     """
-    pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
-    empty = F.struct(
-        F.lit(offset).cast("bigint").alias("at"), F.lit(False).alias("odd"), F.array().cast(_SPAN).alias("found")
-    )
 
-    def step(done: Column, piece: Column) -> Column:
-        end = done["at"] + F.length(piece)
-        span = F.struct(done["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), piece.alias("value"))
-        wanted = done["odd"] if keep is None else done["odd"] & keep(piece)
-        found = F.when(wanted, F.concat(done["found"], F.array(span))).otherwise(done["found"])
-        return F.struct(end.alias("at"), (~done["odd"]).alias("odd"), found.alias("found"))
+    def within(block: Column, start: Column) -> Column:
+        empty = F.struct(start.cast("bigint").alias("at"), F.lit(False).alias("odd"), F.array().cast(_SPAN).alias("found"))
+
+        def step(done: Column, piece: Column) -> Column:
+            end = done["at"] + F.length(piece)
+            span = F.struct(done["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), piece.alias("value"))
+            wanted = done["odd"] if keep is None else done["odd"] & keep(piece)
+            found = F.when(wanted, F.concat(done["found"], F.array(span))).otherwise(done["found"])
+            return F.struct(end.alias("at"), (~done["odd"]).alias("odd"), found.alias("found"))
 
-    return F.aggregate(pieces, empty, step, lambda done: done["found"])
+        return F.aggregate(block, empty, step, lambda done: done["found"])
+
+    def starts(blocks: Column) -> Column:
+        first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
+        size = lambda block: F.aggregate(block, F.lit(0).cast("bigint"), lambda n, piece: n + F.length(piece))
+        step = lambda done, block: F.struct(
+            (done["at"] + size(block)).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all")
+        )
+        return F.aggregate(blocks, first, step, lambda done: done["all"])
+
+    def cut(pieces: Column) -> Column:
+        count = F.ceil(F.size(pieces) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.slice(pieces, n * _BLOCK + 1, _BLOCK))
+
+    blocks = lambda pieces: _let(cut(pieces), lambda x: F.flatten(F.zip_with(x, starts(x), within)))
+    return _let(_pieces(text, pattern), blocks)
 
 
 def _inner_dots(text: Column) -> Column:
@@ -147,17 +189,27 @@ def entities(text: Column) -> Column:
 
 def _unmarked(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    for mark in (_MARK, _DOT, _SEP):
+    for mark in (_MARK, _DOT, _SEP, _HIDDEN):
         text = F.replace(text, F.lit(mark), F.lit(_OTHER))
     return text
 
 
 def _masked(text: Column) -> Column:
-    """The text, with the letters of entities as control characters. Only
-    emails have letters. Every second piece is one, as in ``_spans``."""
-    pieces = F.split(F.regexp_replace(_inner_dots(text), f"({_EMAIL})", f"{_MARK}$1{_MARK}"), _MARK)
-    hidden = F.transform(pieces, lambda p, n: F.when(n % 2 == 1, F.regexp_replace(p, r"\p{L}", _SEP)).otherwise(p))
-    return F.when(text.contains("@"), F.array_join(hidden, "")).otherwise(text)
+    """The text, with the letters and digits of entities as control
+    characters, one for one."""
+    seps = lambda text: F.regexp_replace(text, r"(?<=[0-9])[\x20\-](?=[0-9])", _SEP)
+    forms = {"email": (_inner_dots, _EMAIL), "ip": (lambda x: x, _IP), "phone": (lambda x: x, _PHONE), "card": (seps, _CARD)}
+    for kind, (form, pattern) in forms.items():
+        text = F.array_join(F.transform(_pieces(form(text), pattern), _hiding(kind)), "")
+    return text
+
+
+def _hiding(kind: str) -> Callable[[Column, Column], Column]:
+    def hide(piece: Column, n: Column) -> Column:
+        hidden = F.regexp_replace(piece, r"[\p{L}\p{N}]", _HIDDEN)
+        return F.when((n % 2 == 1) & _valid(kind, piece), hidden).otherwise(piece)
+
+    return hide
 
 
 def _term(word: Column) -> Column:
@@ -181,61 +233,80 @@ def entity_spans(documents: DataFrame) -> DataFrame:
 
 
 def term_documents(documents: DataFrame) -> DataFrame:
-    """``term, n_t``: documents that hold each term (by its hash)."""
+    """``term, n_t``: distinct texts that hold each term (by its hash)."""
     terms = _terms(_unmarked(F.col("text")), TERM_PATTERN)
-    return documents.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = documents.select(text_key(F.col("text")).alias("key"), F.explode(terms).alias("term")).distinct()
+    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+
+
+def entity_classes(found: DataFrame) -> DataFrame:
+    """``key, class, n_e``: the classes of entities in each text, and in how
+    many texts those entities stand. Entities of one class stand in the same
+    texts, which is told by two hashes of all of them."""
+    each = found.select("key", F.explode("entities").alias("entity")).distinct()
+    texts = [F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit("two"))).alias("two")]
+    of = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), *texts)
+    of = of.select("entity", "n_e", F.xxhash64("n_e", "one", "two").alias("class"))
+    return each.join(of, "entity").select("key", "class", "n_e").distinct()
 
 
-def _pairs(found: DataFrame, *columns: str) -> DataFrame:
-    """``entity, term`` of each document, once each."""
-    each = found.select(*columns, F.explode("entities").alias("entity"), "terms")
-    return each.select(*columns, "entity", F.explode("terms").alias("term"))
+def _class_of(n_t: Column) -> Column:
+    """Document frequencies of one class differ by less than a factor of two."""
+    return F.floor(F.log2(n_t.cast("double"))).cast("int")
 
 
-def disclosing_pairs(
-    found: DataFrame, terms: DataFrame, documents: int, min_joint: int = MIN_JOINT, generalise: float = GENERALISE
-) -> DataFrame:
-    """``entity, term, disclosure`` of the pairs above the threshold.
+def disclosing_pairs(found: DataFrame, classes: DataFrame, terms: DataFrame, texts: int, generalise: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
+    """``class, term, disclosure`` of the pairs that disclose and are not
+    expected by chance.
 
-    ``found`` is ``entity_spans``, ``terms`` is ``term_documents``. An entity
-    or a pair counts once per document.
+    ``found`` is ``entity_spans`` of distinct texts, ``classes`` is
+    ``entity_classes``, ``terms`` is ``term_documents``.
     """
-    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    joint = written(_pairs(found).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")), "private_pairs")
-    of_entity = of_entity.join(joint.groupBy("entity").agg(F.count(F.lit(1)).alias("tested")), "entity")
-    scored = joint.join(of_entity, "entity").join(terms, "term")
-    # Bounds of the chance to meet in one document or more, and in two or more.
-    n, n_e, n_t = float(max(documents, 2)), F.col("n_e").cast("double"), F.col("n_t").cast("double")
-    chance = F.when(F.col("n_et") == 1, n_e * n_t / n).otherwise(n_e * (n_e - 1) / 2 * n_t * (n_t - 1) / (n * (n - 1)))
-    scored = scored.where((F.col("n_et") >= min_joint) | (F.col("tested") * chance <= CHANCE))
+    met = classes.join(found.select("key", "terms"), "key").select("class", "n_e", F.explode("terms").alias("term"))
+    scored = met.groupBy("class", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_e").alias("n_e")).join(terms, "term")
+    # Words by class of frequency: some thirty numbers.
+    sizes = {r["c"]: r["n"] for r in terms.groupBy(_class_of(F.col("n_t")).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = F.array(*[F.lit(float(sizes.get(c, 0))) for c in range(max(sizes, default=0) + 1)])
+    of_class = _class_of(F.col("n_t"))
+    n = float(max(texts, 2))
+    most = F.least(F.pow(F.lit(2.0), of_class + 1) - 1, F.lit(n))
+    n_e, joint = F.col("n_e").cast("double"), F.col("n_et").cast("double")
+    # C(most, j) (n_e)_j / (n)_j: as it is for one and two, else bounded by
+    # (e most / j)^j (n_e / n)^j.
+    two = most * (most - 1) / 2 * n_e * (n_e - 1) / (n * (n - 1))
+    more = F.exp(joint * (1 + F.log(most) - F.log(joint) + F.log(n_e) - F.log(F.lit(n))))
+    tail = F.when(joint == 1, most * n_e / n).when(joint == 2, two).otherwise(more)
+    scored = scored.where(F.element_at(words, of_class + 1) * tail <= chance)
     log = lambda c: F.log(F.col(c).cast("double"))
-    information = F.log(F.lit(float(max(documents, 1)))) - log("n_e")
+    information = F.log(F.lit(float(max(texts, 1)))) - log("n_e")
     mutual = information + log("n_et") - log("n_t")
     scored = scored.withColumn("disclosure", F.when(information > 0, F.round(mutual / information, 6)))
-    return scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+    return scored.where(F.col("disclosure") >= generalise).select("class", "term", "disclosure")
 
 
 def find_private(documents: DataFrame, **limits) -> DataFrame:
     """``doc_id, key, base, spans``: base spans and all spans of every
     document, by start and then kind. In ``spans``, ``value`` is the match
     for entities and ``generalise`` or ``remove`` for terms."""
-    n = documents.count()
     found = written(entity_spans(documents), "private_spans")
-    pairs = disclosing_pairs(found, term_documents(documents), n, **limits)
-    told = _pairs(found, "doc_id", "key").join(pairs, ["entity", "term"])
-    told = told.groupBy("doc_id", "key", "term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
-    told = told.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(
-        F.collect_list("term").alias("told"), F.collect_list(F.when(F.col("remove"), F.col("term"))).alias("removed")
-    )
-    joined = found.join(told, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
-    spans = _spans(F.col("masked"), _FREE_TERM, len(KINDS), lambda m: F.array_contains("told", _term(m)))
-    action = lambda s: F.when(F.array_contains("removed", _term(s["value"])), "remove").otherwise("generalise")
-    terms = F.when(F.col("told").isNotNull(), F.transform(spans, lambda s: s.withField("value", action(s))))
-    ordered = lambda spans: F.array_sort(
-        F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"]))
-    )
-    every = F.concat("base", F.coalesce(terms, F.array().cast(_SPAN)))
-    return joined.select("doc_id", "key", ordered(F.col("base")).alias("base"), ordered(every).alias("spans"))
+    texts = found.select("key").distinct().count()
+    once = written(found.where("masked IS NOT NULL").select("key", "masked", "entities", "terms").dropDuplicates(["key"]), "private_texts")
+    classes = written(entity_classes(once), "private_classes")
+    terms = written(term_documents(documents), "private_terms")
+    pairs = written(disclosing_pairs(once, classes, terms, texts, **limits), "private_pairs")
+    told = classes.join(pairs, "class").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    here = once.select("key", F.explode("terms").alias("term")).join(told, ["key", "term"])
+    # Term places of the texts in question, a row each: no lists are searched.
+    places = once.join(here.select("key").distinct(), "key").select("key", F.explode(_spans(F.col("masked"), _FREE_TERM, len(KINDS))).alias("at"))
+    places = places.withColumn("term", _term(F.col("at.value"))).join(here, ["key", "term"])
+    action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    span = F.struct("at.start", "at.kind", "at.end", action.alias("value"))
+    places = places.select(F.col("key").alias("k"), span.alias("span")).groupBy("k").agg(F.collect_list("span").alias("terms"))
+    ordered = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"]))
+    base = ordered(F.col("base")).alias("base")
+    joined = found.select("doc_id", "key", base).join(places, F.col("key") == F.col("k"), "left")
+    every = F.concat("base", F.coalesce("terms", F.array().cast(joined.schema["base"].dataType)))
+    return joined.select("doc_id", "key", F.array_sort("base").alias("base"), F.array_sort(every).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
