@@ -1,9 +1,10 @@
 import re
+import time
 
 from llm_helpers import CLASHING
 from pyspark.sql import functions as F
 
-from tierloom.llm.url_filter import BLOCK, RULES, canonical_form, filter_urls
+from tierloom.llm.url_filter import BLOCK, RULES, apply_rules, canonical_form, filter_urls, resolved
 
 RULE_ROWS = "host string, path string, verdict string"
 
@@ -67,7 +68,8 @@ def test_aliases_against_brute_force(spark):
         page(6, "http://sub.EXAMPLE.org/en/12?q=1#f"),
         page(7, "http://example.org/en/2"),
         page(8, None), page(9, "no scheme"), page(10, ""), page(11, "http://notorg/"), page(12, "http://h.net"),
-        page(13, "http://i.net/dir/a", canonical="../b"),
+        page(13, "http://i.net/dir/a", canonical="../b"), page(20, "http://i.net/x/.././b", refresh="/de/../de/q"), page(21, "http://i.net/b"),
+        page(22, "http://n.com/p/q", canonical="./../de/./1?x=../y#/../z"), page(23, "http://n.com/de/1?x=../y"),
         page(14, "http://j.net/k?utm_source=z&id=1"), page(15, "http://j.net/k?id=1"),
         page(1, "http://a.net/x", canonical="https://b.example.com/de/1"), page(None, "http://x.com/fr/"),
         page(19, "http://C.net/y?utm_source=z#part"),  # another form of an alias
@@ -80,7 +82,8 @@ def test_aliases_against_brute_force(spark):
         ("http://a.net/x", "https://b.example.com/de/1"), ("http://c.net/y", "http://a.net/x"),
         ("http://d.net/", "http://e.example.org/es/q"), ("http://f.net/", "http://d.net/"), ("http://f.net/", "http://g.org/"),
         ("http://j.net/k?utm_source=z&id=1", "http://j.net/k?id=1"), ("http://C.net/y?utm_source=z#part", "http://c.net/y"),
-        ("http://i.net/dir/a", "http://i.net/dir/../b"), ("http://m.net/dir/p", "http://m.net/de/root"),
+        ("http://i.net/dir/a", "http://i.net/b"), ("http://i.net/b", "http://i.net/x/.././b"), ("http://i.net/x/.././b", "http://i.net/de/q"),
+        ("http://n.com/p/q", "http://n.com/de/1?x=../y"), ("http://m.net/dir/p", "http://m.net/de/root"),
     ]
     got = filter_urls(df, spark.createDataFrame(list(RULES), RULE_ROWS))
     rows = sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect()), key=repr)
@@ -102,6 +105,43 @@ def test_canonical_form(spark):
     assert got == ["http://a.org/P", "http://a.org/P?b=2", "http://a.org/P?b=2", "http://a.org", None]
 
 
+def test_dot_segments(spark):
+    """The examples of RFC 3986, 5.4, on http://a/b/c/d;p."""
+    cases = {
+        "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g",
+        "../..": "/", "../../": "/", "../../g": "/g", "../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", ".g": "/b/c/.g",
+        "g..": "/b/c/g..", "..g": "/b/c/..g", "./../g": "/b/g", "./g/.": "/b/c/g/", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h",
+        "g?y/../x": "/b/c/g?y/../x", "g#s/./x": "/b/c/g#s/./x", "//h/../x": "//h/x",
+    }
+    df = spark.createDataFrame([(x, "http://a/b/c/d;p") for x in cases], "target string, page string")
+    got = {r.target: r.full for r in df.select("target", resolved(F.col("target"), F.col("page")).alias("full")).collect()}
+    assert got == {x: f"http:{want}" if want.startswith("//") else f"http://a{want}" for x, want in cases.items()}
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    html = "<link " * 200_000 + "<meta http-equiv " * 100_000 + "<link rel=canonical href=/de/9>" + "<link rel " + "rel " * 100_000
+    pages = spark.createDataFrame([(1, "http://x.example.com/a", html)], "page_id long, url string, html string")
+    start = time.time()
+    assert filter_urls(pages, spark.createDataFrame(list(RULES), RULE_ROWS)).first().verdict == "block"
+    assert time.time() - start < 120
+
+
+def test_rules_of_one_host_meet_paths_by_prefix(spark):
+    """A host of many rules and many paths: joined rows are about as many as
+    paths, not their product."""
+    rules = [("big.net", f"/d{n % 50}/p{n}", BLOCK if n % 3 else "allow") for n in range(2000)] + [("big.net", "/d7/", BLOCK), ("net", "", "allow")]
+    urls = [("www.big.net", f"/d{n % 50}/p{n}/x") for n in range(6000)] + [("net", ""), ("big.net", "/d7/")]
+    df = spark.createDataFrame(urls, "host string, path string")
+    found = apply_rules(df, spark.createDataFrame(rules, RULE_ROWS))
+    got = {(r.host, r.path): (r.rule, r.verdict) for r in found.collect()}
+    for host, path in urls[::97] + urls[-2:]:
+        fits = [(h, p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, key=lambda r: (len(r[0] + r[1]), r[2] == BLOCK))
+        assert got[host, path] == (best[0] + best[1], best[2])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((rule_host" in plan and "StartsWith" not in plan
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     rules = spark.createDataFrame(list(RULES), RULE_ROWS)

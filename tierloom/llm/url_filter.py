@@ -14,13 +14,17 @@ or canonical link of a page connects are one thing under several names.
   unless a rule explicitly allows one of the class: allow takes precedence.
 - What no rule and no alias decides is allowed.
 
-Rules are rows like any other table's: URLs meet them by an equi-join on the
-host's last labels, so there may be millions. URLs are handled as 64-bit
-hashes; page texts are read once for their links and never shuffled.
+Rules are rows like any other table's, and there may be millions, also of one
+host: a URL asks for its host's last labels and, of its path, for the prefixes
+of the lengths that rules of that host have; URLs and rules then meet by an
+equi-join on host and prefix. URLs are handled as 64-bit hashes; page texts are
+read once for their links, in linear time (a tag ends at the next ``<`` or
+``>``), and never shuffled.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path,
 fits no rule and has no alias; relative link targets are resolved against
-the page; of two rules of one length the blocking one wins; repeated rows
+the page, without dot segments (RFC 3986, 5.2.4); of several links of one kind
+a page's first counts; of two rules of one length the blocking one wins; repeated rows
 each get their row; null ids are kept; empty tables give no rows; other
 columns are ignored.
 """
@@ -48,8 +52,10 @@ RULES = (
 TRACKING = r"(?:utm_[^=&#]*|gclid|fbclid|ref)"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+_TAG = r"(?i)<((?:link|meta)\b[^<>]*+)"
+_CANONICAL = r"""(?is)^link\b(?=.*?\brel\s*+=\s*+["']?canonical\b).*?\bhref\s*+=\s*+["']?([^"'\s]+)"""
+_REFRESH = r"""(?is)^meta\b(?=.*?\bhttp-equiv\s*+=\s*+["']?refresh\b).*?\burl\s*+=\s*+["']?([^"'\s]+)"""
+_DOTS = r"(?:^|/)\.\.?(?:/|$)"
 
 
 def _rest(url: Column) -> Column:
@@ -67,13 +73,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from ``/`` on, without ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    parts = F.slice(F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts), 2, 1 << 30)
+
+    def step(done: Column, part: Column) -> Column:
+        shorter = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when(part == "..", shorter).otherwise(F.concat(done, F.array(part)))
+
+    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(path.rlike(_DOTS), F.concat(F.lit("/"), F.array_join(walked, "/"))).otherwise(path)
+
+
 def canonical_form(url: Column) -> Column:
-    """Without fragment and tracking parameters, host in lower case."""
+    """Without fragment, tracking parameters and dot segments, host in lower
+    case."""
     scheme = F.lower(F.substring_index(url, "://", 1))
     query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
     query = F.regexp_replace(query, rf"(?<=[?&]){TRACKING}=[^&]*(?:&|$)", "")
     query = F.regexp_replace(query, r"[?&]$", "")
-    form = F.concat(scheme, F.lit("://"), host_of(url), path_of(url), query)
+    form = F.concat(scheme, F.lit("://"), host_of(url), without_dots(path_of(url)), query)
     return F.when(_rest(url).isNotNull(), form)
 
 
@@ -91,7 +112,9 @@ def resolved(target: Column, page: Column) -> Column:
         .when(target.startswith("#") | target.startswith("?"), F.concat(root, path_of(page), target))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
     )
-    return F.when(_rest(page).isNotNull() | target.contains("://"), full)
+    full = F.when(_rest(page).isNotNull() | target.contains("://"), full)
+    parts = F.concat(F.substring_index(full, "://", 1), F.lit("://"), host_of(full))
+    return F.concat(parts, without_dots(path_of(full)), F.regexp_extract(_rest(full), r"^[^?#]*(.*)", 1))
 
 
 def _node(url: Column) -> Column:
@@ -100,8 +123,14 @@ def _node(url: Column) -> Column:
 
 def alias_links(pages: DataFrame) -> DataFrame:
     """``url, other``: the canonical and redirect links of all pages."""
-    targets = F.array(*[resolved(F.regexp_extract("html", p, 1), F.col("url")) for p in (_CANONICAL, _REFRESH)])
-    links = pages.where(_rest(F.col("url")).isNotNull()).select("url", F.explode(targets).alias("other"))
+    tags = pages.where(_rest(F.col("url")).isNotNull()).select("url", F.regexp_extract_all("html", F.lit(_TAG), F.lit(1)).alias("tags"))
+
+    def first(pattern: str) -> Column:
+        each = F.transform("tags", lambda tag: F.regexp_extract(tag, pattern, 1))
+        return F.coalesce(F.get(F.filter(each, lambda x: x != ""), 0), F.lit(""))
+
+    targets = F.array(*[resolved(first(p), F.col("url")) for p in (_CANONICAL, _REFRESH)])
+    links = tags.where(F.size("tags") > 0).select("url", F.explode(targets).alias("other"))
     return links.where(_rest(F.col("other")).isNotNull()).distinct()
 
 
@@ -109,11 +138,14 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``host, path, rule, verdict`` for each distinct host and path of
     ``urls`` that some rule fits."""
     labels = F.size(F.split("rule_host", r"\."))
-    named = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict"))
+    named = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict")).distinct()
     widths = [r["n"] for r in named.select(labels.alias("n")).distinct().collect()]  # at most 127: labels of a host
     ends = [F.substring_index("host", ".", -n) for n in sorted(widths)] or [F.lit(None).cast("string")]
+    lengths = named.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
     spread = urls.select("host", "path").distinct().withColumn("rule_host", F.explode(F.array_distinct(F.array(*ends))))
-    fitting = spread.join(named, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    spread = spread.join(lengths, "rule_host")
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
+    fitting = spread.select("host", "path", "rule_host", F.explode(prefixes).alias("rule_path")).join(named, ["rule_host", "rule_path"])
     best = F.max(
         F.struct(
             (F.length("rule_host") + F.length("rule_path")).alias("length"),
