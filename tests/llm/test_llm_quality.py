@@ -151,7 +151,7 @@ def test_perplexity_against_the_formulas(spark, monkeypatch):
         if not text:
             assert r.log_perplexity is None and not r.kept
         elif r.lang in models:
-            codes = "".join(c if ord(c) < 0x10000 else "￿" for c in text)
+            codes = "".join(c if ord(c) < 0x10000 else chr(0xD800 + ord(c) % 0x800) for c in text)
             assert r.log_perplexity == pytest.approx(log_perplexity(models[r.lang], codes), abs=2e-5)
         else:
             assert r.log_perplexity == pytest.approx(-math.log(Q.UNIFORM), abs=1e-5) and r.threshold is None and r.kept
@@ -181,6 +181,24 @@ def test_held_out_accuracy(spark):
     assert symbols and sum(symbols) <= 0.05 * len(symbols)
 
 
+def test_pooled_threshold_and_characters_beyond_16_bits(spark):
+    """A language without held-out text has the threshold of all; emoji are
+    not one character."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(400).select("id", (F.pmod(F.xxhash64("id"), F.lit(Q.HELD_OUT)) == 0).alias("held")).collect()
+    trained = [r.id for r in ids if not r.held]
+    rows = [(r.id, "plain words of the english kind " * 3, "s", "en") for r in ids[:200]]
+    rows += [(trained[-1], "quelques mots en francais \U0001f600", "s", "fr"), (trained[-2], "quelques mots en francais", "s", "fr")]
+    rows += [(1000, "quelques mots en francais \U0001f600", "s", "fr"), (1001, "zqx jkw qqq zzz " * 5, "s", "fr"), (1002, "quelques mots en francais \U0001f601", "s", "fr"), (1003, "unknown", "s", "xx")]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] < 1000], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in Q.classify(make_docs(spark, rows), labels).collect()}
+    assert got[1000].threshold == got[0].threshold is not None
+    assert got[1000].log_perplexity < got[1001].log_perplexity and not got[1001].kept
+    assert got[1002].log_perplexity > got[1000].log_perplexity
+    assert got[1003].threshold is None and got[1003].kept
+
+
 def test_classifier_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs(spark, [(1, "a b c", "s", "en"), (2, "", "s", "en")])

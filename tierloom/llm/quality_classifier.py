@@ -27,11 +27,14 @@ The shape of the job:
    none must fit in a task: a task holds one chunk and its own 4-grams.
 
 4-grams are four 16-bit character codes in a long (characters beyond 16 bits
-share one code), so orders and contexts are shifts and masks.
+share the 2,048 codes of surrogates), so orders and contexts are shifts and
+masks.
 
 Defined cases: a null or blank text has no perplexity and is not kept; a
-null language is a language of its own; a language without held-out trusted
-text has no threshold, and its documents are kept; repeated rows are scored
+null language is a language of its own; a language whose trusted text is not
+held out anywhere has the threshold of all languages together; a language
+without trusted text has none, nothing is known of it and its documents are
+kept; repeated rows are scored
 each; null ids are kept as they are and never labelled; a ``doc_id`` with
 several labels is trusted if one of them says so and none says otherwise;
 empty tables give no rows; other columns are ignored.
@@ -67,6 +70,7 @@ UNIFORM = 1.0 / (1 << BITS)
 COST_BITS = 28
 
 _START = 2  # a code before each text
+_BEYOND, _BEYOND_CODES = 0xD800, 0x800
 
 
 def normalised(text: str | None) -> str:
@@ -79,7 +83,8 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     start = chr(_START) * (ORDER - 1)
     codes = np.frombuffer("".join(start + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.minimum(codes, (1 << BITS) - 1).astype(np.int64)
+    # No character has a surrogate's code: those stand for what is beyond 16 bits.
+    codes = np.where(codes >> BITS, _BEYOND + codes % _BEYOND_CODES, codes).astype(np.int64)
     if len(codes) < ORDER:
         return np.empty(0, np.int64), sizes
     grams = codes[ORDER - 1 :].copy()
@@ -309,7 +314,12 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     limits = held.groupBy(F.col("lang").alias("limit_lang")).agg(
         (F.percentile(F.round("log_perplexity", 3), F.lit(quantile)) + margin).alias("threshold")
     )
-    judged = scores.join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")), "left").drop("limit_lang")
+    whole = held.agg(F.percentile(F.round("log_perplexity", 3), F.lit(quantile)).alias("q")).first()["q"]  # one number
+    pooled = F.lit(None if whole is None else whole + margin).cast("double")
+    languages = counts.select(F.col("lang").alias("model_lang")).distinct()  # a row each
+    limits = languages.join(limits, F.col("model_lang").eqNullSafe(F.col("limit_lang")), "left")
+    limits = limits.select("model_lang", F.coalesce("threshold", pooled).alias("threshold"))
+    judged = scores.join(limits, F.col("lang").eqNullSafe(F.col("model_lang")), "left").drop("model_lang")
     allowed = F.col("threshold") + F.lit(SPREAD) / F.sqrt(F.greatest("chars", F.lit(1)))
     fine = F.col("threshold").isNull() | (F.col("log_perplexity") <= allowed)
     return judged.withColumn("kept", F.col("log_perplexity").isNotNull() & fine)
