@@ -101,17 +101,20 @@ def test_join_rows_grow_with_a_family_not_with_its_pairs(spark):
     with a stranger among them they are paired with it alone."""
     made = {}
     for n in (100, 200):
-        heads = [(0, s, k, 50, 7, 30, 9) for k in range(n) for s in range(20)] + [(0, s, 10_000 + s % 2, 50, 8 + s % 2, 30, 9) for s in range(5)]
+        heads = [(0, s, k, 50, 7, 40, 9) for k in range(n) for s in range(20)] + [(0, s, 10_000 + s % 2, 50, 8 + s % 2, 40, 9) for s in range(5)] + [(0, s, 20_000, 50, 10, 20, 9) for s in range(20)]
         rows = spark.createDataFrame(heads, "hub long, shingle long, node long, n long, component long, inside long, shared long")
 
         def side(frame, end, *keys):
             names = {"node": end, "n": f"n_{end}", "component": f"comp_{end}", "inside": f"in_{end}", "shared": f"out_{end}"}
             return frame.selectExpr(*keys, *[f"{a} AS {b}" for a, b in names.items()])
 
-        pairs = near_dedup._across(rows, rows, side, "hub", "shingle")
+        def needed(a, b):
+            return near_dedup.F.ceil(80 * (near_dedup.F.col(a) + near_dedup.F.col(b)) / 180)
+
+        pairs = near_dedup._across(rows, rows, side, needed, "hub", "shingle")
         assert {tuple(sorted((r.comp_a, r.comp_b))) for r in pairs.collect()} == {(7, 8), (7, 9)}
         made[n] = pairs.count()
-        assert near_dedup._across(rows.where("node < 10000"), rows.where("node < 10000"), side, "hub").count() == 0
+        assert near_dedup._across(rows.where("node < 10000"), rows.where("node < 10000"), side, needed, "hub").count() == 0
     assert made == {100: 500, 200: 1000}
 
 

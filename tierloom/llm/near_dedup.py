@@ -268,7 +268,7 @@ def _met(pending: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -
         return _named(frame, **{k: k for k in keys}, **there)
 
     most = F.least("in_a", "in_b") + F.least("out_a", "out_b")
-    both = _across(heads, heads, side, "hub", "shingle")
+    both = _across(heads, heads, side, needed, "hub", "shingle")
     met = both.where(most >= needed("n_a", "n_b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("n_a"), F.col("n_b")
     )
@@ -279,29 +279,35 @@ def _met(pending: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -
     strangers = like.where(~F.col("component").eqNullSafe(F.col("hub_component")))
     smaller = like.where(F.col("n") < F.col("hub_n"))
     enough = F.least("in_a", "in_b") >= needed("n_a", "n_b")
-    near = _across(strangers, smaller, side, "hub").where(enough).select(
+    near = _across(strangers, smaller, side, needed, "hub").where(enough).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b"
     )
     return met.unionByName(near)
 
 
-def _across(left: DataFrame, right: DataFrame, side: Callable, *keys: str) -> DataFrame:
+def _across(left: DataFrame, right: DataFrame, side: Callable, needed: Callable, *keys: str) -> DataFrame:
     """Rows of ``left`` as ``a`` and of ``right`` as ``b`` that agree in the
-    ``keys`` and are of different components.
+    ``keys``, are of different components and may have enough in common.
 
     Components meet first, one row each, so that classes of one component
-    are never paired, however many share a key. Both ways round are made
-    only where the two sides are not the same table.
+    are never paired, however many share a key. Two components meet if the
+    most that any of their classes have, inside the hub and in shared
+    shingles outside it, suffices for the smallest of them.
     """
+    common = ("inside", "shared") if "shared" in left.columns else ("inside",)
 
     def components(rows: DataFrame, end: str) -> DataFrame:
-        return _named(rows, **{k: k for k in keys}, **{f"comp_{end}": "component"}).distinct()
+        most = [F.max(c).alias(f"{c}_{end}") for c in common]
+        of = rows.groupBy(*keys, "component").agg(F.min("n").alias(f"n_{end}"), *most)
+        return of.withColumnRenamed("component", f"comp_{end}")
 
     order = F.col("comp_a") < F.col("comp_b") if left is right else F.col("comp_a") != F.col("comp_b")
     several = left if left is right else left.select(*keys, "component").unionByName(right.select(*keys, "component"))
     several = several.groupBy(*keys).agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select(*keys)
     of_a = components(left, "a").join(several, list(keys))
-    pairs = of_a.join(components(right, "b"), list(keys)).where(order)
+    least = [F.least(f"{c}_a", f"{c}_b") for c in common]
+    pairs = of_a.join(components(right, "b"), list(keys)).where(order & (sum(least[1:], least[0]) >= needed("n_a", "n_b")))
+    pairs = pairs.select(*keys, "comp_a", "comp_b")
     return side(left, "a", *keys).join(pairs, [*keys, "comp_a"]).join(side(right, "b", *keys), [*keys, "comp_b"])
 
 
