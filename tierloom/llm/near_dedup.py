@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierloom.llm.graph import connected_components
-from tierloom.llm.storage import WORD, columns_of, table, text_key, written
+from tierloom.llm.storage import WORD, columns_of, passing_tables, table, text_key, written
 
 # Fixed values of op4's rule.
 OP4_WORDS = 4
@@ -386,7 +386,9 @@ def near_duplicates(
 def near_copy_classes(documents: DataFrame, **rules) -> DataFrame:
     """``key, class``: the group of each document that has near copies, by
     ``line_dedup.document_key``."""
-    groups = written(near_duplicates(documents, **rules).where("component is not null").select("key", "component"), "near_groups")
+    with passing_tables(documents.sparkSession):
+        groups = near_duplicates(documents, **rules).where("component is not null").select("key", "component")
+        groups = written(groups, "near_groups", lasting=True)
     several = groups.groupBy("component").agg((F.min("key") != F.max("key")).alias("several")).where("several")
     return groups.join(several, "component").select("key", F.col("component").alias("class"))
 
@@ -395,10 +397,11 @@ def drop_near_duplicates(documents: DataFrame, **rules) -> DataFrame:
     """One document of each group (the smallest known ``doc_id``), and all
     documents without words; all columns as they are. Of rows that are equal
     in ``doc_id`` and text one stays."""
-    groups = near_duplicates(documents, **rules)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first")
-    keep = groups.where("component is not null").groupBy("component").agg(first).select("first.key")
-    keep = keep.unionByName(groups.where("component is null").select("key")).distinct()
+    with passing_tables(documents.sparkSession):
+        groups = near_duplicates(documents, **rules)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first")
+        keep = groups.where("component is not null").groupBy("component").agg(first).select("first.key")
+        keep = written(keep.unionByName(groups.where("component is null").select("key")).distinct(), "near_kept", lasting=True)
     rows = documents.select(F.struct(*columns_of(documents)).alias("doc"), _row_key().alias("key"))
     rows = rows.join(keep, "key", "left_semi").dropDuplicates(["key"])
     return rows.select(*[F.col("doc").getField(name).alias(name) for name in documents.columns])
