@@ -77,13 +77,14 @@ def test_query_columns(spark):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
-UNBROKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
-RUN = regex.compile(rf"(?V1)[[\p{{L}}\p{{N}}]--{UNBROKEN.pattern}]+")
+RANGES = "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3041-\\u30FF\\u3400-\\u9FFF\\uF900-\\uFAFF\\U00020000-\\U0003FFFF"
+UNBROKEN = regex.compile(rf"(?V1)[[{RANGES}]&&[\p{{L}}\p{{N}}]]+")
+RUN = regex.compile(rf"(?V1)[[\p{{L}}\p{{N}}]--[{RANGES}]]+")
 
 
 def term_places(text):
     out = [(m.start(), m.end()) for m in RUN.finditer(text) if regex.search(r"\p{L}", m[0])]
-    for m in regex.finditer(f"{UNBROKEN.pattern}+", text):
+    for m in UNBROKEN.finditer(text):
         out += [(k, min(k + pii.PIECE, m.end())) for k in range(m.start(), m.end(), pii.PIECE)]
     return sorted(out)
 
@@ -141,6 +142,7 @@ def test_terms_against_brute_force(spark):
     rows += [(1000 + n, "Li " + "common words here " * 40 + f"mail q@r.st {n}") for n in range(2)]
     rows += [(1002, "Ng y@z.co common words"), (1003, "or common words"), (1004, "or here, xu5@b.org.Éa words")]
     rows += [(1010 + n, f"key AKIA77xyz9 for 10.1.2.{7} and 佐藤太郎様 x4111111111111111, {n} 123456 part{n}") for n in range(3)]
+    rows += [(1015 + n, f"9912abc{n % 2}x 佐藤abc 007 ひらがなです {'1' * 5000} น้ำ a1b2 {n}") for n in range(3)]
     rows += [(1020, rows[-1][1]), (None, rows[-1][1])]
     rows += [(1030 + n, f"page {n} " + " ".join(f"m{k}@x.org" for k in range(5)) + " Zoe") for n in range(3)]
     want = told(rows)
