@@ -118,6 +118,52 @@ def test_join_rows_grow_with_a_family_not_with_its_pairs(spark):
     assert made == {100: 500, 200: 1000}
 
 
+def _side(frame, end, *keys):
+    names = {"node": end, "n": f"n_{end}", "component": f"comp_{end}", "inside": f"in_{end}", "shared": f"out_{end}"}
+    return frame.selectExpr(*keys, *[f"{a} AS {b}" for a, b in names.items()])
+
+
+def test_classes_meet_only_components_that_they_can_link_with(spark):
+    """One class of a component may link with a stranger; the hundred others
+    of it have too little in common with the hub to meet it."""
+    heads = [(0, 1, 1, 50, 7, 40, 9), (0, 1, 900, 50, 9, 40, 9)] + [(0, 1, 10 + k, 50, 7, 20, 1) for k in range(100)]
+    rows = spark.createDataFrame(heads, "hub long, shingle long, node long, n long, component long, inside long, shared long")
+
+    def needed(a, b):
+        return near_dedup.F.ceil(80 * (near_dedup.F.col(a) + near_dedup.F.col(b)) / 180)
+
+    pairs = near_dedup._across(rows, rows, _side, needed, "hub", "shingle").collect()
+    assert [(r.a, r.b) for r in pairs] == [(1, 900)]
+
+
+def test_shingles_of_one_component_are_not_spread(spark, monkeypatch):
+    """A family far from its hub shares its edits with itself only: nothing
+    is written for them but for a pair that a stranger makes with one of it."""
+    members, family = {0: range(100), 500: [*range(30, 100), *range(2000, 2030)], 600: [*range(20, 100), *range(1000, 1020)]}, range(1, 61)
+    members |= {k: [*range(20, 100), *range(1000, 1020), *range(5000 + 10 * k, 5003 + 10 * k)] for k in family}
+    component = {k: 1 for k in family}
+    sets = [(k, near_dedup.np.array(sorted(x), near_dedup.np.uint64).tobytes()) for k, x in members.items()]
+    sets = spark.createDataFrame(sets, "node long, shingles binary")
+    linked = spark.createDataFrame(list(component.items()), "node long, component long")
+    written, rows = near_dedup.written, []
+
+    def counted(df, name, **more):
+        out = written(df, name, **more)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+
+    def met(*nodes):
+        stars = [(1, k, len(members[k]), component.get(k, k), 0, 100) for k in nodes]
+        stars = spark.createDataFrame(stars, "bucket long, node long, n long, component long, hub long, hub_n long")
+        return {(r.a, r.b) for r in near_dedup._met(stars, linked, sets, 80).collect()}
+
+    assert met(*family, 500) == set()
+    assert max(rows) <= len(family) + 1
+    assert met(*family, 500, 600) == {(k, 600) for k in family}
+
+
 def test_a_family_beside_a_bigger_one(spark):
     rng = random.Random(9)
     vocabulary = [f"w{n}" for n in range(900)]

@@ -15,18 +15,19 @@ all pairs of a bucket:
    with the hubs of its buckets, on the full sets, and what passes is united
    (connected components over links). Buckets whose classes are now one
    component are done, and the hub, compared with all, goes.
-2. Of the classes that are left, shingles that no other such class has are
-   counted. They are in no intersection, so they bound each similarity from
-   above; classes whose bound stays below the limit for every size in their
-   bucket go. (Texts around one shared passage go here, one row at a time,
-   however many they are.)
+2. Of the classes that are left, shingles that no such class of another
+   component has are counted. They are in no intersection that matters, so
+   they bound each similarity from above; classes whose bound stays below the
+   limit for every size in their bucket that may link with theirs go. (Texts
+   around one shared passage go here, one row at a time, however many they
+   are.) The same is then done around each hub, with the shingles outside it.
 3. Two classes x and y of different components, one of them unlike their
    hub h, can now link only if they share shingles outside h: if x is not
-   like h, then h and x have too few shingles in common. By the same count
-   they share one of the ``n - c + 1`` rarest shingles of x outside h, where
-   c is what the smallest class of the bucket must have in common with x. So
-   only classes that meet in such a shingle are compared, and whose shared
-   shingles suffice. (Of copies with many edits of their own, nearly none.)
+   like h, then h and x have too few shingles in common. In one order of
+   the shingles outside h, rarest first, they meet at the first that they
+   share, and have no more in common than what follows there and inside h.
+   So only classes that meet in a shingle with enough behind it, in both, are
+   compared. (Of copies with many edits of their own, nearly none.)
    The one exception are classes smaller than h, for which x may have enough
    in common with h alone; those few are joined by hub.
 
@@ -221,12 +222,20 @@ def _starred(pending: DataFrame) -> DataFrame:
     ).where("node != hub")
 
 
+def _with_least(pending: DataFrame, percent: int) -> DataFrame:
+    """The rows with the least size that a class of their bucket can have to
+    link with theirs."""
+    least = pending.groupBy("bucket").agg(F.min("n").alias("least"))
+    allowed = F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
+    return pending.join(least, "bucket").withColumn("least", F.greatest("least", allowed))
+
+
 def _linkable(pending: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows that can link at all: see step 2 of the module's text."""
-    shared = _shared_shingles(sets, pending.select("node").distinct())
-    least = pending.groupBy("bucket").agg(F.min("n").alias("least"))
+    shared = _shared_shingles(sets, pending.select("node", "component").distinct())
+    shared = shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
     can = F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n") + F.col("least") - F.col("shared"))
-    return pending.join(shared, "node").join(least, "bucket").where(can).drop("least", "shared")
+    return _with_least(pending, percent).join(shared, "node").where(can).drop("least", "shared")
 
 
 def _met(pending: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,32 +243,48 @@ def _met(pending: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(batch.num_rows):
-                x, h = (np.frombuffer(batch.column(c)[n].as_buffer(), np.int64) for c in ("left", "right"))
-                rest = x[~np.isin(x, h)]
-                ends = (pa.array(np.full(len(rest), batch.column(c)[n].as_py())) for c in ("a", "b"))
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(rest)], ["a", "b", "shingle"])
+            inside, rest = [], []
+            for common, left, right in zip(*(batch.column(c) for c in ("common", "left", "right")), strict=True):
+                x, h = (np.frombuffer(each.as_buffer(), np.int64) for each in (left, right))
+                some = common.values.to_numpy() if common.is_valid else x[:0]
+                inside.append(int(np.isin(x, h, assume_unique=True).sum()))
+                rest.append(some[~np.isin(some, h)])
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *rest]))
+            ends = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(inside, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
+                ["a", "b", "inside", "rest"],
+            )
 
     def needed(left: str, right: str) -> Column:
         return F.ceil(F.lit(percent) * (F.col(left) + F.col(right)) / F.lit(100 + percent))
 
-    least = pending.groupBy("bucket").agg(F.min("n").alias("least"))
-    stars = pending.join(least, "bucket").groupBy("node", "n", "component", "hub", "hub_n").agg(F.min("least").alias("least"))
+    stars = _with_least(pending, percent).groupBy("node", "n", "component", "hub", "hub_n").agg(F.min("least").alias("least"))
     stars = stars.join(_named(linked, hub="node", hub_component="component"), "hub", "left")
-    stars = written(stars.withColumn("hub_component", F.coalesce("hub_component", "hub")), "near_hubs")
-    rest = _with_sets(_named(stars, a="node", b="hub"), sets).select("a", "b", "left", "right")
-    rest = _named(rest.mapInArrow(outside, "a long, b long, shingle long"), node="a", hub="b", shingle="shingle")
-    rest = written(rest, "near_outside")
-    sizes = rest.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("outside"))
-    # A class may have no shingle outside its hub at all.
-    stars = stars.join(sizes, ["hub", "node"], "left").withColumn("inside", F.col("n") - F.coalesce("outside", F.lit(0)))
-    stars = written(stars.withColumn("must", needed("n", "least")), "near_hubs")
-    classes = rest.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("classes"))
-    of_class = Window.partitionBy("hub", "node")
-    placed = rest.join(classes, ["hub", "shingle"]).withColumn("place", F.row_number().over(of_class.orderBy("classes", "shingle")))
-    placed = placed.withColumn("shared", F.sum((F.col("classes") > 1).cast("int")).over(of_class)).where("classes > 1")
-    heads = placed.join(stars, ["hub", "node"]).where(F.col("inside") + F.col("shared") >= F.col("must"))
-    heads = written(heads.where(F.col("place") <= F.col("n") - F.col("must") + 1), "near_heads")
+    stars = stars.withColumn("hub_component", F.coalesce("hub_component", "hub")).withColumn("must", needed("n", "least"))
+    stars = written(stars, "near_hubs")
+    common = _shared_shingles(sets, pending.select("node", "component").distinct())
+    common = common.groupBy("node").agg(F.collect_list("shingle").alias("common"))
+    rest = _with_sets(_named(stars, a="node", b="hub"), sets).join(_named(common, a="node", common="common"), "a", "left")
+    rest = rest.select("a", "b", "common", "left", "right").mapInArrow(outside, "a long, b long, inside long, rest array<long>")
+    stars = stars.join(_named(rest, node="a", hub="b", inside="inside", rest="rest"), ["node", "hub"])
+    stars = written(stars.where(F.col("inside") + F.size("rest") >= F.col("must")), "near_outside")
+    # Only shingles of several components of a hub are in an intersection.
+    rest = stars.select("hub", "node", "component", "n", "inside", "must", F.explode("rest").alias("shingle"))
+    for _ in range(BOUND_ROUNDS):
+        classes = rest.groupBy("hub", "shingle").agg(
+            F.count(F.lit(1)).alias("classes"), (F.min("component") != F.max("component")).alias("mixed")
+        )
+        classes = classes.where("mixed").select("hub", "shingle", "classes")
+        of_class = Window.partitionBy("hub", "node")
+        rest = rest.drop("classes").join(classes, ["hub", "shingle"]).withColumn("shared", F.count(F.lit(1)).over(of_class))
+        rest = rest.where(F.col("inside") + F.col("shared") >= F.col("must"))
+        rest = written(rest.drop("shared"), "near_outside")
+    # What a class has in common with another, if this is the first shingle
+    # that they share: no more than its shingles from here on.
+    from_here = of_class.orderBy(F.desc("classes"), F.desc("shingle"))
+    heads = rest.withColumn("shared", F.row_number().over(from_here).cast("long"))
+    heads = written(heads.where(F.col("inside") + F.col("shared") >= F.col("must")).drop("must", "classes"), "near_heads")
 
     columns = {"node": "", "n": "n_", "component": "comp_", "inside": "in_", "shared": "out_"}
 
@@ -307,23 +332,29 @@ def _across(left: DataFrame, right: DataFrame, side: Callable, needed: Callable,
     of_a = components(left, "a").join(several, list(keys))
     least = [F.least(f"{c}_a", f"{c}_b") for c in common]
     pairs = of_a.join(components(right, "b"), list(keys)).where(order & (sum(least[1:], least[0]) >= needed("n_a", "n_b")))
-    pairs = pairs.select(*keys, "comp_a", "comp_b")
-    return side(left, "a", *keys).join(pairs, [*keys, "comp_a"]).join(side(right, "b", *keys), [*keys, "comp_b"])
+    pairs = pairs.select(*keys, "comp_a", "comp_b", F.col("n_b").alias("least_b"), *[f"{c}_b" for c in common])
+    # Each class meets only components that it can link with by itself.
+    own = [F.least(f"{mark}_a", f"{c}_b") for c, mark in zip(common, ("in", "out"))]
+    able = side(left, "a", *keys).join(pairs, [*keys, "comp_a"]).where(sum(own[1:], own[0]) >= needed("n_a", "least_b"))
+    able = able.drop("least_b", *[f"{c}_b" for c in common])
+    return able.join(side(right, "b", *keys), [*keys, "comp_b"])
 
 
 def _shared_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, shared``: shingles of each of the ``nodes`` that another one
-    of them has too."""
+    """``node, shingle``: those shingles of the ``nodes`` (``node,
+    component``) that one of another component has too."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, found in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
+            for n, found in enumerate(batch.column("shingles")):
                 each = np.frombuffer(found.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), node)), pa.array(each)], ["node", "shingle"])
+                ends = (pa.array(np.full(len(each), batch.column(c)[n].as_py())) for c in ("node", "component"))
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(each)], ["node", "component", "shingle"])
 
-    rows = sets.join(nodes, "node").select("node", "shingles").mapInArrow(spread, "node long, shingle long")
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle")
-    return rows.join(common, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    rows = sets.join(nodes, "node").select("node", "component", "shingles")
+    rows = rows.mapInArrow(spread, "node long, component long, shingle long")
+    mixed = rows.groupBy("shingle").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed")
+    return rows.join(mixed.select("shingle"), "shingle").select("node", "shingle")
 
 
 def _named(frame: DataFrame, **names: str) -> DataFrame:
