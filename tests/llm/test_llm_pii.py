@@ -154,6 +154,15 @@ def test_terms_against_brute_force(spark):
     assert not {w for _, w in words} & {"xu5", "org", "123456"}
 
 
+def test_terms_are_counted_without_a_row_for_text_and_term(spark):
+    rows = [*STORY, *STORY[:4], (None, STORY[0][1]), *common_rows(20)]
+    got = pii.term_documents(make_docs(spark, rows))
+    want = Counter(w for t in {t or "" for _, t in rows} for w in {t[s:e].lower() for s, e in term_places(t)})
+    assert sorted(r.n_t for r in got.collect()) == sorted(want.values())
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not [x for x in dealt if "key" in x and "term" in x]
+
+
 def test_rare_words_meet_entities_by_chance(spark):
     """One-off words beside an email are no disclosure; a name that always
     comes with the address is one."""

@@ -45,12 +45,14 @@ the spans of their text; terms overlap no entity; null ids are kept; an
 empty table gives no rows; other columns are ignored.
 
 Scale: one pass finds entities, and terms where there are some; one pass
-counts terms. Entities and terms are shuffled as 64-bit hashes. Entities that
+counts terms, after a shuffle of the texts that leaves one of each. Entities
+and terms are shuffled as 64-bit hashes, counts of terms summed per task. Entities that
 stand in the same texts are one class, told apart by no count, so a page of
 many one-off entities is one class and meets its terms once each; pairs of
 class and term are summed per task before the shuffle, so an entity or term
-found in a third of all rows meets in no single task. Texts are shuffled only
-if they have entities (and in ``sanitise``, which joins spans to their texts).
+found in a third of all rows meets in no single task. But for the count,
+texts are shuffled only if they have entities (and in ``sanitise``, which joins
+spans to their texts).
 """
 
 from __future__ import annotations
@@ -238,10 +240,14 @@ def entity_spans(documents: DataFrame) -> DataFrame:
 
 
 def term_documents(documents: DataFrame) -> DataFrame:
-    """``term, n_t``: distinct texts that hold each term (by its hash)."""
-    terms = _terms(_unmarked(F.col("text")), TERM_PATTERN)
-    pairs = documents.select(text_key(F.col("text")).alias("key"), F.explode(terms).alias("term")).distinct()
-    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    """``term, n_t``: distinct texts that hold each term (by its hash).
+
+    Copies meet as texts, before they are cut: a text is half the size of its
+    pairs of key and term.
+    """
+    once = documents.select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
+    terms = once.select(F.explode(_terms(_unmarked(F.col("text")), TERM_PATTERN)).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
 def entity_classes(found: DataFrame) -> DataFrame:
