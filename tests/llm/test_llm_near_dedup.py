@@ -164,6 +164,32 @@ def test_shingles_of_one_component_are_not_spread(spark, monkeypatch):
     assert met(*family, 500, 600) == {(k, 600) for k in family}
 
 
+def test_classes_spread_only_their_first_shingles_outside_the_hub(spark, monkeypatch):
+    """Of 37 shingles that a class shares outside its hub, 29 are needed: the
+    rarest 9 tell its twin, a passage of all is never spread."""
+    classes, shared = 60, [*range(60), *range(1000, 1025)]
+    members = {0: [*range(100)]}
+    for k in range(1, classes + 1):
+        twins = 10_000 + 100 * ((k + 1) // 2)
+        members[k] = [*shared, *range(twins, twins + 12), *range(50_000 + 10 * k, 50_003 + 10 * k)]
+    sets = [(k, near_dedup.np.array(sorted(x), near_dedup.np.uint64).tobytes()) for k, x in members.items()]
+    sets = spark.createDataFrame(sets, "node long, shingles binary")
+    stars = [(1, k, len(members[k]), k, 0, 100) for k in range(1, classes + 1)]
+    stars = spark.createDataFrame(stars, "bucket long, node long, n long, component long, hub long, hub_n long")
+    linked = spark.createDataFrame([], "node long, component long")
+    written, rows = near_dedup.written, []
+
+    def counted(df, name, **more):
+        out = written(df, name, **more)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    met = {(r.a, r.b) for r in near_dedup._met(stars, linked, sets, 80).collect()}
+    assert met == {(k, k + 1) for k in range(1, classes, 2)}
+    assert max(rows) <= 9 * classes
+
+
 def test_a_family_beside_a_bigger_one(spark):
     rng = random.Random(9)
     vocabulary = [f"w{n}" for n in range(900)]

@@ -20,13 +20,14 @@ all pairs of a bucket:
    they bound each similarity from above; classes whose bound stays below the
    limit for every size in their bucket that may link with theirs go. (Texts
    around one shared passage go here, one row at a time, however many they
-   are.) The same is then done around each hub, with the shingles outside it.
+   are.)
 3. Two classes x and y of different components, one of them unlike their
    hub h, can now link only if they share shingles outside h: if x is not
    like h, then h and x have too few shingles in common. In one order of
    the shingles outside h, rarest first, they meet at the first that they
    share, and have no more in common than what follows there and inside h.
-   So only classes that meet in a shingle with enough behind it, in both, are
+   So each class spreads only its first shingles, as long as enough follows,
+   and only classes that meet in one, with enough behind it in both, are
    compared. (Of copies with many edits of their own, nearly none.)
    The one exception are classes smaller than h, for which x may have enough
    in common with h alone; those few are joined by hub.
@@ -50,7 +51,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierloom.llm.graph import connected_components
@@ -264,27 +265,21 @@ def _met(pending: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -
     stars = stars.withColumn("hub_component", F.coalesce("hub_component", "hub")).withColumn("must", needed("n", "least"))
     stars = written(stars, "near_hubs")
     common = _shared_shingles(sets, pending.select("node", "component").distinct())
-    common = common.groupBy("node").agg(F.collect_list("shingle").alias("common"))
+    # Rarest first, in one order for all hubs.
+    common = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("classes", "shingle"))).alias("common"))
+    common = common.withColumn("common", F.col("common.shingle"))
     rest = _with_sets(_named(stars, a="node", b="hub"), sets).join(_named(common, a="node", common="common"), "a", "left")
     rest = rest.select("a", "b", "common", "left", "right").mapInArrow(outside, "a long, b long, inside long, rest array<long>")
     stars = stars.join(_named(rest, node="a", hub="b", inside="inside", rest="rest"), ["node", "hub"])
     stars = written(stars.where(F.col("inside") + F.size("rest") >= F.col("must")), "near_outside")
-    # Only shingles of several components of a hub are in an intersection.
-    rest = stars.select("hub", "node", "component", "n", "inside", "must", F.explode("rest").alias("shingle"))
-    for _ in range(BOUND_ROUNDS):
-        classes = rest.groupBy("hub", "shingle").agg(
-            F.count(F.lit(1)).alias("classes"), (F.min("component") != F.max("component")).alias("mixed")
-        )
-        classes = classes.where("mixed").select("hub", "shingle", "classes")
-        of_class = Window.partitionBy("hub", "node")
-        rest = rest.drop("classes").join(classes, ["hub", "shingle"]).withColumn("shared", F.count(F.lit(1)).over(of_class))
-        rest = rest.where(F.col("inside") + F.col("shared") >= F.col("must"))
-        rest = written(rest.drop("shared"), "near_outside")
     # What a class has in common with another, if this is the first shingle
-    # that they share: no more than its shingles from here on.
-    from_here = of_class.orderBy(F.desc("classes"), F.desc("shingle"))
-    heads = rest.withColumn("shared", F.row_number().over(from_here).cast("long"))
-    heads = written(heads.where(F.col("inside") + F.col("shared") >= F.col("must")).drop("must", "classes"), "near_heads")
+    # that they share: no more than its shingles from here on. Only shingles
+    # with enough from there on are spread.
+    enough = F.size("rest") + F.col("inside") - F.col("must") + 1
+    first = F.slice("rest", 1, F.least(F.size("rest"), enough).cast("int"))
+    heads = stars.select("hub", "node", "component", "n", "inside", F.size("rest").alias("all"), F.posexplode(first).alias("before", "shingle"))
+    heads = heads.withColumn("shared", (F.col("all") - F.col("before")).cast("long")).drop("all", "before")
+    heads = written(heads, "near_heads")
 
     columns = {"node": "", "n": "n_", "component": "comp_", "inside": "in_", "shared": "out_"}
 
@@ -341,8 +336,9 @@ def _across(left: DataFrame, right: DataFrame, side: Callable, needed: Callable,
 
 
 def _shared_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, shingle``: those shingles of the ``nodes`` (``node,
-    component``) that one of another component has too."""
+    """``node, shingle, classes``: those shingles of the ``nodes`` (``node,
+    component``) that one of another component has too, and how many have
+    them."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,8 +349,8 @@ def _shared_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     rows = sets.join(nodes, "node").select("node", "component", "shingles")
     rows = rows.mapInArrow(spread, "node long, component long, shingle long")
-    mixed = rows.groupBy("shingle").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed")
-    return rows.join(mixed.select("shingle"), "shingle").select("node", "shingle")
+    mixed = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("classes"), (F.min("component") != F.max("component")).alias("mixed"))
+    return rows.join(mixed.where("mixed").select("shingle", "classes"), "shingle").select("node", "shingle", "classes")
 
 
 def _named(frame: DataFrame, **names: str) -> DataFrame:
